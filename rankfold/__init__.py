@@ -14,10 +14,11 @@ from .plans import (
     relative_error,
     residual_spectral_norm,
 )
+from .vectors import VectorMatrix, vector_rows
 
 __all__ = [
-    "Matrix", "PcaResult", "PpcaResult", "kth_singular_value", "ppca", "randomized_pca",
-    "relative_error", "residual_spectral_norm",
+    "Matrix", "PcaResult", "PpcaResult", "VectorMatrix", "kth_singular_value", "ppca", "randomized_pca",
+    "relative_error", "residual_spectral_norm", "vector_rows",
 ]
 
 # Ship the few functions that run in Python workers by value: executors need no installed package.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..matrix import Matrix
+from ..vectors import VectorMatrix, vector_rows
 from ..sources import from_columns, from_triples, from_vectors
 
 LINE_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -29,6 +30,11 @@ def embedding_rows(spark: SparkSession, sf_dir: str) -> Matrix:
     return from_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
 
 
+def embedding_vectors(spark: SparkSession, sf_dir: str) -> VectorMatrix:
+    """The same vectors, kept whole."""
+    return vector_rows(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
 def line_columns(spark: SparkSession, sf_dir: str) -> Matrix:
     """Four numeric columns of the line items, ill-conditioned."""
     lines = table(spark, sf_dir, "lineitem")

@@ -246,7 +246,7 @@ def statements() -> dict[str, str]:
         "reconstruct_events": f"{base(EVENTS)}, {seed(2)}, {_RECONSTRUCTED} SELECT * FROM xh",
         "residual_events": f"""{base(EVENTS)}, {seed(2)}, {_RECONSTRUCTED} SELECT row_id, col_id, {r('xhat - COALESCE(value, 0.0) - mu', 6, 'value')}
   FROM xh LEFT JOIN y USING (row_id, col_id) JOIN mu USING (col_id)""",
-        "reconstruction_error_columns": f"""{_S2}, e AS (SELECT z.row_id, w.col_id, mu, (z0 / 1000.0) * (w0 / 10.0) + (z1 / 1000.0) * (w1 / 10.0) AS xhat
+        "reconstruction_error_columns": f"""{_S2}, e AS (SELECT z.row_id, w.col_id, mu, (z0 / 977.0) * (w0 / 13.0) + (z1 / 977.0) * (w1 / 13.0) AS xhat
     FROM z CROSS JOIN w JOIN mu ON w.col_id = mu.col_id)
   SELECT col_id, {r('SUM(ABS(xhat - (COALESCE(value, 0.0) - mu)))', 4, 'err')}, {r('SUM(ABS(COALESCE(value, 0.0) - mu))', 4, 'norm')}
   FROM e LEFT JOIN y USING (row_id, col_id) GROUP BY col_id""",
@@ -256,6 +256,8 @@ def statements() -> dict[str, str]:
         "power_step_k1": f"{base()}, {iterate(1, 1)} SELECT 1 AS k, {r('SQRT(SUM(w0 * w0))', 5, 'sigma')}, 1 AS iterations FROM w1",
         "power_3_steps_k1": f"{base()}, {iterate(1, 3)} SELECT 1 AS k, {r('SQRT(SUM(w0 * w0))', 5, 'sigma')}, 3 AS iterations FROM w3",
         "power_3_steps_k2": f"{base()}, {iterate(2, 3)}, {SIGMAS_2.format(w='w3')} SELECT 2 AS k, {r('s1', 5, 'sigma')}, 3 AS iterations FROM s",
+        "power_3_steps_vectors": f"{base(EMBEDDINGS)}, {iterate(2, 3)}, {SIGMAS_2.format(w='w3')} SELECT 2 AS k, {r('s1', 6, 'sigma')}, 3 AS iterations FROM s",
+        "sketch_vectors": f"{base(EMBEDDINGS)}, {seed(3)}, {raw_sketch(3)} SELECT row_id, {rs('z', 3, 6)} FROM z",
         "pca_component_k1": f"""{base()}, {iterate(1, 3)}, k AS (SELECT w0 AS lead FROM w3 ORDER BY ABS(w0) DESC, col_id LIMIT 1),
   s AS (SELECT SQRT(SUM(w0 * w0)) AS s FROM w3)
   SELECT i.col_id, 0 AS comp, {r('COALESCE(w3.w0, 0.0) / s * SIGN(lead)', 7, 'loading')} FROM w0 i LEFT JOIN w3 ON i.col_id = w3.col_id, k, s""",

@@ -22,7 +22,7 @@ from ..plans import kth_singular_value, ppca, randomized_pca, relative_error, re
 from ..plans.ppca import column_error_sums, expected_variance_term
 from ..sinks import stats, text
 from ..sources import from_vectors, read_components, read_coo, read_dense, read_matrix
-from .fixtures import embedding_rows, line_columns, purchases, table, user_events
+from .fixtures import embedding_rows, embedding_vectors, line_columns, purchases, table, user_events
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -417,6 +417,19 @@ def power_3_steps_k2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _power(spark, sf_dir, 2, 3)
 
 
+@query
+def power_3_steps_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = kth_singular_value(embedding_vectors(spark, sf_dir), 2, oversample=0, max_iter=3, digits=None, kind="validation")
+    return out.select("k", rounded("sigma", 6), "iterations")
+
+
+@query
+def sketch_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with embedding_vectors(spark, sf_dir).lay_out(3) as layout:
+        z = layout.sketch(validation(spark, layout.n_cols, 3), names("w", 3))
+    return z.select("row_id", *[rounded(c, 6) for c in names("z", 3)])
+
+
 @query
 def pca_component_k1(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = randomized_pca(purchases(spark, sf_dir), 1, oversample=0, max_iter=3, sigma_digits=None, kind="validation")
@@ -503,10 +516,10 @@ def reconstruction_error_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Column sums of |X*C' - A| and |A| for validation matrices, over all rows of the purchases."""
     m, w, mu, mean = sketched(spark, sf_dir, 2)
     fitted = w.join(mu, "col_id").selectExpr(
-        "col_id", "mu", "w0 / 1000.0D AS w0", "w1 / 1000.0D AS w1", "w0 / 10.0D AS v0", "w1 / 10.0D AS v1"
+        "col_id", "mu", "w0 / 977.0D AS w0", "w1 / 977.0D AS w1", "w0 / 13.0D AS v0", "w1 / 13.0D AS v1"
     )
     with m.lay_out(3) as layout:
-        out = column_error_sums(layout, fitted, 2, mean / 1000.0)
+        out = column_error_sums(layout, fitted, 2, mean / 977.0)
     return out.select("col_id", rounded("err", 4), rounded("norm", 4))
 
 
@@ -543,7 +556,7 @@ def randomized_pca_k5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def embedding_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = randomized_pca(embedding_rows(spark, sf_dir), 8, oversample=8, max_iter=10, sigma_digits=None, seed=11)
+    out = randomized_pca(embedding_vectors(spark, sf_dir), 8, oversample=8, max_iter=10, sigma_digits=None, seed=11)
     return out.sigmas.select("comp", rounded("sigma", 4))
 
 
@@ -556,7 +569,7 @@ def line_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def kth_sigma_k3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = kth_singular_value(embedding_rows(spark, sf_dir), 3, oversample=13, max_iter=50, digits=3, seed=11)
+    out = kth_singular_value(embedding_vectors(spark, sf_dir), 3, oversample=13, max_iter=50, digits=3, seed=11)
     return out.select("k", rounded("sigma", 3))
 
 
