@@ -187,6 +187,10 @@ class Layout:
     def _small(self, n: int, width: int) -> bool:
         return table_bytes(n, width) <= self.limit
 
+    def small_columns(self, width: int) -> bool:
+        """Whether a ``col_id`` table of this many doubles per row may be broadcast."""
+        return self._small(self.n_cols, width)
+
     def join_columns(self, entries: DataFrame, table: DataFrame, width: int) -> DataFrame:
         """Entries joined with a ``col_id`` table of ``width`` doubles per row, leaving Y in place."""
         if self._small(self.n_cols, width):

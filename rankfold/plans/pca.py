@@ -86,7 +86,7 @@ def randomized_pca(
             error = None
             if sigma_k1 is not None and found:
                 norm, _, _ = residual_norm_on(layout, vectors, found, norm_iter, norm_oversample, 4, kind, seed + 1)
-                error = (norm - sigma_k1) / sigma_k1
+                error = (norm - float(sigma_k1)) / float(sigma_k1)
             last = float(sigma[found - 1]) if found else 0.0
             records.append((app, dataset, matrix.n_rows, matrix.n_cols, iteration, preprocess, seconds, error, last))
             rounded = [round_half_up(s, sigma_digits) for s in sigma]
