@@ -5,14 +5,13 @@ A matrix product Y*W is an equi-join on ``col_id`` followed by a sum per ``row_i
 equi-join on ``row_id`` followed by a sum per ``col_id``. Which join strategy is safe depends on
 how large the dense operands are, so the layout is chosen from the dimensions:
 
-``flat``
-    Both dense operands are provably small. Y is cached as it is and both are broadcast.
 ``rows``
-    Only the column-sized operand is small. Y is hash-partitioned by ``row_id`` once; it is
-    broadcast-joined with W, and the row sums and the join back need no further exchange of Y.
+    The column-sized operand is provably small. Y is hash-partitioned by ``row_id`` once; it is
+    broadcast-joined with W, and the row sums and the join back need no further exchange: a pass
+    shuffles nothing but one partial sum per task and column.
     A row holds at most ``n_cols`` cells, and ``n_cols`` is bounded here, so no row can be hot.
 ``grid``
-    Neither is known to be small. Y is partitioned once into a grid of (row block, column block).
+    Otherwise. Y is partitioned once into a grid of (row block, column block).
     The dense operands are replicated along the grid instead of Y being shuffled by row and by
     column in each pass. A hot row is spread over all column blocks and a hot column over all row
     blocks, so the grid is also the salting.
@@ -28,7 +27,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .functions.columns import names, number, shifted
+from .functions.columns import number
 
 # Largest estimated size of a table that may be broadcast.
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -104,10 +103,15 @@ def from_blocks(df: DataFrame, key: str, width: int, prefix: str) -> DataFrame:
 
 
 def shift_blocks(df: DataFrame, mean: np.ndarray) -> DataFrame:
-    """Subtract a dense row vector from every row of a (possibly blocked) table."""
+    """Subtract a dense row vector from every row of a (possibly blocked) table.
+
+    The numbers are read out of constant arrays by an index that depends on the row. Plain literals
+    would be compiled into the pass over the data, which would then start cold in each iteration.
+    """
     width = len(mean)
     if width <= BLOCK_WIDTH:
-        return df.selectExpr(*_keys(df), *shifted(names("x", width), mean, "x"))
+        moved = [f"x{j} - get(array({number(m)}), int(x{j} IS NULL)) AS x{j}" for j, m in enumerate(mean)]
+        return df.selectExpr(*_keys(df), *moved)
     padded = np.zeros(math.ceil(width / BLOCK_WIDTH) * BLOCK_WIDTH)
     padded[:width] = mean
     by_block = padded.reshape(-1, BLOCK_WIDTH)
@@ -136,16 +140,13 @@ class Layout:
         self.limit = broadcast_bytes
         row_bytes, col_bytes = table_bytes(self.n_rows, width), table_bytes(self.n_cols, width)
         default = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        if col_bytes <= broadcast_bytes:
-            self.kind = "flat" if row_bytes <= broadcast_bytes else "rows"
-        else:
-            self.kind = "grid"
+        self.kind = "rows" if col_bytes <= broadcast_bytes else "grid"
         block = max(1, broadcast_bytes // 4)
         self.row_blocks = self.col_blocks = 1
         self.partitions = partitions or default
         if self.kind == "rows":
             self.partitions = partitions or max(default, math.ceil(row_bytes / block))
-        elif self.kind == "grid":
+        else:
             self.row_blocks = max(1, math.ceil(row_bytes / block))
             self.col_blocks = math.ceil(col_bytes / block)
             short = 4 * self.partitions / (self.row_blocks * self.col_blocks)
@@ -155,7 +156,7 @@ class Layout:
         entries = matrix.clean()
         if self.kind == "rows":
             entries = entries.repartition(self.partitions, "row_id")
-        elif self.kind == "grid":
+        else:
             entries = entries.select(
                 "row_id",
                 "col_id",
@@ -203,8 +204,6 @@ class Layout:
 
     def join_rows(self, entries: DataFrame, table: DataFrame, width: int) -> DataFrame:
         """Entries joined with a ``row_id`` table of ``width`` doubles per row, leaving Y in place."""
-        if self._small(self.n_rows, width):
-            return entries.join(F.broadcast(table.drop("rb")), "row_id")
         if self.kind == "rows":
             return entries.join(table.hint("shuffle_hash"), "row_id")
         if self.kind != "grid":

@@ -8,8 +8,8 @@ from rankfold.catalog.fixtures import embedding_rows, embedding_vectors, line_co
 from rankfold.plans.sigma import kth_singular_value_run
 
 SF_DIR = "/root/testdata/sf0.001"
-# A limit that makes both operands too large for a broadcast, and one for the rows alone.
-LAYOUTS = {"flat": {}, "rows": {"broadcast_bytes": 3000}, "grid": {"broadcast_bytes": 700, "partitions": 8}}
+# The default, and a limit that makes the column-sized operand too large for a broadcast.
+LAYOUTS = {"rows": {}, "grid": {"broadcast_bytes": 700, "partitions": 8}}
 
 
 def planted(n=60, d=9, sigma=(50.0, 20.0, 5.0), noise=0.0, seed=3):
@@ -57,7 +57,7 @@ def test_wide_sketch_goes_in_blocks(spark, coo):
     m = coo(dense)
     s = np.linalg.svd(centred(dense), compute_uv=False)
     base = None
-    for options in ({}, {"broadcast_bytes": 12_000, "partitions": 8}, {"broadcast_bytes": 3000, "partitions": 8}):
+    for options in ({}, {"broadcast_bytes": 3000, "partitions": 8}):
         out = randomized_pca(m, 10, oversample=10, max_iter=3, sigma_digits=None, **options)
         base = base or out.sigma
         np.testing.assert_allclose(out.sigma, base, rtol=1e-9)
@@ -129,7 +129,7 @@ def test_permuted_rows_and_text_keys(spark, coo):
     m = coo(planted(noise=0.1))
     base = randomized_pca(m, 2, oversample=2, max_iter=2, sigma_digits=None).sigma
     renamed = m.entries.selectExpr("concat('r', 1000 - row_id) AS row_id", "col_id", "value")
-    for options in (LAYOUTS["flat"], LAYOUTS["grid"]):
+    for options in (LAYOUTS["rows"], LAYOUTS["grid"]):
         again = randomized_pca(Matrix(renamed), 2, oversample=2, max_iter=2, sigma_digits=None, **options).sigma
         np.testing.assert_allclose(base, again, rtol=1e-10)
 
@@ -214,12 +214,12 @@ def em(a, k, rounds, c, ss):
     return c, ss, error
 
 
-@pytest.mark.parametrize("layout,n_rows", [("flat", 60), ("flat", 75), ("rows", 75), ("grid", 75)])
+@pytest.mark.parametrize("layout,n_rows", [("rows", 60), ("rows", 75), ("grid", 75)])
 def test_probabilistic_pca(spark, coo, layout, n_rows):
     dense = planted(noise=0.5)
     seed = np.array([[(i + j) % 10 + 1 for j in range(2)] for i in range(9)], dtype=float)
     c, ss, error = em(centred(dense, n_rows), 2, 3, seed, 0.9644868606768501)
-    options = {"flat": {}, "rows": {"broadcast_bytes": 3000}, "grid": {"broadcast_bytes": 500, "partitions": 8}}[layout]
+    options = {"rows": {}, "grid": {"broadcast_bytes": 500, "partitions": 8}}[layout]
     out = ppca(coo(dense, n_rows=n_rows), 2, max_iter=3, tol=0.0, err_tol=0.0, sample_rate=1.0, kind="validation", **options)
     assert out.variance == pytest.approx(ss, rel=1e-8)
     assert out.error == pytest.approx(error, rel=1e-8)
