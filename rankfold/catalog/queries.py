@@ -42,9 +42,14 @@ def validation(spark: SparkSession, n_cols: int, width: int, prefix: str = "w")
     return seed_table(spark, n_cols, width, "validation", prefix=prefix)
 
 
+def stored_purchases(spark: SparkSession, sf_dir: str) -> Matrix:
+    """The purchases, joined and summed once for a query that uses them several times."""
+    return purchases(spark, sf_dir).stored().measured()
+
+
 def sketched(spark: SparkSession, sf_dir: str, width: int) -> tuple[Matrix, DataFrame, DataFrame, np.ndarray]:
     """Purchases, the validation seed, the column means and the mean image."""
-    m = purchases(spark, sf_dir).measured()
+    m = stored_purchases(spark, sf_dir)
     w = validation(spark, m.n_cols, width)
     mu = aggregates.column_means(m.entries, m.n_rows)
     return m, w, mu, products.collect_row(products.mean_image(mu, w, names("w", width)))
@@ -84,13 +89,13 @@ def ml_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stored_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "matrix")
-    purchases(spark, sf_dir).entries.write.parquet(path)
+    purchases(spark, sf_dir).stored(path)
     return read_matrix(spark, path, partitions=8).entries
 
 
 @query
 def dims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = purchases(spark, sf_dir).measured()
+    m = stored_purchases(spark, sf_dir)
     return m.entries.agg(F.count("*").alias("nnz")).withColumns(
         {"n_rows": F.lit(m.n_rows).cast("bigint"), "n_cols": F.lit(m.n_cols).cast("bigint")}
     )
@@ -192,7 +197,7 @@ def sampled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def centred_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = purchases(spark, sf_dir).measured()
+    m = stored_purchases(spark, sf_dir)
     out = entries.centre_entries(m.entries, aggregates.column_means(m.entries, m.n_rows))
     return out.select("row_id", "col_id", rounded("value", 6))
 
@@ -209,7 +214,7 @@ def centred_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def col_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = purchases(spark, sf_dir).measured()
+    m = stored_purchases(spark, sf_dir)
     sums = aggregates.column_sums(m.entries)
     means = aggregates.column_means(m.entries, m.n_rows)
     return sums.join(means, "col_id").select("col_id", "total", rounded("mu", 8))
@@ -217,7 +222,7 @@ def col_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def frobenius_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = purchases(spark, sf_dir).measured()
+    m = stored_purchases(spark, sf_dir)
     norm = aggregates.frobenius_norm_squared(m.entries, aggregates.column_means(m.entries, m.n_rows), m.n_rows)
     return norm.select(rounded("norm2", 4))
 
@@ -225,7 +230,7 @@ def frobenius_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def frobenius_norm_absent_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twice as many rows as are stored: the others are zero, but count."""
-    m = purchases(spark, sf_dir).measured()
+    m = stored_purchases(spark, sf_dir)
     n = 2 * m.n_rows
     norm = aggregates.frobenius_norm_squared(m.entries, aggregates.column_means(m.entries, n), n)
     return norm.select(rounded("norm2", 4))
@@ -233,7 +238,7 @@ def frobenius_norm_absent_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def mean_image(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = purchases(spark, sf_dir).measured()
+    m = stored_purchases(spark, sf_dir)
     mu = aggregates.column_means(m.entries, m.n_rows)
     image = products.mean_image(mu, validation(spark, m.n_cols, 3), names("w", 3))
     return image.select(*[rounded(c, 6) for c in names("m", 3)])
@@ -241,14 +246,14 @@ def mean_image(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sketch_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = purchases(spark, sf_dir).measured()
+    m = stored_purchases(spark, sf_dir)
     return products.sketch(m.entries, validation(spark, m.n_cols, 3), names("w", 3))
 
 
 @query
 def sketch_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """More components than one aggregate takes, so they are handled in blocks."""
-    m = purchases(spark, sf_dir).measured()
+    m = stored_purchases(spark, sf_dir)
     return products.sketch(m.entries, validation(spark, m.n_cols, 18), names("w", 18)).select("row_id", "z0", "z9", "z16", "z17")
 
 
@@ -266,7 +271,7 @@ def gram_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cross_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = purchases(spark, sf_dir).measured()
+    m = stored_purchases(spark, sf_dir)
     z = products.sketch(m.entries, validation(spark, m.n_cols, 3), names("w", 3))
     return products.cross_product(m.entries, z, names("z", 3))
 
@@ -314,7 +319,7 @@ def mean_corrected_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def absolute_column_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = line_columns(spark, sf_dir).measured()
+    m = line_columns(spark, sf_dir).stored().measured()
     centred = entries.centre_entries(m.entries, aggregates.column_means(m.entries, m.n_rows))
     return aggregates.absolute_column_norm(centred).select(rounded("norm1", 1))
 
@@ -348,7 +353,7 @@ def orthonormal_image(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def deflated_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = purchases(spark, sf_dir).measured().n_cols
+    n = stored_purchases(spark, sf_dir).n_cols
     v = validation(spark, n, 4, "v").select("col_id", (F.col("v3") / 100.0).alias("v0"))
     return basis.deflate(validation(spark, n, 2), names("w", 2), v, ["v0"]).select("col_id", rounded("w0", 6), rounded("w1", 6))
 
@@ -445,7 +450,7 @@ def pca_sigmas_k2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def pca_absent_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As many empty rows again as there are stored ones."""
-    m = purchases(spark, sf_dir).measured()
+    m = stored_purchases(spark, sf_dir)
     m = Matrix(m.entries, 2 * m.n_rows, m.n_cols)
     out = randomized_pca(m, 2, oversample=0, max_iter=2, sigma_digits=None, kind="validation")
     return out.sigmas.select("comp", rounded("sigma", 5))
@@ -460,7 +465,7 @@ def _unit_component(spark: SparkSession, n_cols: int) -> DataFrame:
 
 @query
 def residual_norm_k1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = purchases(spark, sf_dir).measured()
+    m = stored_purchases(spark, sf_dir)
     out = residual_spectral_norm(m, _unit_component(spark, m.n_cols), k=1, max_iter=3, oversample=0, digits=None, kind="validation")
     return out.select(rounded("norm", 5), "iterations")
 
@@ -468,7 +473,7 @@ def residual_norm_k1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def residual_norm_as_given(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A vector that is not a unit vector, used as it is."""
-    m = purchases(spark, sf_dir).measured()
+    m = stored_purchases(spark, sf_dir)
     v = _unit_component(spark, m.n_cols).withColumn("loading", F.col("loading") * 0.5)
     out = residual_spectral_norm(m, v, k=1, max_iter=2, oversample=0, digits=None, orthonormalise_first=False, kind="validation")
     return out.select(rounded("norm", 5), "iterations")
@@ -476,14 +481,14 @@ def residual_norm_as_given(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def relative_error_k1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = purchases(spark, sf_dir).measured()
+    m = stored_purchases(spark, sf_dir)
     out = relative_error(m, _unit_component(spark, m.n_cols), 350.0, k=1, max_iter=3, oversample=0, digits=None, kind="validation")
     return out.select(rounded("norm", 5), "sigma_k1", rounded("error", 8))
 
 
 @query
 def project_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = purchases(spark, sf_dir).measured()
+    m = stored_purchases(spark, sf_dir)
     c = products.long_components(validation(spark, m.n_cols, 2), names("w", 2))
     return products.project(m.entries, c, 2)
 

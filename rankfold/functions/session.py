@@ -1,11 +1,14 @@
-"""Where lineage is cut: the folder the cluster names, or a temporary one in local tests."""
+"""Session helpers: where lineage is cut, and small tables made of driver-side results."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+
+_ARROW = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -22,3 +25,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few result rows as a DataFrame. Arrow hands them over without starting Python workers."""
+    fields = [field.split() for field in schema.split(",")]
+    columns = list(zip(*rows)) if rows else [()] * len(fields)
+    arrays = [pa.array(list(column), _ARROW[kind]) for column, (_, kind) in zip(columns, fields)]
+    return spark.createDataFrame(pa.table(arrays, names=[name for name, _ in fields]))

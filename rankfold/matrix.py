@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions.columns import number
+from .functions.session import scratch_path
 
 # Largest estimated size of a table that may be broadcast.
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -74,6 +75,17 @@ class Matrix:
             keep &= F.col("col_id") < self.n_cols
         return self.entries.select("row_id", "col_id", "value").filter(keep)
 
+    def stored(self, path: str | None = None) -> Matrix:
+        """Write the entries as parquet and go on from there.
+
+        For a derived matrix that several steps use: its joins and aggregates run once. Without a
+        path the table goes below the shared checkpoint folder.
+        """
+        spark = self.entries.sparkSession
+        path = path or scratch_path(spark, "matrix")
+        self.clean().write.parquet(path)
+        return replace(self, entries=spark.read.parquet(path))
+
     def lay_out(self, width: int, *, broadcast_bytes: int = BROADCAST_BYTES, partitions: int | None = None) -> Layout:
         """Context manager with Y cached and placed for products with ``width`` dense components."""
         return Layout(self.measured(), width, broadcast_bytes, partitions)
@@ -155,7 +167,8 @@ class Layout:
             self.partitions = partitions or max(default, self.row_blocks * self.col_blocks // 4)
         entries = matrix.clean()
         if self.kind == "rows":
-            entries = entries.repartition(self.partitions, "row_id")
+            # Sorted once: in each pass the sum and the join back then touch one row at a time.
+            entries = entries.repartition(self.partitions, "row_id").sortWithinPartitions("row_id")
         else:
             entries = entries.select(
                 "row_id",
@@ -163,7 +176,7 @@ class Layout:
                 "value",
                 self._block("row_id", self.row_blocks).alias("rb"),
                 self._block("col_id", self.col_blocks).alias("cb"),
-            ).repartition(self.partitions, "rb", "cb")
+            ).repartition(self.partitions, "rb", "cb").sortWithinPartitions("rb", "cb", "row_id")
         self.entries = entries
         self._saved_conf: str | None = None
 

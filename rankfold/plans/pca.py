@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import combine, names
 from ..functions.generators import seed_table
+from ..functions.session import local_table
 from ..functions.small import round_half_up
 from ..matrix import BROADCAST_BYTES, Matrix
 from ..operators.basis import fix_signs
@@ -96,7 +97,7 @@ def randomized_pca(
                 break
             previous = rounded
     components = fix_signs(long_components(vectors, names("v", found))) if found else _no_components(vectors)
-    sigmas = spark.createDataFrame([(j, float(s)) for j, s in enumerate(sigma)], "comp int, sigma double")
+    sigmas = local_table(spark, [(j, float(s)) for j, s in enumerate(sigma)], "comp int, sigma double")
     return PcaResult(components, sigmas, metrics_table(spark, records), [float(s) for s in sigma], len(records))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import names
 from ..functions.generators import seed_table
+from ..functions.session import local_table
 from ..functions.small import round_half_up
 from ..matrix import BROADCAST_BYTES, Layout, Matrix
 from ..operators.basis import orthonormalise
@@ -74,7 +75,7 @@ def residual_spectral_norm(
         norm, used, _ = residual_norm_on(
             layout, wide_components(components, k), k, max_iter, oversample, digits, kind, seed, orthonormalise_first
         )
-    return matrix.entries.sparkSession.createDataFrame([(float(norm), used)], "norm double, iterations int")
+    return local_table(matrix.entries.sparkSession, [(float(norm), used)], "norm double, iterations int")
 
 
 def relative_error(matrix: Matrix, components: DataFrame, sigma_k1: float, **options) -> DataFrame:

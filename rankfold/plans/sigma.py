@@ -7,6 +7,7 @@ import time
 from pyspark.sql import DataFrame
 
 from ..functions.generators import seed_table
+from ..functions.session import local_table
 from ..functions.small import round_half_up
 from ..matrix import BROADCAST_BYTES, Matrix
 from ..sinks.stats import metrics_table
@@ -69,5 +70,5 @@ def kth_singular_value_run(
             if len(factors.sigma) == 0:
                 break
             state = advance(made, factors, state)
-    result = spark.createDataFrame([(k, float(value), used)], "k int, sigma double, iterations int")
+    result = local_table(spark, [(k, float(value), used)], "k int, sigma double, iterations int")
     return result, metrics_table(spark, records)

@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.session import local_table
+
 METRICS_SCHEMA = (
     "app string, dataset string, n_rows bigint, n_cols bigint, iter int, preprocess_sec double, "
     "sketch_sec double, error double, k_sigma double"
@@ -15,7 +17,7 @@ METRICS_SCHEMA = (
 
 def metrics_table(spark: SparkSession, records: Iterable[tuple]) -> DataFrame:
     """The metrics of one run (as many rows as it had iterations)."""
-    return spark.createDataFrame(list(records), METRICS_SCHEMA)
+    return local_table(spark, list(records), METRICS_SCHEMA)
 
 
 def write_metrics(metrics: DataFrame, path: str, fmt: str = "json") -> None:
