@@ -32,6 +32,10 @@ from .functions.session import scratch_path
 
 # Largest estimated size of a table that may be broadcast.
 BROADCAST_BYTES = 64 * 1024 * 1024
+# Grid blocks per task, so that hashing them to tasks comes out even.
+BLOCKS_PER_TASK = 4
+# How far the session's number of shuffle partitions may be exceeded to keep blocks small.
+MAX_TASK_GROWTH = 4
 # Dense components handled per generated aggregate; wider operands are split into blocks of rows.
 BLOCK_WIDTH = 16
 
@@ -153,18 +157,22 @@ class Layout:
         row_bytes, col_bytes = table_bytes(self.n_rows, width), table_bytes(self.n_cols, width)
         default = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.kind = "rows" if col_bytes <= broadcast_bytes else "grid"
+        # Size aimed at for the part of a dense operand that one task joins with.
         block = max(1, broadcast_bytes // 4)
         self.row_blocks = self.col_blocks = 1
-        self.partitions = partitions or default
+        self._hash_blocks = True
         if self.kind == "rows":
-            self.partitions = partitions or max(default, math.ceil(row_bytes / block))
+            self.partitions = max(partitions or default, math.ceil(row_bytes / block))
         else:
-            self.row_blocks = max(1, math.ceil(row_bytes / block))
-            self.col_blocks = math.ceil(col_bytes / block)
-            short = 4 * self.partitions / (self.row_blocks * self.col_blocks)
-            if short > 1:
-                self.row_blocks = math.ceil(self.row_blocks * short)
-            self.partitions = partitions or max(default, self.row_blocks * self.col_blocks // 4)
+            # Copies made per pass are n_rows * col_blocks + n_cols * row_blocks; for a given number
+            # of blocks they are fewest when row and column blocks are about equally large.
+            wanted = math.ceil(row_bytes * col_bytes / block**2 / BLOCKS_PER_TASK)
+            self.partitions = partitions or max(default, min(wanted, MAX_TASK_GROWTH * default))
+            blocks = BLOCKS_PER_TASK * self.partitions
+            self.row_blocks = max(1, min(self.n_rows, math.ceil(math.sqrt(blocks * self.n_rows / self.n_cols))))
+            self.col_blocks = max(1, min(self.n_cols, math.ceil(blocks / self.row_blocks)))
+            # Larger blocks go through a sort-merge join, which can spill.
+            self._hash_blocks = max(row_bytes / self.row_blocks, col_bytes / self.col_blocks) <= broadcast_bytes
         entries = matrix.clean()
         if self.kind == "rows":
             # Sorted once: in each pass the sum and the join back then touch one row at a time.
@@ -213,7 +221,7 @@ class Layout:
             return entries.join(table, "col_id")
         copies = F.explode(F.sequence(F.lit(0), F.lit(self.row_blocks - 1)))
         table = table.withColumn("cb", self._block("col_id", self.col_blocks)).withColumn("rb", copies)
-        return entries.join(table.hint("shuffle_hash"), ["rb", "cb", "col_id"])
+        return entries.join(self._block_hint(table), ["rb", "cb", "col_id"])
 
     def join_rows(self, entries: DataFrame, table: DataFrame, width: int) -> DataFrame:
         """Entries joined with a ``row_id`` table of ``width`` doubles per row, leaving Y in place."""
@@ -224,7 +232,10 @@ class Layout:
         if "rb" not in table.columns:
             table = table.withColumn("rb", self._block("row_id", self.row_blocks))
         copies = F.explode(F.sequence(F.lit(0), F.lit(self.col_blocks - 1)))
-        return entries.join(table.withColumn("cb", copies).hint("shuffle_hash"), ["rb", "cb", "row_id"])
+        return entries.join(self._block_hint(table.withColumn("cb", copies)), ["rb", "cb", "row_id"])
+
+    def _block_hint(self, table: DataFrame) -> DataFrame:
+        return table.hint("shuffle_hash") if self._hash_blocks else table
 
     def _sketch_blocks(self, table: DataFrame, cols: list[str], where: Column | None = None) -> DataFrame:
         """Y*W in block form, one row per matrix row (and component block)."""

@@ -14,7 +14,6 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions.columns import combine, names, shifted, triangle
 from ..functions.session import ensure_checkpoint_dir
@@ -88,7 +87,7 @@ def image(layout: Layout, state: State) -> Image:
     c, w, v = names("c", state.width), state.w, state.v
     made = layout.normal_image(state.table, w, state.mean)
     if layout.small_columns(state.width):
-        made = F.broadcast(made)
+        made = made.hint("shuffle_hash")
     table = state.table.join(made, "col_id", "left").selectExpr("col_id", "mu", *v, *w, *zeros_if_missing(c)).checkpoint()
     pairs = triangle(w, c) + triangle(c, c) + [("mu", a) for a in c] + [(a, b) for a in v for b in c]
     found = column_products(table, pairs)

@@ -181,3 +181,27 @@ def test_filters_reach_the_scan(spark):
     plan = plan_of(read_matrix(spark, path, n_cols=5).entries)
     assert "GreaterThanOrEqual(col_id,0)" in plan.split("PushedFilters")[1]
     assert "unused" not in plan.split("ReadSchema")[1]
+
+
+def test_grid_is_balanced_for_large_dimensions(spark):
+    from rankfold import Matrix
+
+    cells = spark.range(1).selectExpr("id AS row_id", "id AS col_id", "1.0D AS value")
+    for n_rows, n_cols in ((10**9, 10**9), (10**9, 10**6), (10**6, 10**9)):
+        placed = Matrix(cells, n_rows, n_cols).lay_out(8, partitions=20_000)
+        assert placed.kind == "grid"
+        assert placed.row_blocks * placed.col_blocks >= 4 * 20_000
+        assert 0.2 < (n_rows / placed.row_blocks) / (n_cols / placed.col_blocks) < 5
+    tall = Matrix(cells, 10**10, 10**4).lay_out(8)
+    assert tall.kind == "rows" and tall.partitions > 10_000
+
+
+def test_large_blocks_are_joined_by_sort_merge(spark, coo, small):
+    m = coo(small[0])
+    w = table_of(spark, small[1][:, :2], "w")
+    with m.lay_out(2, broadcast_bytes=100, partitions=2) as placed:
+        assert placed.kind == "grid"
+        image = placed.normal_image(w, names("w", 2), np.zeros(2))
+        assert any("SortMergeJoin" in line for line in live(plan_of(image)))
+        got = dense_of(image, "col_id", names("c", 2), 12)
+    np.testing.assert_allclose(got, small[0].T @ (small[0] @ small[1][:, :2]), atol=1e-10)
