@@ -32,8 +32,8 @@ from .functions.session import scratch_path
 
 # Largest estimated size of a table that may be broadcast.
 BROADCAST_BYTES = 64 * 1024 * 1024
-# Grid blocks per task, so that hashing them to tasks comes out even.
-BLOCKS_PER_TASK = 4
+# Grid blocks per task: enough that hashing them to tasks comes out even and hot ids are spread.
+BLOCKS_PER_TASK = 8
 # How far the session's number of shuffle partitions may be exceeded to keep blocks small.
 MAX_TASK_GROWTH = 4
 # Dense components handled per generated aggregate; wider operands are split into blocks of rows.
