@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import decontaminate, language, licenses, mixing, quality, suffixes, topk, urls, warc
 from .neardup import near_duplicates
 from .shared import documents
 
@@ -18,7 +20,91 @@ def _query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
     return run
 
 
+@_query
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in which a benchmark item is found, with its scores."""
+    return decontaminate.contamination(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+#: Weights of the sources in code-point order, repeating.
+MIX_WEIGHTS = [3.0, 1.0, 2.0]
+
+
+@_query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each document a mix of 150% of all words takes."""
+    return mixing.mixture(documents(spark, sf_dir), MIX_WEIGHTS, share=1.5, ceiling=2.0).drop("copies")
+
+
+@_query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents drawn by importance resampling towards the good labels."""
+    return quality.resampled(documents(spark, sf_dir), documents(spark, sf_dir, "labels")).drop("key")
+
+
+@_query
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and signatures of every document."""
+    return licenses.digest(licenses.scanned(documents(spark, sf_dir)))
+
+
+@_query
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; a quarter of them is held out of the training."""
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 4 == 2, F.lit(False)).alias("held_out")
+    models = language.train(docs.where(~held_out))
+    found = language.identify(docs, models, "doc_id", "text", held_out)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")
+
+
+@_query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to seekable archives and read back."""
+    read = warc.archived(documents(spark, sf_dir, "pages"), min_revisit_bytes=0)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Verdict, and host with a path prefix.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+@_query
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url."""
+    return urls.judged(documents(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "block_probability")
+
+
+@_query
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten largest inner products of every hundredth vector with all others."""
+    return topk.top_k(documents(spark, sf_dir, "embeddings"), every=100, k=10, scale=1024)
+
+
+ORACLES["op8_top_k"] = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+), ranked AS (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+    FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 @_query
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents linked at a similarity of 0.8 of their two-word shingles, with components."""
     return near_duplicates(documents(spark, sf_dir), shingle=2, percent=80)
+
+
+@_query
+def op10_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 400-byte strings that stand anywhere else too."""
+    return suffixes.repeated_strings(documents(spark, sf_dir), length=400)
