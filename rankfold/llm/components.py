@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop, kept
+from .shared import drop, fewer, kept
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,27 +15,20 @@ def components(edges: DataFrame) -> DataFrame:
     then follows the root's own root, so long chains shrink geometrically. A hub adds rows to a join that
     adaptive execution can split, never to one group.
     """
-    both = kept(
-        edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(),
-        "edges",
-    )
-    roots = kept(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")), "roots")
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b")
+    first = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b"))
+    roots = kept(fewer(first.select("node", F.least("node", "b").alias("root"))), "roots")
     while True:
-        near = (
-            both.join(roots, both.b == roots.node)
-            .select(F.col("a").alias("node"), "root")
-            .unionByName(roots)
-            .groupBy("node")
-            .agg(F.min("root").alias("near"))
-        )
+        heard = fewer(both.join(roots, both.b == roots.node)).select(F.col("a").alias("node"), "root", F.lit(False).alias("own"))
+        near = heard.unionByName(roots.withColumn("own", F.lit(True))).groupBy("node")
+        near = near.agg(F.min("root").alias("near"), F.max(F.when(F.col("own"), F.col("root"))).alias("before"))
+        near = fewer(near)
         jump = roots.select(F.col("node").alias("near"), F.col("root").alias("far"))
-        step = near.join(jump, "near", "left").select("node", F.coalesce("far", "near").alias("root"))
-        changed = step.join(roots.withColumnRenamed("root", "before"), "node")
-        after = kept(changed.select("node", "root", (F.col("root") != F.col("before")).alias("moved")), "roots")
+        after = near.join(jump, "near").select("node", F.col("far").alias("root"), (F.col("far") != F.col("before")).alias("moved"))
+        after = kept(fewer(after), "roots")
         drop(roots)
         moved = after.where("moved").limit(1).count()
         path, roots = after.kept_path, after.drop("moved")
         roots.kept_path = path
         if not moved:
-            drop(both)
             return roots

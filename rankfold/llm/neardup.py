@@ -4,10 +4,11 @@ Each text becomes the set of its word shingles. Equal sets fall together by a 12
 remaining sets are cut into bands; sets that agree in a band are candidates. A candidate pair must have a
 likely similarity near the threshold (joint likelihood of the registers) and is then confirmed on its full sets.
 
-No bucket is ever expanded into all its pairs. First each bucket pairs its members with one leader. Buckets that
-still hold several components draw other leaders, round by round, until that links nothing more; then the few
-members outside a bucket's main component are compared with the whole bucket. A pair at the threshold shares about
-a quarter of all bands, so it has that many chances.
+No bucket is ever expanded into all its pairs. A bucket pairs its members with one leader; a text is first compared
+with the leader it shares most bands with, then with its other leaders as far as they are still in other components.
+In buckets that even then hold several components, the few members outside the main one are compared with the whole
+bucket, until that links nothing more. A pair at the threshold shares about a quarter of all bands, so it has that
+many chances.
 """
 
 from __future__ import annotations
@@ -19,13 +20,13 @@ from pyspark.sql import functions as F
 
 from . import scan, setsketch
 from .components import components
-from .shared import kept
+from .shared import fewer, kept
 
 REGISTERS, BAND = 288, 6
 #: Estimates may fall short of the true similarity by this much (about five standard deviations at 0.8).
 SLACK = 0.13
 #: Up to so many members of a bucket outside its main component are compared with all of the bucket.
-STRAYS = 64
+STRAYS = 8
 
 
 def _sets_of(column: pa.Array, shingle: int):
@@ -74,7 +75,7 @@ def _banded(batches):
             table = raw.view(np.uint16).reshape(-1, REGISTERS)[lo : lo + 4096]
             hashes = setsketch.band_hashes(table, BAND).view(np.int64)
             at = pa.array(np.repeat(np.arange(lo, lo + len(table)), hashes.shape[1]))
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.ravel()), batch.column("key").take(at)], ["bucket", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.ravel()), batch.column("key").take(at), batch.column("n").take(at)], ["bucket", "key", "n"])
 
 
 def _likely(least: float):
@@ -133,33 +134,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = kept(source.mapInArrow(_sketched(shingle), "id bigint, n bigint, key binary, registers binary"), "sketches")
     texts = rows.where("n > 0").groupBy("key").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.first("registers").alias("registers"))
     texts = kept(texts, "sets")
-    bands = texts.select("key", "registers").mapInArrow(_banded, "bucket bigint, key binary")
+    bands = texts.select("key", F.col("n").cast("int").alias("n"), "registers").mapInArrow(_banded, "bucket bigint, key binary, n int")
     sizes = bands.groupBy("bucket").agg(F.count("*").alias("members"), F.min("key").alias("leader")).where("members > 1")
     members = kept(bands.join(sizes, "bucket"), "buckets")
 
-    shared = members.select("key").distinct()
-    firsts = texts.join(shared, "key", "left_semi").select(F.col("first").alias("id"))
-    firsts = firsts.distinct()
+    firsts = texts.join(members.select("key").distinct(), "key", "left_semi").select(F.col("first").alias("id")).distinct()
     wanted = source.join(firsts, source.id.eqNullSafe(firsts.id), "left_semi")
     elements = wanted.select("text").mapInArrow(_with_sets(shingle), "key binary, elements binary")
     elements = kept(elements.groupBy("key").agg(F.first("elements").alias("elements")), "elements")
 
-    pairs = kept(members.where("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
-    links = tested = None
-    turn, complete = 0, False
+    stars = members.where("key <> leader").groupBy(F.col("leader").alias("a"), F.col("key").alias("b")).agg(F.count("*").alias("bands"))
+    stars = kept(fewer(stars), "stars")
+    best = stars.groupBy("b").agg(F.min(F.struct((-F.col("bands")).alias("bands"), "a")).alias("x")).select("x.a", "b")
+    links = _links(best, texts, elements, percent)
+    roots = components(links)
+    rest = _across(stars.join(best, ["a", "b"], "left_anti").select("a", "b"), roots)
+    found, tested, turn = _links(rest, texts, elements, percent), stars.select("a", "b"), 0
     while True:
-        found = _links(pairs, texts, elements, percent)
-        tested = pairs if tested is None else kept(tested.unionByName(pairs), "tested")
-        if turn and not found.limit(1).count():
-            if complete:
-                break
-            complete = True  # leaders find nothing more: compare what is left outside each bucket's component
-        else:
-            complete = False
-            links = found if links is None else kept(links.unionByName(found), "links")
+        if found.limit(1).count():
+            links = links.unionByName(found)
             roots = components(links)
+        elif turn:
+            break
         turn += 1
-        pairs = _further_pairs(members, roots, tested, turn, complete)
+        rest = _further_pairs(members, roots, tested, percent, turn)
+        found, tested = _links(rest, texts, elements, percent), tested.unionByName(rest)
     classes = texts.select("key", "first").join(roots.select(F.col("node").alias("key"), "root"), "key", "left")
     classes = classes.withColumn("root", F.coalesce("root", "key"))
     smallest = classes.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -174,34 +173,52 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all columns, that near_duplicates() keeps: one document of each group.
+
+    Of repeated rows (same doc_id and text) one stays. Rows with a null doc_id stay unless linked to a document with an id.
+    """
+    stay = near_duplicates(docs.select("doc_id", "text"), shingle=shingle, percent=percent).where("kept").select("doc_id").distinct()
+    return docs.join(stay, docs.doc_id.eqNullSafe(stay.doc_id), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
 def _links(pairs: DataFrame, texts: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
     """The pairs that are likely by their registers and linked by their full sets."""
     side = lambda c: texts.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("registers").alias(f"r{c}"))
-    near = pairs.join(side("b"), "b").join(side("a"), "a").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    near = fewer(fewer(pairs.join(side("b"), "b")).join(side("a"), "a")).where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     near = near.mapInArrow(_likely(percent / 100 - SLACK), "a binary, b binary")
     full = lambda c: elements.select(F.col("key").alias(c), F.col("elements").alias(f"e{c}"))
-    found = near.join(full("b"), "b").join(full("a"), "a").mapInArrow(_confirmed(percent), "a binary, b binary")
-    return kept(found, "links")
+    found = fewer(fewer(near.join(full("b"), "b")).join(full("a"), "a")).mapInArrow(_confirmed(percent), "a binary, b binary")
+    return kept(fewer(found), "links")
 
 
-def _further_pairs(members: DataFrame, roots: DataFrame, tested: DataFrame, turn: int, complete: bool) -> DataFrame:
-    """Untested pairs across components within buckets: members with four leaders drawn anew, or, if `complete`,
-    everything outside the component of a drawn member with the whole bucket."""
+def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs [a, b] whose texts are still in different components."""
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    rooted = fewer(fewer(pairs.join(of("b"), "b", "left")).join(of("a"), "a", "left"))
+    return rooted.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+
+def _further_pairs(members: DataFrame, roots: DataFrame, tested: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Untested pairs of buckets that hold several components.
+
+    Members outside the component of a drawn member are compared with the whole bucket if they are few or the bucket
+    is small, else with the drawn member. Only pairs whose set sizes allow the similarity count.
+    """
     root = roots.select(F.col("node").alias("key"), "root")
-    rooted = members.where("members > 2").select("bucket", "key").join(root, "key", "left")
+    rooted = members.where("members > 2").select("bucket", "key", "n", "members").join(root, "key", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "key"))
-    one = F.struct("key", "root")
-    draws = [F.xxhash64("key", F.lit(turn), F.lit(k)) for k in (0, 1)]
-    leaders = [pick(one, draw) for draw in draws for pick in (F.min_by, F.max_by)]
-    sizes = rooted.groupBy("bucket").agg(F.array(*leaders).alias("leaders"), F.min("root").alias("low"), F.max("root").alias("high"))
-    open_ = rooted.join(sizes.where("low <> high").select("bucket", "leaders"), "bucket")
-    if complete:
-        open_ = kept(open_, "open")
-        strays = open_.where("root <> leaders[0].root").select("bucket", F.col("key").alias("stray"), F.col("root").alias("stray_root"))
-        few = strays.groupBy("bucket").count().where(F.col("count") <= STRAYS).select("bucket")
-        sides = strays.join(few, "bucket").join(open_.select("bucket", "key", "root"), "bucket").where("root <> stray_root")
-        pairs = sides.select(F.least("key", "stray").alias("a"), F.greatest("key", "stray").alias("b"))
-    else:
-        star = open_.select("key", "root", F.explode("leaders").alias("x")).where("root <> x.root")
-        pairs = star.select(F.least("key", "x.key").alias("a"), F.greatest("key", "x.key").alias("b"))
-    return kept(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    lead = F.min_by(F.struct("key", "root", "n"), F.xxhash64("key", F.lit(turn)))
+    rooted = fewer(rooted)
+    sizes = rooted.groupBy("bucket").agg(lead.alias("lead"), F.min("root").alias("low"), F.max("root").alias("high"))
+    open_ = rooted.join(sizes.where("low <> high").select("bucket", "lead"), "bucket")
+    open_ = kept(fewer(open_.withColumn("stray", F.col("root") != F.col("lead.root"))), "open")
+    few = open_.groupBy("bucket").agg(F.count_if("stray").alias("strays"), F.first("members").alias("members"))
+    few = fewer(few.where((F.col("strays") <= STRAYS) | (F.col("strays") * F.col("members") <= STRAYS * 256)).select("bucket"))
+    fits = f"100 * least(n, other_n) >= {percent} * greatest(n, other_n)"
+    strays = fewer(open_.where("stray").join(few, "bucket")).select("bucket", F.col("key").alias("other"), F.col("root").alias("other_root"), F.col("n").alias("other_n"))
+    sides = open_.select("bucket", "key", "root", "n").join(strays, "bucket").where(f"root <> other_root and {fits}").select("key", "other")
+    drawn = open_.where("stray").join(few, "bucket", "left_anti").select("key", F.col("lead.key").alias("other"), "n", F.col("lead.n").alias("other_n"))
+    sides, drawn = fewer(sides), fewer(drawn.where(fits).select("key", "other"))
+    pairs = sides.unionByName(drawn).select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b"))
+    return kept(fewer(fewer(pairs.distinct()).join(tested, ["a", "b"], "left_anti")), "pairs")
