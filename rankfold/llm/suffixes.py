@@ -8,8 +8,9 @@ and how often that pair occurs.
 
 Texts come in batches. Each batch becomes a sorted level; two levels of the same rank merge into one of the next rank,
 so every entry is rewritten at most log2(batches) times. A last merge scan over the remaining levels finds suffixes that
-occur more than once. Where a whole stretch repeats, all its strings do. Else its strings are compared one by one,
-through fingerprints of all `length` bytes.
+occur more than once. Where a whole stretch repeats, all its strings do. Else the distinct stretches of a suffix are
+brought together and their strings compared through fingerprints of all `length` bytes; suffixes with more than
+TOGETHER distinct stretches are not gathered, their strings are grouped by fingerprint instead.
 """
 
 from __future__ import annotations
@@ -24,6 +25,9 @@ from pyspark.sql import functions as F
 from . import scan
 from .shared import drop, kept
 
+#: Most distinct stretches of one suffix that one task takes together, about 600 bytes each.
+TOGETHER = 20_000
+
 _POSITION = np.uint64((1 << 28) - 1)
 
 
@@ -78,27 +82,98 @@ def _indexed(length: int, head: int):
     return run
 
 
-def _fingerprints(length: int):
+def _stretch_texts(length: int):
+    """The bytes of each asked stretch."""
+
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                buf, _ = scan.text_bytes(batch.column("text").slice(i, 1))
-                prefix = scan.prefix_hashes(buf)
-                asked = batch.column("asked")[i].as_py()
+                raw, asked = batch.column("text")[i].as_py().encode(), batch.column("asked")[i].as_py()
                 for lo in range(0, len(asked), 2000):
                     part = asked[lo : lo + 2000]
-                    starts = np.concatenate([np.arange(x["start"], x["start"] + x["strings"]) for x in part])
-                    times = np.repeat([min(x["times"], 2) for x in part], [x["strings"] for x in part])
-                    prints = scan.span_hashes(prefix, starts, starts + length).view(np.int64)
-                    whose = pa.array(np.full(len(starts), i))
+                    whose = pa.array(np.full(len(part), i))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(prints), pa.array(times.astype(np.int32)), batch.column("name").take(whose), batch.column("n").take(whose), pa.array(starts.astype(np.int32))],
-                        ["print", "times", "name", "n", "start"],
+                        [
+                            pa.array([x["key"] for x in part], pa.int64()),
+                            pa.array([raw[x["start"] : x["start"] + x["strings"] - 1 + length] for x in part], pa.binary()),
+                            pa.array([min(x["times"], 2) for x in part], pa.int32()),
+                            batch.column("name").take(whose),
+                            batch.column("n").take(whose),
+                            pa.array([x["start"] for x in part], pa.int32()),
+                        ],
+                        ["key", "bytes", "times", "name", "n", "start"],
                     )
 
     return run
 
 
+def _strings(table: pa.Table | pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place in the row, fingerprint) of every string of some stretches."""
+    buf, offsets = scan.text_bytes(table.column("bytes"))
+    count = np.diff(offsets) - length + 1
+    row = np.repeat(np.arange(len(count)), count)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    starts = offsets[row] + place
+    return row, place, scan.span_hashes(scan.prefix_hashes(buf), starts, starts + length)
+
+
+def _compared(length: int):
+    """Runs of repeated strings of stretches that come sorted by suffix, all of one suffix in one task."""
+
+    def repeats(table: pa.Table) -> pa.RecordBatch:
+        row, place, prints = _strings(table, length)
+        times = table.column("times").to_numpy()[row]
+        order = np.argsort(prints)
+        begin = np.flatnonzero(np.append(True, prints[order][1:] != prints[order][:-1])) if len(order) else order
+        total = np.add.reduceat(times[order], begin) if len(order) else times
+        again = np.zeros(len(row), bool)
+        again[order] = np.repeat(total > 1, np.diff(np.append(begin, len(order))))
+        again &= times == 1
+        before = np.append(False, again[:-1] & (row[1:] == row[:-1])) if len(row) else again
+        first = np.flatnonzero(again & ~before)
+        after = np.append(again[1:] & (row[1:] == row[:-1]), False) if len(row) else again
+        last = np.flatnonzero(again & ~after)
+        at = pa.array(row[first])
+        start = table.column("start").to_numpy()[row[first]] + place[first]
+        names = [table.column(c).combine_chunks().take(at) for c in ("name", "n")]
+        return pa.RecordBatch.from_arrays([*names, pa.array(start, pa.int32()), pa.array(last - first + 1, pa.int32())], ["name", "n", "start", "strings"])
+
+    def run(batches):
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            waiting.append(batch)
+            if sum(b.nbytes for b in waiting) < 4 << 20:
+                continue
+            table = pa.Table.from_batches(waiting)
+            keys = table.column("key").to_numpy()
+            whole = int(np.searchsorted(keys, keys[-1]))  # the last suffix may go on in the next batch
+            if whole:
+                yield repeats(table.slice(0, whole))
+            waiting = table.slice(whole).to_batches()
+        if waiting:
+            yield repeats(pa.Table.from_batches(waiting))
+
+    return run
+
+
+def _fingerprints(length: int):
+    """One row per string of the stretches."""
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                row, place, prints = _strings(part, length)
+                at = pa.array(row)
+                start = part.column("start").to_numpy()[row] + place
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(prints.view(np.int64)), *(part.column(c).take(at) for c in ("times", "name", "n")), pa.array(start, pa.int32())],
+                    ["print", "times", "name", "n", "start"],
+                )
+
+    return run
+
+
 def _cut(length: int, with_text: bool):
     def run(batches):
         for batch in batches:
@@ -202,26 +277,35 @@ def _changes(source: DataFrame, length: int, batches: int, with_text: bool) -> t
     levels = index_levels(suffixes, batches)
     whole = levels[0] if len(levels) == 1 else _merged(levels)
     groups = whole.groupBy("key").agg(F.sum("times").alias("total"), F.count("*").alias("stretches"), F.min("times").alias("least")).where("total > 1")
-    hits = whole.join(groups, "key").select("key", "stretch", "times", (F.col("times") > 1).alias("repeats"), ((F.col("stretches") > 1) & (F.col("least") == 1)).alias("compare"))
-    found = kept(suffixes.join(hits, ["key", "stretch"]).select("key", "stretch", "name", "n", "start", "strings", "times", "repeats", "compare"), "hits")
+    hits = whole.join(groups, "key").select("key", "stretch", "times", (F.col("times") > 1).alias("repeats"), ((F.col("stretches") > 1) & (F.col("least") == 1)).alias("compare"), "stretches")
+    found = kept(suffixes.join(hits, ["key", "stretch"]).select("key", "stretch", "name", "n", "start", "strings", "times", "stretches", "repeats", "compare"), "hits")
     for level in levels:
         drop(level)
     drop(suffixes)
 
     texts = rows.groupBy("name", "n").agg(F.count("*").alias("copies"), F.min("id").alias("id"))
-    place = F.struct("name", "n", "start", "strings", F.col("times").cast("int").alias("times"))
-    asked = found.where("compare").groupBy("key", "stretch").agg(F.min(place).alias("p")).select("p.*")
-    asked = asked.groupBy("name", "n").agg(F.collect_list(F.struct("start", "strings", "times")).alias("asked"))
+    one = F.struct("name", "n", "start", "strings", F.least("times", F.lit(2)).cast("int").alias("times"), (F.col("stretches") > TOGETHER).alias("many"))
+    asked = found.where("compare").groupBy("key", "stretch").agg(F.min(one).alias("p")).select("key", "p.*")
+    asked = asked.groupBy("name", "n").agg(F.collect_list(F.struct("key", "start", "strings", "times", "many")).alias("asked"))
     need = found.where("repeats or compare").select("name", "n").distinct().join(texts, ["name", "n"])
     need = need.join(asked, ["name", "n"], "left").where("copies = 1 or asked is not null")
     need = need.select(F.col("id").alias("first"), F.col("name").alias("need_name"), F.col("n").alias("need_n"), "copies", "asked")
     same = source.id.eqNullSafe(need["first"]) & (source.name == need.need_name) & (source.n == need.need_n)
     wanted = kept(source.where(F.col("n") >= length).join(need, same).select("name", "n", "text", "copies", "asked"), "wanted")
 
-    prints = wanted.where("asked is not null").select("text", "name", "n", "asked").mapInArrow(_fingerprints(length), "print bigint, times int, name bigint, n bigint, start int")
-    prints = kept(prints, "prints")
-    again = prints.groupBy("print").agg(F.sum("times").alias("total")).where("total > 1").select("print")
-    singles = prints.where("times = 1").join(again, "print").select("name", "n", "start", F.lit(1).alias("strings"))
+    kind = "key bigint, bytes binary, times int, name bigint, n bigint, start int"
+    few, many = F.expr("filter(asked, x -> NOT x.many)"), F.expr("filter(asked, x -> x.many)")
+    asking = wanted.where("asked is not null").select("text", "name", "n", few.alias("asked"), many.alias("many"))
+    together = asking.where("size(asked) > 0").drop("many").mapInArrow(_stretch_texts(length), kind)
+    together = together.repartition("key").sortWithinPartitions("key")
+    singles = together.mapInArrow(_compared(length), "name bigint, n bigint, start int, strings int")
+    hot = asking.where("size(many) > 0").select("text", "name", "n", F.col("many").alias("asked"))
+    if hot.limit(1).count():
+        prints = hot.mapInArrow(_stretch_texts(length), kind).mapInArrow(_fingerprints(length), "print bigint, times int, name bigint, n bigint, start int")
+        prints = kept(prints, "prints")
+        again = prints.groupBy("print").agg(F.sum("times").alias("total")).where("total > 1").select("print")
+        more = prints.where("times = 1").join(again, "print").select("name", "n", "start", F.lit(1).alias("strings"))
+        singles = singles.unionByName(more)
     spans = found.where("repeats").select("name", "n", "start", "strings").unionByName(singles)
     spans = spans.groupBy("name", "n").agg(F.collect_list(F.struct("start", "strings")).alias("spans"))
     cut = wanted.where("copies = 1").join(spans, ["name", "n"]).select("text", "name", "n", "spans")
