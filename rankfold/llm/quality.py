@@ -110,11 +110,19 @@ def _small(ids: DataFrame, rows: int = 500_000) -> bool:
     return ids.limit(rows + 1).count() <= rows
 
 
-def good_share(labels: DataFrame) -> float:
-    """Share of good documents among the labelled ones; 1 without labels."""
-    good = F.when(F.expr("quality = 1 and coalesce(toxic, 0) = 0"), 1.0).otherwise(0.0)
-    share = labels.where("quality is not null").agg(F.avg(good)).first()[0]
-    return 1.0 if share is None else float(share)
+def good_count(weights: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> int:
+    """How many documents to draw: those whose weight is above the middle between good and bad labelled documents.
+
+    The middle lies between the 1% quantile of the weights of quality 1 and the 99% quantile of those of quality 0. If
+    either has no document with words, all documents count.
+    """
+    marks = labels.where("quality is not null").select(labels["doc_id"].alias("marked"), (labels["quality"] == 1).alias("good"))
+    known = weights.join(marks, weights[id_col] == marks.marked)
+    low, high = known.agg(
+        F.percentile_approx(F.when(F.col("good"), F.col("log_weight")), 0.01),
+        F.percentile_approx(F.when(~F.col("good"), F.col("log_weight")), 0.99),
+    ).first()
+    return weights.count() if low is None or high is None else weights.where(F.col("log_weight") >= (low + high) / 2).count()
 
 
 def _gumbel(seed: int, *keys: str):
@@ -123,49 +131,42 @@ def _gumbel(seed: int, *keys: str):
     return -F.log(-F.log(uniform))
 
 
-def resampled(docs: DataFrame, labels: DataFrame, share: float | None = None, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
-    """[id_col, log_weight, n_features, key]: the k documents drawn, k = round(share * rows with words).
+def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
+    """[id_col, log_weight, n_features, key]: the k documents drawn, by default as many as good_count() says.
 
-    share defaults to good_share(labels). key is the log-weight plus Gumbel noise; the k largest keys are drawn (ties: all
-    documents at the k-th key). Documents without words are never drawn. Null ids draw by a hash of their nullness;
-    repeated rows have equal keys and are drawn together. An empty table, or no labels, gives all documents with words.
+    key is the log-weight plus Gumbel noise that depends on the id; the k largest keys are drawn (ties: all documents at the
+    k-th key). Documents without words are never drawn. Null ids share one noise; repeated rows have equal keys and are
+    drawn together. An empty table gives an empty table; without labels of both kinds all documents with words are drawn.
     """
     weights = importance_weights(docs, labels, id_col, text_col).where("n_features > 0")
     weights = kept(weights.withColumn("key", F.col("log_weight") + _gumbel(seed, id_col)), "weights")
-    rows = weights.count()
-    k = round((good_share(labels) if share is None else share) * rows)
+    k = good_count(weights, labels, id_col) if k is None else k
     return weights.where(F.col("key") >= F.lit(_kth_largest(weights, k)))
 
 
 def _kth_largest(weights: DataFrame, k: int) -> float:
-    """The k-th largest key, by narrowing an interval with counts of 1000 bins; no sort, a few small scans."""
-    if k <= 0:
+    """The k-th largest key, by narrowing an interval with counts of up to 1000 bins; no sort, a few small scans."""
+    lo, hi, n = weights.agg(F.min("key"), F.max("key"), F.count("*")).first()
+    if k <= 0 or not n:
         return float("inf")
-    lo, hi = weights.agg(F.min("key"), F.max("key")).first()
-    if lo is None:
-        return float("-inf")
-    above = 0  # keys larger than the interval
-    while True:
+    if k >= n:
+        return lo
+    above = 0  # keys larger than hi
+    while lo < hi:
         inside = weights.where(F.col("key").between(lo, hi))
-        width = (hi - lo) / 1000
-        if width <= 0 or lo + width == lo or hi - width == hi:
-            return lo
-        bins = inside.groupBy(F.least(F.lit(999), F.floor((F.col("key") - lo) / width)).alias("bin"))
-        bins = bins.agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).collect()
-        for row in sorted(bins, key=lambda r: -r["bin"]):
+        place = F.floor((F.col("key") - lo) / F.lit((hi - lo) / 1000))
+        bins = inside.groupBy(place.alias("bin")).agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
+        for row in sorted(bins.collect(), key=lambda r: -r["high"]):
             if above + row["n"] >= k:
                 break
             above += row["n"]
-        else:
-            return lo
-        if row["low"] == row["high"] or (row["low"], row["high"]) == (lo, hi):
-            return row["low"] if row["low"] == row["high"] else float(inside.agg(F.min("key")).first()[0])
+        if (row["low"], row["high"]) == (lo, hi):  # too close to part
+            break
         lo, hi = row["low"], row["high"]
-        if row["n"] == 1:
-            return lo
+    return lo
 
 
-def quality_filtered(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 0) -> DataFrame:
+def quality_filtered(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 0) -> DataFrame:
     """The rows of docs that resampled() draws, with all their columns."""
-    drawn = resampled(docs, labels, share, seed=seed).select("doc_id").distinct()
-    return docs.join(drawn, docs.doc_id.eqNullSafe(drawn.doc_id), "left_semi")
+    drawn = resampled(docs, labels, k, seed=seed).select(F.col("doc_id").alias("drawn")).distinct()
+    return docs.join(drawn, docs["doc_id"].eqNullSafe(drawn["drawn"]), "left_semi")
