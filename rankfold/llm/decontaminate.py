@@ -20,7 +20,7 @@ from . import scan
 from .shared import kept
 
 K1, B = 1.2, 0.75
-BLOCK, RANGES = 8, 32
+BLOCK, RANGES = 8, 128
 #: Texts of test items per index, in bytes. Larger benchmarks are searched in several passes.
 INDEX_BYTES = 16 << 20
 #: Word runs compared between a passage and an item.
@@ -88,6 +88,14 @@ class Index:
         hit = self.vocabulary[term] == words[maybe]
         return maybe[hit], term[hit]
 
+    def _upper(self, group: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
+        """For each of n groups of terms (sorted by group) and each item range, the sum of the largest weights."""
+        upper = np.zeros((n, RANGES), np.float32)
+        if len(group):
+            begin = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            upper[group[begin]] = np.add.reduceat(self.bounds[term], begin, axis=0)
+        return upper
+
     def block_max_wand(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """All (item, score) with score >= threshold for a query of distinct terms."""
         end = len(self.rows)
@@ -146,20 +154,27 @@ class Index:
         n = int(blocks_of.sum())
         pairs = np.unique(block * (len(self.vocabulary) + 1) + term)
         block, term = pairs // (len(self.vocabulary) + 1), pairs % (len(self.vocabulary) + 1)
-        upper = np.zeros((n + 1, RANGES), np.float32)
-        if len(block):
-            begin = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-            upper[block[begin]] = np.add.reduceat(self.bounds[term], begin, axis=0)
+        upper = self._upper(block, term, n + 1)
         last = np.zeros(n, bool)
         last[(first_block + blocks_of - 1)[blocks_of > 0]] = True
         upper[:-1][~last] += upper[1:][~last]  # a passage is a block and the next one of the same text
         owners = np.repeat(np.arange(len(counts)), blocks_of)
         edges = np.searchsorted(block, np.arange(n + 1))
+        likely = np.flatnonzero(upper[:-1].max(axis=1) >= threshold)
+        # the same bound once more, without counting terms twice that stand in both blocks
+        ends = np.where(last[likely], edges[likely + 1], edges[np.minimum(likely + 2, n)])
+        size = ends - edges[likely]
+        which = np.repeat(np.arange(len(likely)), size)
+        at = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(edges[likely], size)
+        pairs = np.unique(which * (len(self.vocabulary) + 1) + term[at])
+        which, distinct = pairs // (len(self.vocabulary) + 1), pairs % (len(self.vocabulary) + 1)
+        sure = np.flatnonzero(self._upper(which, distinct, len(likely)).max(axis=1, initial=0) >= threshold)
+        first = np.searchsorted(which, np.arange(len(likely) + 1))
         out = []
-        for passage in np.flatnonzero(upper[:-1].max(axis=1) >= threshold):
+        for k in sure:
+            passage = int(likely[k])
             text = int(owners[passage])
-            end = edges[passage + 1] if last[passage] else edges[passage + 2]
-            hits = self.block_max_wand(sorted(set(term[edges[passage] : end].tolist())), threshold)
+            hits = self.block_max_wand(distinct[first[k] : first[k + 1]].tolist(), threshold)
             if not hits:
                 continue
             lo = int(bounds[text] + (passage - first_block[text]) * self.stride)
