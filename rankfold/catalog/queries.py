@@ -90,7 +90,7 @@ def ml_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "matrix")
     purchases(spark, sf_dir).stored(path)
-    return read_matrix(spark, path, partitions=8).entries
+    return read_matrix(spark, path).entries
 
 
 @query
@@ -265,8 +265,10 @@ def gram_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def gram_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gram matrix of the embeddings through Arrow batches."""
-    rows = table(spark, sf_dir, "embeddings").select(*[F.get("embedding", F.lit(j)).cast("double").alias(f"e{j}") for j in range(64)])
-    return aggregates.gram(rows, names("e", 64)).select("i", "j", rounded("g", 6))
+    vectors = table(spark, sf_dir, "embeddings")
+    length = vectors.agg(F.max(F.size("embedding"))).first()[0] or 0
+    rows = vectors.select(*[F.coalesce(F.get("embedding", F.lit(j)).cast("double"), F.lit(0.0)).alias(f"e{j}") for j in range(length)])
+    return aggregates.gram(rows, names("e", length)).select("i", "j", rounded("g", 6))
 
 
 @query
@@ -529,7 +531,7 @@ def reconstruction_error_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ppca(spark: SparkSession, sf_dir: str):
-    return ppca(purchases(spark, sf_dir), 1, max_iter=2, tol=0.0, compute_error=False, kind="validation")
+    return ppca(purchases(spark, sf_dir), 1, max_iter=2, tol=0.0, kind="validation")
 
 
 @query

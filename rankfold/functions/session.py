@@ -12,12 +12,14 @@ _ARROW = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "stri
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder, setting one only if the session has none."""
+    """The shared checkpoint folder. A temporary one is set only in local mode, where there is one machine."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="rankfold-"))
     return sc.getCheckpointDir()
 
@@ -27,6 +29,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written below the shared folder and read back: computed once, and safe if an executor is lost."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A few result rows as a DataFrame. Arrow hands them over without starting Python workers."""
     fields = [field.split() for field in schema.split(",")]

@@ -34,8 +34,8 @@ from .functions.session import scratch_path
 BROADCAST_BYTES = 64 * 1024 * 1024
 # Grid blocks per task: enough that hashing them to tasks comes out even and hot ids are spread.
 BLOCKS_PER_TASK = 8
-# How far the session's number of shuffle partitions may be exceeded to keep blocks small.
-MAX_TASK_GROWTH = 4
+# Most bytes of entries aimed at for a partition of Y, and bytes that an entry takes in memory.
+PARTITION_BYTES, ENTRY_BYTES = 256 * 1024 * 1024, 32
 # Dense components handled per generated aggregate; wider operands are split into blocks of rows.
 BLOCK_WIDTH = 16
 
@@ -53,30 +53,38 @@ class Matrix:
     """``entries[row_id, col_id, value]`` with unique cells; an absent cell is 0.
 
     ``n_rows`` and ``n_cols`` may exceed what is stored: absent rows count as rows of zeros.
-    Leaving them out costs one pass to measure them. Entries outside ``n_cols`` are ignored.
+    Leaving them out costs one pass to measure them, which also counts the entries; with both dimensions
+    given, pass ``n_entries`` if the session's partitions would be too large for the matrix.
+    An entry outside ``n_cols``, or with a negative column, is an error unless ``drop_outside`` is set.
     """
 
     entries: DataFrame
     n_rows: int | None = None
     n_cols: int | None = None
+    n_entries: int | None = None
+    drop_outside: bool = False
 
     def measured(self) -> Matrix:
-        """Fill in missing dimensions: distinct row ids, and the largest column id plus one."""
+        """Fill in missing dimensions: distinct row ids, and the largest column id plus one; count the entries."""
         if self.n_rows is not None and self.n_cols is not None:
             return self
-        per_row = self.entries.groupBy("row_id").agg(F.max("col_id").alias("c"))
-        rows, last = per_row.agg(F.count("*"), F.max("c")).first()
+        per_row = self.entries.groupBy("row_id").agg(F.max("col_id").alias("c"), F.count("*").alias("n"))
+        rows, last, stored = per_row.agg(F.count("*"), F.max("c"), F.sum("n")).first()
         return replace(
             self,
             n_rows=self.n_rows if self.n_rows is not None else rows,
             n_cols=self.n_cols if self.n_cols is not None else (0 if last is None else last + 1),
+            n_entries=stored or 0,
         )
 
     def clean(self) -> DataFrame:
         """Entries that are inside the matrix and not zero (NULL counts as absent)."""
-        keep = (F.col("value") != 0) & (F.col("col_id") >= 0)
+        inside = F.col("col_id") >= 0
         if self.n_cols is not None:
-            keep &= F.col("col_id") < self.n_cols
+            inside &= F.col("col_id") < self.n_cols
+        message = F.concat(F.lit("entry outside the matrix in column "), F.col("col_id").cast("string"))
+        checked = inside if self.drop_outside else F.when(inside, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+        keep = (F.col("value") != 0) & checked
         return self.entries.select("row_id", "col_id", "value").filter(keep)
 
     def stored(self, path: str | None = None) -> Matrix:
@@ -148,6 +156,8 @@ def _weighted(width: int) -> list[Column]:
 class Layout:
     """Y placed on the cluster; see the module text. Use as a context manager."""
 
+    _present: int | None = None
+
     def __init__(self, matrix: Matrix, width: int, broadcast_bytes: int, partitions: int | None):
         self.matrix = matrix
         self.n_rows: int = matrix.n_rows
@@ -161,13 +171,14 @@ class Layout:
         block = max(1, broadcast_bytes // 4)
         self.row_blocks = self.col_blocks = 1
         self._hash_blocks = True
+        stored = math.ceil((matrix.n_entries or 0) * ENTRY_BYTES / PARTITION_BYTES)
         if self.kind == "rows":
-            self.partitions = max(partitions or default, math.ceil(row_bytes / block))
+            self.partitions = partitions or max(default, math.ceil(row_bytes / block), stored)
         else:
             # Copies made per pass are n_rows * col_blocks + n_cols * row_blocks; for a given number
             # of blocks they are fewest when row and column blocks are about equally large.
             wanted = math.ceil(row_bytes * col_bytes / block**2 / BLOCKS_PER_TASK)
-            self.partitions = partitions or max(default, min(wanted, MAX_TASK_GROWTH * default))
+            self.partitions = partitions or max(default, wanted, stored)
             blocks = BLOCKS_PER_TASK * self.partitions
             self.row_blocks = max(1, min(self.n_rows, math.ceil(math.sqrt(blocks * self.n_rows / self.n_cols))))
             self.col_blocks = max(1, min(self.n_cols, math.ceil(blocks / self.row_blocks)))
@@ -206,6 +217,15 @@ class Layout:
         if self._saved_conf is not None:
             self.spark.conf.set(_CO_PARTITION, self._saved_conf)
 
+    def present_rows(self) -> int:
+        """Rows that are stored; counted once per layout."""
+        if self._present is None:
+            self._present = self._count_rows()
+        return self._present
+
+    def _count_rows(self) -> int:
+        return self.entries.select("row_id").distinct().count()
+
     def _small(self, n: int, width: int) -> bool:
         return table_bytes(n, width) <= self.limit
 

@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import combine, names, triangle
-from ..functions.small import whitening
 from .aggregates import column_products, product_matrix
 
 
@@ -60,8 +59,9 @@ def leading_components(components: DataFrame, k: int) -> DataFrame:
 
 
 def kth_value(sigmas: DataFrame, k: int) -> DataFrame:
-    """One row ``[sigma]``: the k-th largest of ``[comp, sigma]``."""
-    return sigmas.orderBy(F.desc("sigma")).limit(k).agg(F.min("sigma").alias("sigma"))
+    """One row ``[sigma]``: the k-th largest of ``[comp, sigma]``; NULL if there are fewer."""
+    top = sigmas.orderBy(F.desc("sigma")).limit(k)
+    return top.agg(F.when(F.count("*") >= k, F.min("sigma")).alias("sigma"))
 
 
-__all__ = ["deflate", "fix_signs", "kth_value", "leading_components", "orthonormalise", "whitening"]
+__all__ = ["deflate", "fix_signs", "kth_value", "leading_components", "orthonormalise"]

@@ -36,11 +36,6 @@ def deduplicate(entries: DataFrame, how: str, order: str | None = None) -> DataF
     raise ValueError(f"unknown duplicate policy {how!r}, use 'last', 'sum' or 'error'")
 
 
-def default_sample_rate(n_rows: int) -> float:
-    """1 for row counts of up to four digits, then a tenth for each further digit."""
-    return 10.0 ** -max(0, len(str(int(n_rows))) - 4)
-
-
 def sample_condition(rate: float, seed: int = 0) -> Column:
     """Keep-condition on ``row_id``: whole rows, repeatable, independent of the partitioning."""
     unit = F.shiftrightunsigned(F.xxhash64("row_id", F.lit(seed)), 33).cast("double") / float(2**31)

@@ -172,6 +172,14 @@ def advance(made: Image, factors: Factors, state: State) -> State:
     return State(table, coef.shape[1], mean @ coef, state.basis_width, state.basis_gram, state.basis_mean)
 
 
-def check_width(width: int, n_rows: int, n_cols: int) -> None:
-    if width < 1 or width > min(n_rows, n_cols):
-        raise ValueError(f"sketch width {width} must be between 1 and min(rows, columns) = {min(n_rows, n_cols)}")
+#: Columns added to a sketch if the caller does not say how many.
+OVERSAMPLE = 5
+
+
+def sketch_width(k: int, oversample: int | None, n_rows: int, n_cols: int) -> int:
+    """k and the oversampling, which by default stops at the smaller dimension."""
+    most = min(n_rows, n_cols)
+    width = k + (max(0, min(OVERSAMPLE, most - k)) if oversample is None else oversample)
+    if width < 1 or width > most:
+        raise ValueError(f"sketch width {width} must be between 1 and min(rows, columns) = {most}")
+    return width

@@ -17,7 +17,7 @@ from ..matrix import BROADCAST_BYTES, Matrix
 from ..operators.basis import fix_signs
 from ..operators.products import long_components
 from ..sinks.stats import metrics_table
-from .iteration import advance, check_width, factor, orthogonal_image, start
+from .iteration import advance, sketch_width, factor, orthogonal_image, start
 from .residual import residual_norm_on
 
 
@@ -36,12 +36,12 @@ def randomized_pca(
     matrix: Matrix,
     k: int,
     *,
-    oversample: int = 5,
+    oversample: int | None = None,
     max_iter: int = 50,
     tol: float = 0.0,
     sigma_k1: float | None = None,
     norm_iter: int = 5,
-    norm_oversample: int = 5,
+    norm_oversample: int | None = None,
     sigma_digits: int | None = 4,
     kind: str = "normal",
     seed: int = 0,
@@ -55,19 +55,19 @@ def randomized_pca(
     With ``sigma_k1`` (the known (k+1)-th singular value) each iteration is followed by a relative
     spectral error, and the loop ends when it is at most ``tol``. Otherwise it ends when the leading
     singular values no longer change at ``sigma_digits`` decimals; None runs all ``max_iter``
-    iterations. Component signs make the largest loading positive.
+    iterations. ``oversample`` columns are added to the sketch; None takes up to 5, as far as the matrix
+    has rows and columns. ``k`` may be as large as the smaller of its dimensions. Component signs make the largest loading positive.
     """
     if max_iter < 1:
         raise ValueError("max_iter must be at least 1")
     began = time.perf_counter()
     spark = matrix.entries.sparkSession
     matrix = matrix.measured()
-    if k == matrix.n_cols:
-        k -= 1
     if k < 1:
-        raise ValueError("k must be at least 1 and below the number of columns")
-    width = k + oversample
-    check_width(width, matrix.n_rows, matrix.n_cols)
+        raise ValueError("k must be at least 1")
+    width = sketch_width(k, oversample, matrix.n_rows, matrix.n_cols)
+    if sigma_k1 is not None:
+        sketch_width(1, norm_oversample, matrix.n_rows, matrix.n_cols)
     records = []
     with matrix.lay_out(width, broadcast_bytes=broadcast_bytes, partitions=partitions) as layout:
         state = start(layout, seed_table(spark, matrix.n_cols, width, kind, seed), width)

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import combine, linear, names, triangle
 from ..functions.generators import initial_variance, seed_table
+from ..functions.session import kept
 from ..matrix import BROADCAST_BYTES, Layout, Matrix
 from ..operators.aggregates import column_products, frobenius_norm_squared, product_matrix
-from ..operators.entries import default_sample_rate, sample_condition
+from ..operators.entries import sample_condition
 from ..operators.products import long_components, paired_blocks
 from ..sinks.stats import metrics_table
 from .iteration import State, image, start
@@ -48,7 +49,6 @@ def ppca(
     tol: float = 1e-5,
     err_tol: float = 0.02,
     sample_rate: float | None = None,
-    compute_error: bool = True,
     kind: str = "uniform",
     seed: int = 0,
     app: str = "ppca",
@@ -59,8 +59,9 @@ def ppca(
     """Loadings C of the probabilistic PCA model of the column-centred matrix.
 
     A round is one pass over the data. It ends after ``max_iter`` rounds, when the noise variance
-    changes by at most ``tol`` relatively, or when the relative 1-norm reconstruction error (on a
-    sample of rows) is at most ``err_tol``. ``kind='validation'`` starts from fixed values.
+    changes by at most ``tol`` relatively, or, if ``sample_rate`` is given, when the relative 1-norm
+    reconstruction error is at most ``err_tol``. ``sample_rate=1.0`` computes it on all rows, a smaller
+    one on that share of them; None runs no error job. ``kind='validation'`` starts from fixed values.
     """
     if max_iter < 1:
         raise ValueError("max_iter must be at least 1")
@@ -68,7 +69,6 @@ def ppca(
     spark = matrix.entries.sparkSession
     matrix = matrix.measured()
     n_cells = float(matrix.n_rows) * float(matrix.n_cols)
-    rate = default_sample_rate(matrix.n_rows) if sample_rate is None else sample_rate
     records, error, used = [], None, 0
     with matrix.lay_out(k, broadcast_bytes=broadcast_bytes, partitions=partitions) as layout:
         state = start(layout, seed_table(spark, matrix.n_cols, k, kind, seed), k)
@@ -95,9 +95,9 @@ def ppca(
             change = np.inf if previous is None else abs(1.0 - variance / previous)
             previous, used = variance, iteration + 1
             seconds = time.perf_counter() - began
-            if compute_error:
+            if sample_rate is not None:
                 fitted = table.selectExpr("col_id", "mu", *names("w", k), *combine(made.c, loadings, "v"))
-                error = reconstruction_error(layout, fitted, k, step.mean, rate, seed)
+                error = reconstruction_error(layout, fitted, k, step.mean, sample_rate, seed)
             records.append((app, dataset, matrix.n_rows, matrix.n_cols, iteration, preprocess, seconds, error, None))
             if change <= tol or (error is not None and error <= err_tol):
                 break
@@ -128,7 +128,7 @@ def column_error_sums(layout: Layout, fitted: DataFrame, k: int, x_mean: np.ndar
     x = layout.sketch(fitted, w, "x", where).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         sampled = x.count()
-        present = sampled if where is None else layout.entries.select("row_id").distinct().count()
+        present = sampled if where is None else layout.present_rows()
         # Rows without entries are alike; a sample holds their share.
         absent = (layout.n_rows - present) * min(rate, 1.0)
         c = fitted.selectExpr("col_id", "mu", *v, f"{linear(v, x_mean)} - mu AS z")
@@ -143,7 +143,7 @@ def column_error_sums(layout: Layout, fitted: DataFrame, k: int, x_mean: np.ndar
             F.sum(F.abs(d - y) - F.abs(d)).alias("extra"), F.sum(F.abs(y - mu) - F.abs(mu)).alias("centred")
         )
         none = F.lit(0.0)
-        return (
+        sums = (
             c.join(dense, "col_id", "left")
             .join(extra, "col_id", "left")
             .select(
@@ -151,8 +151,8 @@ def column_error_sums(layout: Layout, fitted: DataFrame, k: int, x_mean: np.ndar
                 (F.coalesce("dense", none) + F.coalesce("extra", none) + F.abs("z") * float(absent)).alias("err"),
                 (F.abs(mu) * float(sampled + absent) + F.coalesce("centred", none)).alias("norm"),
             )
-            .checkpoint()
         )
+        return kept(sums, "error-sums")
     finally:
         x.unpersist()
 

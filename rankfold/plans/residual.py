@@ -12,16 +12,15 @@ from ..functions.small import round_half_up
 from ..matrix import BROADCAST_BYTES, Layout, Matrix
 from ..operators.basis import orthonormalise
 from ..operators.products import wide_components
-from .iteration import advance, check_width, factor, orthogonal_image, start
+from .iteration import advance, sketch_width, factor, orthogonal_image, start
 
 
 def residual_norm_on(
-    layout: Layout, vectors: DataFrame, k: int, max_iter: int, oversample: int, digits: int | None,
+    layout: Layout, vectors: DataFrame, k: int, max_iter: int, oversample: int | None, digits: int | None,
     kind: str, seed: int, orthonormal: bool = True,
 ) -> tuple[float, int, int]:
     """(norm, iterations, basis width) for ``vectors[col_id, v0..]`` on a matrix already laid out."""
-    width = 1 + oversample
-    check_width(width, layout.n_rows, layout.n_cols)
+    width = sketch_width(1, oversample, layout.n_rows, layout.n_cols)
     basis = vectors.select("col_id", *names("v", k))
     if orthonormal:
         made = orthonormalise(basis, names("v", k))
@@ -56,7 +55,7 @@ def residual_spectral_norm(
     *,
     k: int | None = None,
     max_iter: int = 5,
-    oversample: int = 5,
+    oversample: int | None = None,
     digits: int | None = 4,
     orthonormalise_first: bool = True,
     kind: str = "normal",
@@ -71,7 +70,7 @@ def residual_spectral_norm(
     """
     k = k or _width(components)
     matrix = matrix.measured()
-    with matrix.lay_out(max(1 + oversample, k), broadcast_bytes=broadcast_bytes, partitions=partitions) as layout:
+    with matrix.lay_out(max(sketch_width(1, oversample, matrix.n_rows, matrix.n_cols), k), broadcast_bytes=broadcast_bytes, partitions=partitions) as layout:
         norm, used, _ = residual_norm_on(
             layout, wide_components(components, k), k, max_iter, oversample, digits, kind, seed, orthonormalise_first
         )

@@ -11,14 +11,14 @@ from ..functions.session import local_table
 from ..functions.small import round_half_up
 from ..matrix import BROADCAST_BYTES, Matrix
 from ..sinks.stats import metrics_table
-from .iteration import advance, check_width, factor, orthogonal_image, start
+from .iteration import advance, sketch_width, factor, orthogonal_image, start
 
 
 def kth_singular_value(
     matrix: Matrix,
     k: int,
     *,
-    oversample: int = 5,
+    oversample: int | None = None,
     max_iter: int = 50,
     digits: int | None = 4,
     kind: str = "normal",
@@ -38,7 +38,7 @@ def kth_singular_value(
 
 
 def kth_singular_value_run(
-    matrix: Matrix, k: int, *, oversample: int, max_iter: int, digits: int | None, kind: str, seed: int,
+    matrix: Matrix, k: int, *, oversample: int | None, max_iter: int, digits: int | None, kind: str, seed: int,
     broadcast_bytes: int = BROADCAST_BYTES, partitions: int | None = None,
     app: str = "kth_singular_value", dataset: str = "Untitled",
 ) -> tuple[DataFrame, DataFrame]:
@@ -46,12 +46,9 @@ def kth_singular_value_run(
     began = time.perf_counter()
     spark = matrix.entries.sparkSession
     matrix = matrix.measured()
-    if k == matrix.n_cols:
-        k -= 1
     if k < 1 or max_iter < 1:
-        raise ValueError("k and max_iter must be at least 1, and k below the number of columns")
-    width = k + oversample
-    check_width(width, matrix.n_rows, matrix.n_cols)
+        raise ValueError("k and max_iter must be at least 1")
+    width = sketch_width(k, oversample, matrix.n_rows, matrix.n_cols)
     records, value, used = [], 0.0, 0
     with matrix.lay_out(width, broadcast_bytes=broadcast_bytes, partitions=partitions) as layout:
         state = start(layout, seed_table(spark, matrix.n_cols, width, kind, seed), width)

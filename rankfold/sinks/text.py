@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 
 # The output formats.
 FORMATS = ("DENSE", "LIL", "COO")
-# Longest row a one-line-per-row format accepts.
-MAX_LINE_CELLS = 4_000_000
 
 
 def _sorted_rows(entries: DataFrame, rows: DataFrame | None) -> DataFrame:
@@ -22,17 +20,12 @@ def _sorted_rows(entries: DataFrame, rows: DataFrame | None) -> DataFrame:
     return rows.select("row_id").distinct().join(grouped, "row_id", "left").select("row_id", F.coalesce("cells", empty).alias("cells"))
 
 
-def _check_width(n_cols: int | None) -> None:
-    if n_cols is not None and n_cols > MAX_LINE_CELLS:
-        raise ValueError(f"a row of {n_cols} cells does not fit one line, use the COO format")
-
-
 def dense_lines(entries: DataFrame, n_cols: int, rows: DataFrame | None = None) -> DataFrame:
     """``[row_id, value]``: all cells of a row, each followed by one blank.
 
     Runs of zeros are written between the stored cells, so the dense row is never built as a table.
+    An entry outside ``n_cols`` is an error.
     """
-    _check_width(n_cols)
 
     def cell(c: Column, i: Column) -> Column:
         previous = F.when(i == 0, F.lit(-1)).otherwise(F.get(F.col("cells"), i - 1)["col_id"])
@@ -41,7 +34,8 @@ def dense_lines(entries: DataFrame, n_cols: int, rows: DataFrame | None = None)
 
     last = F.when(F.size("cells") == 0, F.lit(-1)).otherwise(F.element_at("cells", -1)["col_id"])
     tail = F.repeat(F.lit("0.0 "), (F.lit(n_cols - 1) - last).cast("int"))
-    inside = entries.filter(F.col("col_id") < n_cols)
+    message = F.concat(F.lit("entry outside the columns to write: "), F.col("col_id").cast("string"))
+    inside = entries.withColumn("value", F.when(F.col("col_id").between(0, n_cols - 1) | (F.col("value") == 0), F.col("value")).otherwise(F.raise_error(message).cast("double")))
     return _sorted_rows(inside, rows).select("row_id", F.concat(F.array_join(F.transform("cells", cell), ""), tail).alias("value"))
 
 
@@ -56,13 +50,14 @@ def coo_lines(entries: DataFrame) -> DataFrame:
     return entries.filter("value <> 0").select("row_id", "col_id", "value")
 
 
-def write_matrix(entries: DataFrame, path: str, fmt: str, *, n_cols: int | None = None, rows: DataFrame | None = None, mode: str = "errorifexists") -> None:
-    """Write in one of the formats, in row order across the part files."""
+def write_matrix(entries: DataFrame, path: str, fmt: str, *, n_cols: int | None = None, rows: DataFrame | None = None, mode: str = "errorifexists", ordered: bool = False) -> None:
+    """Write in one of the formats. Lines without ids come in row order across the part files; COO lines
+    carry their ids and are only ordered on request."""
     fmt = fmt.upper()
     if fmt == "COO":
-        coo_lines(entries).orderBy("row_id", "col_id").write.mode(mode).csv(path)
+        lines = coo_lines(entries)
+        (lines.orderBy("row_id", "col_id") if ordered else lines).write.mode(mode).csv(path)
     elif fmt == "LIL":
-        _check_width(n_cols)
         lil_lines(entries, rows).orderBy("row_id").select("value").write.mode(mode).text(path)
     elif fmt == "DENSE":
         if n_cols is None:
@@ -91,10 +86,14 @@ def write_components(components: DataFrame, path: str, mode: str = "errorifexist
     component_lines(components).orderBy("col_id").select("value").write.mode(mode).text(path)
 
 
-def write_projection(scores: DataFrame, path: str, fmt: str = "PARQUET", *, k: int | None = None, mode: str = "errorifexists") -> None:
-    """Projected rows ``[row_id, comp, score]`` as parquet, or as one of the text formats."""
+def write_projection(scores: DataFrame, path: str, fmt: str = "PARQUET", *, k: int | None = None, rows: DataFrame | None = None, mode: str = "errorifexists") -> None:
+    """Projected rows ``[row_id, comp, score]`` as parquet, or as one of the text formats.
+
+    DENSE and LIL have a line for each row of ``rows[row_id]``, by default each row of ``scores``, also where
+    all scores are 0.
+    """
     if fmt.upper() == "PARQUET":
         scores.write.mode(mode).parquet(path)
         return
     cells = scores.select("row_id", F.col("comp").cast("bigint").alias("col_id"), F.col("score").alias("value"))
-    write_matrix(cells, path, fmt, n_cols=k, mode=mode)
+    write_matrix(cells, path, fmt, n_cols=k, rows=scores if rows is None else rows, mode=mode)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
@@ -20,10 +21,17 @@ def from_triples(
 
 
 def from_vectors(df: DataFrame, row: str, vector: str, *, n_rows: int | None = None, n_cols: int | None = None) -> Matrix:
-    """One vector per row: an array of numbers, or an ML vector. Zeros are left out."""
-    kind = df.schema[vector].dataType
-    array = F.col(vector) if isinstance(kind, ArrayType) else vector_to_array(vector)
-    cells = df.select(F.col(row).alias("row_id"), F.posexplode(array).alias("col_id", "value"))
+    """One vector per row: an array of numbers, or an ML vector. Zeros are left out.
+
+    A sparse ML vector costs as much as it stores, whatever its length.
+    """
+    if isinstance(df.schema[vector].dataType, ArrayType):
+        cells = df.select(F.col(row).alias("row_id"), F.posexplode(vector).alias("col_id", "value"))
+    else:
+        v = F.unwrap_udt(F.col(vector))
+        place = F.when(v["type"] == 0, v["indices"]).otherwise(F.sequence(F.lit(0), F.size(v["values"]) - 1))
+        pairs = F.when(F.size(v["values"]) > 0, F.arrays_zip(place.alias("i"), v["values"].alias("x")))
+        cells = df.select(F.col(row).alias("row_id"), F.inline(pairs).alias("col_id", "value"))
     entries = cells.select("row_id", F.col("col_id").cast("bigint").alias("col_id"), F.col("value").cast("double").alias("value"))
     return Matrix(entries.filter("value <> 0"), n_rows, n_cols)
 
@@ -36,10 +44,10 @@ def from_columns(df: DataFrame, row: str, columns: list[str], *, n_rows: int | N
     return Matrix(entries, n_rows, len(columns))
 
 
-def read_matrix(spark: SparkSession, path: str, *, n_rows: int | None = None, n_cols: int | None = None, partitions: int | None = None) -> Matrix:
+def read_matrix(spark: SparkSession, path: str, *, n_rows: int | None = None, n_cols: int | None = None, partitions: int | None = None, drop_outside: bool = False) -> Matrix:
     """A matrix from parquet, as ``(row_id, col_id, value)`` or ``(row_id, features)``.
 
-    Entries outside ``n_cols`` and zeros are dropped. ``partitions`` asks for a parallelism other
+    Zeros are dropped; entries outside ``n_cols`` are an error unless ``drop_outside`` is set. ``partitions`` asks for a parallelism other
     than that of the scan.
     """
     df = spark.read.parquet(path)
@@ -47,7 +55,7 @@ def read_matrix(spark: SparkSession, path: str, *, n_rows: int | None = None, n_
         matrix = from_vectors(df, "row_id", "features", n_rows=n_rows, n_cols=n_cols)
     else:
         matrix = from_triples(df, "row_id", "col_id", "value", n_rows=n_rows, n_cols=n_cols)
-    entries = matrix.clean()
+    entries = replace(matrix, drop_outside=drop_outside).clean()
     if partitions:
         entries = entries.repartition(partitions)
     return Matrix(entries, n_rows, n_cols)

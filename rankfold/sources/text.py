@@ -19,12 +19,14 @@ def read_coo(
     max_col: int | None = None,
     dup: str | None = "last",
     mode: str = "FAILFAST",
+    drop_outside: bool = False,
 ) -> Matrix:
     """``row,col,value`` lines. ``base`` (0 or 1) is taken off the column id only.
 
     ``max_col`` drops larger column ids, as they are in the file. ``dup`` says what a repeated cell
     means: the ``last`` in file order, the ``sum``, an ``error``, or None for input known unique
-    (which saves the shuffle). ``mode`` is FAILFAST or DROPMALFORMED.
+    (which saves the shuffle). ``mode`` is FAILFAST or DROPMALFORMED. An entry outside ``n_cols`` is an
+    error; ``drop_outside`` drops it.
     """
     if base not in (0, 1):
         raise ValueError("base must be 0 or 1")
@@ -44,7 +46,7 @@ def read_coo(
         entries = entries.filter(~below)
     if dup:
         entries = deduplicate(entries, dup, "ord" if dup == "last" else None)
-    matrix = Matrix(entries.select("row_id", "col_id", "value"), n_rows, n_cols)
+    matrix = Matrix(entries.select("row_id", "col_id", "value"), n_rows, n_cols, drop_outside=drop_outside)
     return Matrix(matrix.clean(), n_rows, n_cols)
 
 

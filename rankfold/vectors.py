@@ -24,7 +24,7 @@ from .matrix import BROADCAST_BYTES, Layout, Matrix, table_bytes
 
 @dataclass(frozen=True)
 class VectorMatrix:
-    """``rows[row_id, features]``; shorter rows are padded with zeros, longer ones cut at ``n_cols``."""
+    """``rows[row_id, features]``; shorter rows are padded with zeros, longer ones than ``n_cols`` are an error."""
 
     rows: DataFrame
     n_rows: int | None = None
@@ -86,8 +86,9 @@ class VectorLayout(Layout):
         self._saved_conf = None
         d = self.n_cols
         fitted = (
-            f"CASE WHEN size(features) = {d} THEN features ELSE "
-            f"slice(concat(features, array_repeat(0, greatest({d} - size(features), 0))), 1, {d}) END AS features"
+            f"CASE WHEN size(features) = {d} THEN features WHEN size(features) > {d} THEN "
+            f"raise_error('a vector is longer than the matrix is wide') "
+            f"ELSE concat(features, array_repeat(0, {d} - size(features))) END AS features"
         )
         rows = matrix.rows.filter("features IS NOT NULL").selectExpr("row_id", fitted)
         self.rows = rows.repartition(partitions) if partitions else rows
@@ -100,6 +101,9 @@ class VectorLayout(Layout):
     def __exit__(self, *exc) -> None:
         self.rows.unpersist()
 
+    def _count_rows(self) -> int:
+        return self.rows.count()
+
     def _dense(self, table: DataFrame, cols: list[str]) -> np.ndarray:
         """A column-sized operand, below the broadcast limit by choice of this layout."""
         if not self._small(self.n_cols, len(cols)):

@@ -81,8 +81,8 @@ def test_residual_norm_after_one_iteration(spark):
 
 
 def test_ill_conditioned_matrix(spark):
-    out = randomized_pca(line_columns(spark, SF_DIR), 4, oversample=1, max_iter=3, sigma_digits=None)  # k = D becomes D - 1
-    np.testing.assert_allclose(out.sigma, [2334525.8625, 1124.6575, 2.2406], rtol=5e-5)
+    out = randomized_pca(line_columns(spark, SF_DIR), 4, max_iter=3, sigma_digits=None)
+    np.testing.assert_allclose(out.sigma, [2334525.8625, 1124.6575, 2.2406, 1.8136], rtol=5e-5)
 
 
 def test_rank_deficient_sketch(spark, coo):
@@ -250,12 +250,55 @@ def test_vectors_of_uneven_length(spark):
     rows = spark.createDataFrame(
         [(0, [1.0, 2.0]), (1, [0.0, 1.0, 5.0, 9.0]), (2, [3.0, None, 1.0]), (3, [])], "row_id bigint, features array<double>"
     )
-    dense = np.array([[1, 2, 0], [0, 1, 5], [3, 0, 1], [0, 0, 0]], dtype=float)
+    with pytest.raises(Exception, match="longer than the matrix is wide"):
+        randomized_pca(VectorMatrix(rows, 4, 3), 2, oversample=1, max_iter=1)
+    dense = np.array([[1, 2, 0, 0], [0, 1, 5, 9], [3, 0, 1, 0], [0, 0, 0, 0]], dtype=float)
     s = np.linalg.svd(centred(dense), compute_uv=False)
-    out = randomized_pca(VectorMatrix(rows, 4, 3), 2, oversample=1, max_iter=3, sigma_digits=None)
+    out = randomized_pca(VectorMatrix(rows, 4, 4), 2, oversample=1, max_iter=3, sigma_digits=None)
     np.testing.assert_allclose(out.sigma, s[:2], rtol=1e-9)
 
 
+def test_as_many_components_as_columns(spark, coo):
+    dense = np.random.default_rng(2).normal(size=(20, 4))
+    s = np.linalg.svd(centred(dense), compute_uv=False)
+    out = randomized_pca(coo(dense), 4, sigma_digits=None, max_iter=3)
+    np.testing.assert_allclose(out.sigma, s, rtol=1e-9)
+    assert kth_singular_value(coo(dense), 4).first()["sigma"] == pytest.approx(s[3], abs=1e-4)
+    checked = randomized_pca(coo(dense), 3, sigma_k1=float(s[3]), tol=0.01, max_iter=4)  # the error rule's width fits, too
+    assert checked.metrics.count() >= 1
+
+
+def test_no_error_job_unless_asked(spark, coo):
+    dense = np.random.default_rng(3).normal(size=(12, 5))
+    assert ppca(coo(dense), 2, max_iter=2, kind="validation").error is None
+
+
+def test_sampled_error_counts_zero_rows_once(spark, coo):
+    dense = np.random.default_rng(4).normal(size=(40, 4)).round(3)
+    dense[::2] = 0
+    rows = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(dense)], "row_id bigint, features array<double>")
+    a = ppca(VectorMatrix(rows, 40, 4), 2, max_iter=1, kind="validation", sample_rate=1.0)
+    b = ppca(coo(dense, n_rows=40), 2, max_iter=1, kind="validation", sample_rate=1.0)
+    assert a.error == pytest.approx(b.error, rel=1e-9)
+    assert 0 < ppca(VectorMatrix(rows, 40, 4), 2, max_iter=1, kind="validation", sample_rate=0.9).error < 3
+
+
+def test_partitions_follow_the_entries(spark, coo):
+    from rankfold.matrix import ENTRY_BYTES, PARTITION_BYTES
+
+    m = Matrix(coo([[1.0]]).entries, 10**7, 10**5, n_entries=10**12)
+    assert m.lay_out(8).partitions * PARTITION_BYTES >= 10**12 * ENTRY_BYTES
+    assert coo([[1.0, 0.0], [2.0, 3.0]]).measured().n_entries is None  # both dimensions were given
+    assert Matrix(coo([[1.0, 0.0], [2.0, 3.0]]).entries).measured().n_entries == 3
+
+
+def test_entries_outside_are_an_error(spark, coo):
+    entries = coo([[1.0, 2.0, 3.0]]).entries
+    with pytest.raises(Exception, match="outside the matrix"):
+        Matrix(entries, 1, 2).clean().collect()
+    assert Matrix(entries, 1, 2, drop_outside=True).clean().count() == 2
+
+
 def test_vectors_too_wide_fall_back_to_entries(spark):
     m = embedding_vectors(spark, SF_DIR).measured()
     with m.lay_out(4, broadcast_bytes=1000) as placed:

@@ -49,7 +49,7 @@ def test_coo_base_cap_and_range(spark, tmp_path):
     path = write(tmp_path / "a.csv", "1,1,1\n1,2,0\n1,4,4\n1,5,5\n2,50001,6\n2,50000,7\n")
     # One-based: the row id stays, the cap applies to the id in the file, n_cols to the shifted one.
     assert cells(read_coo(spark, path, base=1, max_col=50000)) == [(1, 0, 1.0), (1, 3, 4.0), (1, 4, 5.0), (2, 49999, 7.0)]
-    assert cells(read_coo(spark, path, base=1, n_cols=4)) == [(1, 0, 1.0), (1, 3, 4.0)]
+    assert cells(read_coo(spark, path, base=1, n_cols=4, drop_outside=True)) == [(1, 0, 1.0), (1, 3, 4.0)]
     with pytest.raises(ValueError):
         read_coo(spark, path, base=2)
 
@@ -124,17 +124,15 @@ def test_written_in_row_order(spark, tmp_path):
     assert text.splitlines()[0] == "{0:1.0,1:2.0,2:3.0}" and len(text.splitlines()) == 200
     with pytest.raises(ValueError):
         write_matrix(df, str(tmp_path / "x"), "XML")
-    with pytest.raises(ValueError):
-        write_matrix(df, str(tmp_path / "x"), "DENSE", n_cols=10**9)
 
 
 def test_parquet_matrix(spark, tmp_path):
     df = spark.createDataFrame([(0, [0.0, 2.0, 3.0]), (1, [1.0, 0.0, 0.0])], "row_id bigint, features array<double>")
     df.write.parquet(str(tmp_path / "v"))
-    assert cells(read_matrix(spark, str(tmp_path / "v"), n_cols=2)) == [(0, 1, 2.0), (1, 0, 1.0)]
+    assert cells(read_matrix(spark, str(tmp_path / "v"), n_cols=2, drop_outside=True)) == [(0, 1, 2.0), (1, 0, 1.0)]
     triples = spark.createDataFrame([(0, 1, 2.0), (0, 9, 1.0), (1, 0, 0.0), (1, 1, None)], "row_id bigint, col_id bigint, value double")
     triples.write.parquet(str(tmp_path / "t"))
-    m = read_matrix(spark, str(tmp_path / "t"), n_cols=5, partitions=3)
+    m = read_matrix(spark, str(tmp_path / "t"), n_cols=5, partitions=3, drop_outside=True)
     assert cells(m) == [(0, 1, 2.0)]
 
 
@@ -153,6 +151,24 @@ def test_projection_formats(spark, tmp_path):
     write_projection(scores, str(tmp_path / "d"), "DENSE", k=2)
     rows = sorted(r["features"] for r in read_dense(spark, str(tmp_path / "d")).collect())
     assert rows == [[0.0, 3.0], [1.5, 2.0]]
+    with_zero = scores.unionByName(spark.createDataFrame([(2, 0, 0.0), (2, 1, 0.0)], scores.schema))
+    write_projection(with_zero, str(tmp_path / "z"), "DENSE", k=2)
+    assert [r.value for r in spark.read.text(str(tmp_path / "z")).collect()].count("0.0 0.0 ") == 1
+    write_projection(with_zero, str(tmp_path / "l"), "LIL", k=2)
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "l")).collect()) == ["{0:1.5,1:2.0}", "{1:3.0}", "{}"]
+
+
+def test_dense_lines_need_all_columns(spark, coo):
+    with pytest.raises(Exception, match="outside the columns"):
+        dense_lines(coo([[1.0, 0.0, 0.0, 4.0]]).entries, 2).collect()
+
+
+def test_sparse_vectors_are_not_filled(spark):
+    from pyspark.ml.linalg import Vectors
+
+    rows = [(0, Vectors.sparse(2_000_000_000, {5: 1.5, 1_999_999_999: 2.0})), (1, Vectors.dense([0.0, 3.0])), (2, Vectors.sparse(4, {}))]
+    m = from_vectors(spark.createDataFrame(rows, ["k", "v"]), "k", "v")
+    assert cells(m.entries) == [(0, 5, 1.5), (0, 1_999_999_999, 2.0), (1, 1, 3.0)]
 
 
 def test_metrics(spark, tmp_path):
