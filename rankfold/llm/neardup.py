@@ -23,7 +23,7 @@ from .components import components
 from .shared import fewer, kept
 
 REGISTERS, BAND = 288, 6
-#: Estimates may fall short of the true similarity by this much (about five standard deviations at 0.8).
+#: Estimates may fall short of the true similarity by this much (five standard deviations at 0.8).
 SLACK = 0.13
 #: Up to so many members of a bucket outside its main component are compared with all of the bucket.
 STRAYS = 8
@@ -135,15 +135,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = rows.where("n > 0").groupBy("key").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.first("registers").alias("registers"))
     texts = kept(texts, "sets")
     bands = texts.select("key", F.col("n").cast("int").alias("n"), "registers").mapInArrow(_banded, "bucket bigint, key binary, n int")
-    sizes = bands.groupBy("bucket").agg(F.count("*").alias("members"), F.min("key").alias("leader")).where("members > 1")
-    members = kept(bands.join(sizes, "bucket"), "buckets")
+    sizes = bands.groupBy("bucket").agg(F.count("*").alias("members"), F.min(F.struct("key", "n")).alias("leader")).where("members > 1")
+    members = kept(bands.join(sizes, "bucket").select("bucket", "key", "n", "members", F.col("leader.key").alias("leader"), F.col("leader.n").alias("leader_n")), "buckets")
 
     firsts = texts.join(members.select("key").distinct(), "key", "left_semi").select(F.col("first").alias("id")).distinct()
     wanted = source.join(firsts, source.id.eqNullSafe(firsts.id), "left_semi")
     elements = wanted.select("text").mapInArrow(_with_sets(shingle), "key binary, elements binary")
     elements = kept(elements.groupBy("key").agg(F.first("elements").alias("elements")), "elements")
 
-    stars = members.where("key <> leader").groupBy(F.col("leader").alias("a"), F.col("key").alias("b")).agg(F.count("*").alias("bands"))
+    fits = f"100 * least(n, leader_n) >= {percent} * greatest(n, leader_n)"
+    stars = members.where("key <> leader").where(fits).groupBy(F.col("leader").alias("a"), F.col("key").alias("b")).agg(F.count("*").alias("bands"))
     stars = kept(fewer(stars), "stars")
     best = stars.groupBy("b").agg(F.min(F.struct((-F.col("bands")).alias("bands"), "a")).alias("x")).select("x.a", "b")
     links = _links(best, texts, elements, percent)
@@ -214,7 +215,7 @@ def _further_pairs(members: DataFrame, roots: DataFrame, tested: DataFrame, perc
     open_ = rooted.join(sizes.where("low <> high").select("bucket", "lead"), "bucket")
     open_ = kept(fewer(open_.withColumn("stray", F.col("root") != F.col("lead.root"))), "open")
     few = open_.groupBy("bucket").agg(F.count_if("stray").alias("strays"), F.first("members").alias("members"))
-    few = fewer(few.where((F.col("strays") <= STRAYS) | (F.col("strays") * F.col("members") <= STRAYS * 256)).select("bucket"))
+    few = fewer(few.where((F.col("strays") <= STRAYS) | (F.col("strays") * F.col("members") <= STRAYS * (64 if turn == 1 else 256))).select("bucket"))
     fits = f"100 * least(n, other_n) >= {percent} * greatest(n, other_n)"
     strays = fewer(open_.where("stray").join(few, "bucket")).select("bucket", F.col("key").alias("other"), F.col("root").alias("other_root"), F.col("n").alias("other_n"))
     sides = open_.select("bucket", "key", "root", "n").join(strays, "bucket").where(f"root <> other_root and {fits}").select("key", "other")
