@@ -241,6 +241,18 @@ def statements() -> dict[str, str]:
   k AS (SELECT comp, u AS lead FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY comp ORDER BY ABS(u) DESC, col_id) AS rn FROM u) WHERE rn = 1)
   SELECT col_id, comp, {r('u * SIGN(lead)', 7, 'loading')} FROM u JOIN k USING (comp)""",
         "kth_column_total": f"WITH {EVENTS}, t AS (SELECT col_id, SUM(value) AS s FROM y GROUP BY col_id) SELECT s AS sigma FROM t ORDER BY s DESC LIMIT 1 OFFSET 2",
+        "kth_of_too_few": f"WITH {EVENTS}, t AS (SELECT col_id, SUM(value) AS s FROM y GROUP BY col_id) SELECT CASE WHEN COUNT(*) >= 99 THEN MIN(s) END AS sigma FROM t",
+        "sparse_vectors": f"{purchases} SELECT * FROM y",
+        "sketch_rows_layout": f"{base()}, {seed(3)}, {raw_sketch(3)} SELECT * FROM z",
+        "sketch_grid_layout": f"{base()}, {seed(3)}, {raw_sketch(3)} SELECT * FROM z",
+        "event_spectrum": f"""{base(EVENTS)}, cell AS (SELECT r.row_id, mu.col_id, COALESCE(y.value, 0) - mu.mu AS a
+    FROM (SELECT DISTINCT row_id FROM y) r CROSS JOIN mu LEFT JOIN y ON y.row_id = r.row_id AND y.col_id = mu.col_id),
+  g AS (SELECT p.col_id AS i, q.col_id AS j, SUM(p.a * q.a) AS g FROM cell p JOIN cell q USING (row_id) GROUP BY 1, 2)
+  SELECT SUM(CASE WHEN i = j THEN 1 ELSE 0 END)::BIGINT AS n_sigma, ROUND(SUM(CASE WHEN i = j THEN g ELSE 0 END), 3) AS trace,
+  ROUND(SUM(g * g) / 1000, 2) AS trace_of_square FROM g""",
+        "projection_lil": f"""WITH {EVENTS}, s AS (SELECT row_id, col_id, CASE WHEN value > 30 THEN value ELSE 0 END AS v FROM y WHERE col_id < 2),
+  l AS (SELECT '{{' || COALESCE(STRING_AGG(col_id || ':' || CAST(CAST(v AS DOUBLE) AS VARCHAR), ',' ORDER BY col_id) FILTER (WHERE v <> 0), '') || '}}' AS value FROM s GROUP BY row_id)
+  SELECT value, COUNT(*) AS n FROM l GROUP BY 1""",
         "seed_validation": f"SELECT i AS col_id, {each(10, 'CAST((i + {j}) % 10 + 1 AS DOUBLE) AS w{j}')} FROM (SELECT UNNEST(range(COUNT(*))) AS i FROM part)",
         "project_centred": f"{_S2} " + " UNION ALL ".join(f"SELECT row_id, {j} AS comp, {r(f'z{j}', 5, 'score')} FROM z" for j in range(2)),
         "reconstruct_events": f"{base(EVENTS)}, {seed(2)}, {_RECONSTRUCTED} SELECT * FROM xh",

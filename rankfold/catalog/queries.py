@@ -593,3 +593,67 @@ def pca_error_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ppca_k3(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ppca(purchases(spark, sf_dir), 3, max_iter=3, seed=11)
     return out.components.select("col_id", "comp", rounded("loading", 5))
+
+
+# Cases beyond the happy path
+
+
+@query
+def event_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many components as columns: the sums of sigma^2 and sigma^4 are traces of the Gram matrix and its square."""
+    m = user_events(spark, sf_dir).measured()
+    sigmas = randomized_pca(m, m.n_cols, oversample=0, max_iter=3, sigma_digits=None, kind="normal", seed=3).sigmas
+    two, four = F.sum(F.col("sigma") ** 2), F.sum(F.col("sigma") ** 4)
+    return sigmas.agg(F.count("*").alias("n_sigma"), F.round(two, 3).alias("trace"), F.round(four / 1000, 2).alias("trace_of_square"))
+
+
+@query
+def sparse_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sparse ML vectors of the purchases: only stored cells are touched."""
+    cells = purchases(spark, sf_dir).clean().groupBy("row_id")
+    width = table(spark, sf_dir, "part").count()
+    pairs = cells.agg(F.array_sort(F.collect_list(F.struct("col_id", "value"))).alias("cells"))
+    assembled = pairs.select("row_id", F.col("cells.col_id").cast("array<int>").alias("i"), F.col("cells.value").alias("x"))
+
+    from pyspark.ml.linalg import SparseVector, VectorUDT
+
+    sparse = F.udf(lambda i, x: SparseVector(width, i, x), VectorUDT())  # only builds the input
+    return from_vectors(assembled.select("row_id", sparse("i", "x").alias("v")), "row_id", "v").entries
+
+
+@query
+def kth_of_too_few(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The k-th largest of fewer than k values is NULL."""
+    totals = aggregates.column_sums(user_events(spark, sf_dir).entries).select(F.col("col_id").alias("comp"), F.col("total").alias("sigma"))
+    return basis.kth_value(totals, 99)
+
+
+@query
+def projection_lil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A projection as list-of-lists text: rows whose scores are all zero keep their line."""
+    m = user_events(spark, sf_dir)
+    scores = m.entries.where("col_id < 2").select("row_id", F.col("col_id").cast("int").alias("comp"), F.when(F.col("value") > 30, F.col("value")).otherwise(0.0).alias("score"))
+    path = scratch_path(spark, "projection")
+    text.write_projection(scores, path, "LIL", k=2)
+    return spark.read.text(path).groupBy("value").agg(F.count("*").alias("n"))
+
+
+def _placed_sketch(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    m = purchases(spark, sf_dir).measured()
+    with m.lay_out(3, **options) as layout:
+        z = layout.sketch(validation(spark, layout.n_cols, 3), names("w", 3))
+        path = scratch_path(spark, "sketch")
+        z.write.parquet(path)  # while Y is placed
+    return spark.read.parquet(path).select("row_id", *names("z", 3))
+
+
+@query
+def sketch_rows_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The product as the analyses compute it, Y partitioned by rows."""
+    return _placed_sketch(spark, sf_dir)
+
+
+@query
+def sketch_grid_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on the grid, which serves operands too large to broadcast."""
+    return _placed_sketch(spark, sf_dir, broadcast_bytes=20_000)
