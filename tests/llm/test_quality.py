@@ -22,7 +22,8 @@ def corpus(seed=0):
 
 def test_bad_documents_go_and_good_ones_stay(spark, docs):
     rows, labels = corpus()
-    rows += [(9000, None), (9001, ""), (9002, " \n"), (None, "ban cer ding fou ges ban cat"), (9003, "ban cer " * 20000), (1, rows[1][1])]
+    good_text = max((t for _, t in rows if "###" not in t), key=len)
+    rows += [(9000, None), (9001, ""), (9002, " \n"), (None, good_text), (9003, " ".join(t for _, t in rows if "###" not in t)), (1, rows[1][1])]
     df = docs(rows)
     out = quality_filtered(df, spark.createDataFrame(labels, LABELS))
     good = [i for i, t in rows if t and t.strip() and "###" not in t]
