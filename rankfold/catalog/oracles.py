@@ -224,6 +224,8 @@ def statements() -> dict[str, str]:
         "mean_corrected_cross": f"""{base()}, {seed(2)}, {raw_sketch(2)}, {cross(2)}, t AS (SELECT {each(2, 'SUM(z{j}) AS t{j}')} FROM z)
   SELECT col_id, {', '.join(r(f'c{j} - mu * t{j}', 3, f'c{j}') for j in range(2))} FROM c JOIN mu USING (col_id), t""",
         "absolute_column_norm": f"""{base(LINES)} SELECT {r('MAX(s)', 1, 'norm1')}
+  FROM (SELECT SUM(ABS(value - mu)) AS s FROM y JOIN mu USING (col_id) GROUP BY col_id)""",
+        "absolute_entry_norm": f"""{base(EVENTS)} SELECT {r('MAX(s)', 4, 'norm1')}
   FROM (SELECT SUM(ABS(value - mu)) AS s FROM y JOIN mu USING (col_id) GROUP BY col_id)""",
         "embedding_sum": f"WITH {EMBEDDINGS} SELECT CAST(col_id AS INTEGER) AS pos, {r('SUM(value)', 6, 'total')} FROM y GROUP BY col_id",
         "tsqr_r": f"{_S3}, {gram(3)}, {triangular(3)} " + " UNION ALL ".join(

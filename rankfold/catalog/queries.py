@@ -22,7 +22,7 @@ from ..plans import kth_singular_value, ppca, randomized_pca, relative_error, re
 from ..plans.ppca import column_error_sums, expected_variance_term
 from ..sinks import stats, text
 from ..sources import from_vectors, read_components, read_coo, read_dense, read_matrix
-from .fixtures import embedding_rows, embedding_vectors, line_columns, purchases, table, user_events
+from .fixtures import LINE_COLUMNS, embedding_rows, embedding_vectors, line_columns, purchases, table, user_events
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -321,9 +321,15 @@ def mean_corrected_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def absolute_column_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = line_columns(spark, sf_dir).stored().measured()
+    return aggregates.absolute_norm_of_columns(table(spark, sf_dir, "lineitem"), LINE_COLUMNS).select(rounded("norm1", 1))
+
+
+@query
+def absolute_entry_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 1-norm from entries."""
+    m = user_events(spark, sf_dir).measured()
     centred = entries.centre_entries(m.entries, aggregates.column_means(m.entries, m.n_rows))
-    return aggregates.absolute_column_norm(centred).select(rounded("norm1", 1))
+    return aggregates.absolute_column_norm(centred).select(rounded("norm1", 4))
 
 
 @query

@@ -49,6 +49,18 @@ def absolute_column_norm(cells: DataFrame, value: str = "value") -> DataFrame:
     return per_col.agg(F.coalesce(F.max("s"), F.lit(0.0)).alias("norm1"))
 
 
+def absolute_norm_of_columns(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row ``[norm1]`` of a matrix whose columns are table columns, centred over all rows of ``df``.
+
+    As with entries, only non-zero cells are summed. No row ids, and no exchange but one row per task.
+    """
+    cells = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]
+    means = df.agg(*[(F.sum(x) / F.count("*")).alias(f"m{j}") for j, x in enumerate(cells)]).first()
+    centred = [F.when(x != 0, F.abs(x - F.lit(means[j]))) for j, x in enumerate(cells)]
+    sums = df.agg(*[F.coalesce(F.sum(x), F.lit(0.0)).alias(f"s{j}") for j, x in enumerate(centred)])
+    return sums.select(F.array_max(F.array(*[f"s{j}" for j in range(len(columns))])).alias("norm1"))
+
+
 def vector_sum(table: DataFrame, cols: list[str]) -> DataFrame:
     """One row with the sum of each column of a tall table."""
     return table.agg(*[F.sum(c).alias(c) for c in cols])
