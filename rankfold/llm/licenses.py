@@ -7,6 +7,7 @@ detection is dropped if it lies within one that is at least as strong.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -81,15 +82,18 @@ FORMS = [
     (3, r"{}"),
 ]
 
-#: Keywords of the names of a family, of which a text must hold one; any other name holds the last one.
+#: Keywords of names that begin with alternatives: a text must hold one of them. Other names hold their first words.
 KEYWORDS = {
     "gpl": ("general public license", "gpl"),
     "lgpl": ("lesser general public", "lgpl"),
     "agpl": ("affero general public", "agpl"),
+    "gfdl": ("free documentation license", "free documentation license"),
+    "mit": ("mit license", "expat license"),
     "cc": ("creative commons", "cc by"),
     "cc0": ("creative commons", "cc0"),
     "bsd": ("bsd", "bsd"),
-    "": ("licen", "licen"),
+    "ofl": ("open font license", "open font license"),
+    "python": ("psf license", "python software foundation"),
 }
 
 #: Rules that need no name: label, strength, expression, keyword.
@@ -117,7 +121,8 @@ def rules() -> list[tuple[str, int, str, tuple[str, str]]]:
     """(label, strength, expression, keywords) of all rules: every form with every name, and the others."""
     made = []
     for label, name in NAMES:
-        words = KEYWORDS.get(label.split("-")[0], KEYWORDS[""])
+        literal = re.match("[a-z0-9 ]*", name)[0].strip()
+        words = KEYWORDS.get(label.split("-")[0], (literal, literal))
         made += [(label, strength, form.format(name), words) for strength, form in FORMS]
     return made + [(label, strength, expression, (word, word)) for label, strength, expression, word in OTHERS]
 
