@@ -24,7 +24,7 @@ from .shared import fewer, kept
 
 REGISTERS, BAND = 288, 6
 #: Estimates may fall short of the true similarity by this much (five standard deviations at 0.8).
-SLACK = 0.13
+SLACK = 0.12
 #: Up to so many members of a bucket outside its main component are compared with all of the bucket.
 STRAYS = 8
 
