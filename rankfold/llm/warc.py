@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .shared import fresh_path, kept
 
 FRAME_BYTES, BUNDLE_BYTES = 1 << 20, 16 << 20
+#: Up to so many bundle names are sent to all tasks when archives are read.
+FEW_BUNDLES = 100_000
 
 #: Fixed values of the seekable format: skippable frame, seek table footer.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
@@ -210,6 +212,8 @@ def read_archives(spark: SparkSession, folder: str, index: DataFrame, with_paylo
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
     files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
     valid = index.select(F.col("bundle").alias("name")).distinct()
+    if valid.limit(FEW_BUNDLES + 1).count() <= FEW_BUNDLES:  # a few MB of names: the bundles themselves stay where they are
+        valid = F.broadcast(valid)
     return files.join(valid, "name", "left_semi").mapInArrow(_read(with_payload), _READ).drop("bundle")
 
 
