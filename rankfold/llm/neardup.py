@@ -4,11 +4,10 @@ Each text becomes the set of its word shingles. Equal sets fall together by a 12
 remaining sets are cut into bands; sets that agree in a band are candidates. A candidate pair must have a
 likely similarity near the threshold (joint likelihood of the registers) and is then confirmed on its full sets.
 
-No bucket is ever expanded into all its pairs. A bucket pairs its members with one leader; a text is first compared
-with the leader it shares most bands with, then with its other leaders as far as they are still in other components.
-In buckets that even then hold several components, the few members outside the main one are compared with the whole
-bucket, until that links nothing more. A pair at the threshold shares about a quarter of all bands, so it has that
-many chances.
+A bucket first pairs its members with one leader; a text is compared with the leader it shares most bands with, then
+with its other leaders as far as they are still in other components. In buckets that even then hold several components,
+all members outside the main one are compared with the whole bucket, block by block: every pair of texts that agree in
+a band ends up in one component or has been tested. Pairs inside a component are never formed.
 """
 
 from __future__ import annotations
@@ -25,8 +24,8 @@ from .shared import fewer, kept
 REGISTERS, BAND = 288, 6
 #: Estimates may fall short of the true similarity by this much (five standard deviations at 0.8).
 SLACK = 0.12
-#: Up to so many members of a bucket outside its main component are compared with all of the bucket.
-STRAYS = 8
+#: Members of a bucket that are compared with as many others at once. A block is a unit of work, not a bound.
+BLOCK = 256
 
 
 def _sets_of(column: pa.Array, shingle: int):
@@ -150,16 +149,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = _links(best, texts, elements, percent)
     roots = components(links)
     rest = _across(stars.join(best, ["a", "b"], "left_anti").select("a", "b"), roots)
-    found, tested, turn = _links(rest, texts, elements, percent), stars.select("a", "b"), 0
-    while True:
-        if found.limit(1).count():
-            links = links.unionByName(found)
-            roots = components(links)
-        elif turn:
-            break
-        turn += 1
-        rest = _further_pairs(members, roots, tested, percent, turn)
-        found, tested = _links(rest, texts, elements, percent), tested.unionByName(rest)
+    found = _links(rest, texts, elements, percent)
+    if found.limit(1).count():
+        links = links.unionByName(found)
+        roots = components(links)
+    rest = _remaining(members, roots, texts, percent).join(stars.select("a", "b"), ["a", "b"], "left_anti")
+    found = _in_full(rest, elements, percent)
+    if found.limit(1).count():
+        roots = components(links.unionByName(found))
     classes = texts.select("key", "first").join(roots.select(F.col("node").alias("key"), "root"), "key", "left")
     classes = classes.withColumn("root", F.coalesce("root", "key"))
     smallest = classes.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -187,7 +184,11 @@ def _links(pairs: DataFrame, texts: DataFrame, elements: DataFrame, percent: int
     """The pairs that are likely by their registers and linked by their full sets."""
     side = lambda c: texts.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("registers").alias(f"r{c}"))
     near = fewer(fewer(pairs.join(side("b"), "b")).join(side("a"), "a")).where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    near = near.mapInArrow(_likely(percent / 100 - SLACK), "a binary, b binary")
+    return _in_full(near.mapInArrow(_likely(percent / 100 - SLACK), "a binary, b binary"), elements, percent)
+
+
+def _in_full(near: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
+    """The pairs that are linked by their full sets."""
     full = lambda c: elements.select(F.col("key").alias(c), F.col("elements").alias(f"e{c}"))
     found = fewer(fewer(near.join(full("b"), "b")).join(full("a"), "a")).mapInArrow(_confirmed(percent), "a binary, b binary")
     return kept(fewer(found), "links")
@@ -200,26 +201,84 @@ def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return rooted.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
-def _further_pairs(members: DataFrame, roots: DataFrame, tested: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Untested pairs of buckets that hold several components.
+def _compared(percent: int):
+    """Likely pairs of texts in different components, from rows sorted by job; side 0 meets side 1, side 2 meets itself."""
+
+    def pairs(rows: pa.Table):
+        raw = scan.text_bytes(rows.column("registers").combine_chunks())[0]
+        registers = raw.view(np.uint16).reshape(-1, REGISTERS)
+        key, root = (scan.text_bytes(rows.column(c).combine_chunks())[0].view(">u8").astype(np.uint64).reshape(-1, 2) for c in ("key", "root"))
+        job, side, n, bucket = (rows.column(c).to_numpy() for c in ("job", "side", "n", "bucket"))
+        bands = np.concatenate([setsketch.band_hashes(registers[lo : lo + 4096], BAND) for lo in range(0, len(job), 4096)])
+        band = (bands.view(np.int64) == bucket[:, None]).argmax(axis=1)
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        lo, hi = (np.searchsorted(job[right], job[left], x) for x in ("left", "right"))
+        found = [np.empty((0, 2), np.int64)]
+        start, ends = 0, np.cumsum(hi - lo)
+        while start < len(left):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + (1 << 18), "right")))
+            count = hi[start:stop] - lo[start:stop]
+            x = np.repeat(left[start:stop], count)
+            y = right[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - lo[start:stop], count)]
+            small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+            keep = (root[x] != root[y]).any(axis=1) & (100 * small.astype(np.int64) >= percent * large.astype(np.int64)) & ((side[x] != 2) | (x < y))
+            x, y = x[keep], y[keep]
+            for at in range(0, len(x), 8192):
+                i, j = x[at : at + 8192], y[at : at + 8192]
+                same = (registers[i] == registers[j])[:, : REGISTERS // BAND * BAND].reshape(len(i), -1, BAND).all(axis=2)
+                first = same.any(axis=1) & (same.argmax(axis=1) == band[i])  # a pair counts in the first band that it shares
+                i, j = i[first], j[first]
+                if len(i):
+                    likely = setsketch.joint_similarity(registers[i], registers[j], n[i].astype(float), n[j].astype(float)) >= percent / 100 - SLACK
+                    found.append(np.stack((i[likely], j[likely]), axis=1))
+            start = stop
+        i, j = np.concatenate(found).T
+        swap = (key[i, 0] > key[j, 0]) | ((key[i, 0] == key[j, 0]) & (key[i, 1] > key[j, 1]))
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        names = rows.column("key").combine_chunks()
+        return pa.RecordBatch.from_arrays([names.take(pa.array(i)), names.take(pa.array(j))], ["a", "b"])
+
+    def run(batches):
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            job = batch.column("job").to_numpy()
+            whole = int(np.searchsorted(job, job[-1]))  # the last job may go on in the next batch
+            if held and held[-1].column("job")[-1].as_py() != job[0]:
+                yield pairs(pa.Table.from_batches(held))
+                held = []
+            if whole:
+                yield pairs(pa.Table.from_batches([*held, batch.slice(0, whole)]))
+                held = []
+            held.append(batch.slice(whole))
+        if held:
+            yield pairs(pa.Table.from_batches(held))
+
+    return run
+
+
+def _remaining(members: DataFrame, roots: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """All likely pairs [a, b] of texts that share a bucket and are in different components.
 
-    Members outside the component of a drawn member are compared with the whole bucket if they are few or the bucket
-    is small, else with the drawn member. Only pairs whose set sizes allow the similarity count.
+    The members outside the largest component of a bucket meet each other and all the rest, in jobs of two blocks.
+    Only pairs whose set sizes allow the similarity count.
     """
     root = roots.select(F.col("node").alias("key"), "root")
-    rooted = members.where("members > 2").select("bucket", "key", "n", "members").join(root, "key", "left")
-    rooted = rooted.withColumn("root", F.coalesce("root", "key"))
-    lead = F.min_by(F.struct("key", "root", "n"), F.xxhash64("key", F.lit(turn)))
-    rooted = fewer(rooted)
-    sizes = rooted.groupBy("bucket").agg(lead.alias("lead"), F.min("root").alias("low"), F.max("root").alias("high"))
-    open_ = rooted.join(sizes.where("low <> high").select("bucket", "lead"), "bucket")
-    open_ = kept(fewer(open_.withColumn("stray", F.col("root") != F.col("lead.root"))), "open")
-    few = open_.groupBy("bucket").agg(F.count_if("stray").alias("strays"), F.first("members").alias("members"))
-    few = fewer(few.where((F.col("strays") <= STRAYS) | (F.col("strays") * F.col("members") <= STRAYS * (64 if turn == 1 else 256))).select("bucket"))
-    fits = f"100 * least(n, other_n) >= {percent} * greatest(n, other_n)"
-    strays = fewer(open_.where("stray").join(few, "bucket")).select("bucket", F.col("key").alias("other"), F.col("root").alias("other_root"), F.col("n").alias("other_n"))
-    sides = open_.select("bucket", "key", "root", "n").join(strays, "bucket").where(f"root <> other_root and {fits}").select("key", "other")
-    drawn = open_.where("stray").join(few, "bucket", "left_anti").select("key", F.col("lead.key").alias("other"), "n", F.col("lead.n").alias("other_n"))
-    sides, drawn = fewer(sides), fewer(drawn.where(fits).select("key", "other"))
-    pairs = sides.unionByName(drawn).select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b"))
-    return kept(fewer(fewer(pairs.distinct()).join(tested, ["a", "b"], "left_anti")), "pairs")
+    rooted = members.where("members > 2").select("bucket", "key", "n").join(root, "key", "left")
+    rooted = fewer(rooted.withColumn("root", F.coalesce("root", "key")))
+    held = rooted.groupBy("bucket", "root").agg(F.count("*").alias("held"))
+    sizes = held.groupBy("bucket").agg(F.max(F.struct("held", "root")).alias("main"), F.sum("held").alias("members"), F.count("*").alias("roots"))
+    blocks = lambda n: F.ceil(n / BLOCK)
+    sizes = sizes.where("roots > 1").select("bucket", F.col("main.root").alias("main"), blocks(F.col("members") - F.col("main.held")).alias("strays"), blocks(F.col("main.held")).alias("others"))
+    open_ = rooted.join(sizes, "bucket").withColumn("stray", F.col("root") != F.col("main"))
+    block = F.pmod(F.xxhash64("key"), F.when(F.col("stray"), F.col("strays")).otherwise(F.col("others")))
+    last = F.when(F.col("stray"), F.col("strays") + F.col("others")).otherwise(F.col("strays")) - 1
+    met = open_.withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    own = F.when(F.col("stray"), F.col("block")).otherwise(F.col("block") + F.col("strays"))
+    side = F.when(F.col("with") == own, 2).when(own < F.col("with"), 0).otherwise(1)
+    job = F.xxhash64("bucket", F.least(own, "with"), F.greatest(own, "with"))
+    met = kept(fewer(met.select(job.alias("job"), side.cast("int").alias("side"), "bucket", "key", "root", "n")), "open")
+    met = met.join(texts.select("key", "registers"), "key").select("job", "side", "bucket", "key", "root", "n", "registers")
+    found = met.repartition("job").sortWithinPartitions("job").mapInArrow(_compared(percent), "a binary, b binary")
+    return kept(fewer(found), "pairs").distinct()

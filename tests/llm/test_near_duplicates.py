@@ -75,3 +75,22 @@ def test_one_document_of_each_group_stays(docs):
 def test_empty_table(docs):
     assert near_duplicates(docs([])).count() == 0
     assert deduplicated(docs([])).count() == 0
+
+
+def test_crowded_buckets_lose_no_link(docs):
+    """A thousand texts just below the threshold to each other share all buckets; about a dozen pairs are just above it."""
+    rng = random.Random(5)
+    sets = [set(rng.sample(range(1000), 130)) for _ in range(1000)]
+    for k in range(14):
+        sets[999 - k] = set(rng.sample(sorted(sets[k]), 36)) | set(rng.sample(sorted(set(range(1000)) - sets[k]), 94))
+    masks = [sum(1 << w for w in set(range(1000)) - out) for out in sets]
+    smallest = list(range(1000))
+    for i, a in enumerate(masks):
+        for j in range(i):
+            if 100 * (a & masks[j]).bit_count() >= 80 * (a | masks[j]).bit_count():
+                old, new = max(smallest[i], smallest[j]), min(smallest[i], smallest[j])
+                smallest = [new if x == old else x for x in smallest]
+    assert 14 <= sum(k != s for k, s in enumerate(smallest)) <= 40
+    rows = [(k, " ".join(f"t{w}" for w in range(1000) if w not in out)) for k, out in enumerate(sets)]
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs(rows), shingle=1).collect()}
+    assert {k: (got[k], s) for k, s in enumerate(smallest) if got[k] != s} == {}
