@@ -4,7 +4,7 @@ Weights are divided by the item's score against its own text, so a score is the
 covers. A posting list has blocks with their largest weight. Passages whose upper bounds over item ranges stay below
 the threshold cannot retrieve anything (the pivot test of WAND, done for all passages of a batch at once); the others
 walk the lists with block-max WAND. Retrieved items count only if the passage holds the word runs of both their
-question and their answer.
+question and their answer, or words in order that few edits turn into them.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ BLOCK, RANGES = 8, 128
 INDEX_BYTES = 16 << 20
 #: Word runs compared between a passage and an item.
 RUN = 5
+#: Most words between an edited question and its answer.
+NEAR = 16
 
 #: Letters and digits of ASCII and all bytes of other characters.
 _LETTERS = np.zeros(256, bool)
@@ -70,7 +72,8 @@ class Index:
         np.maximum.at(self.bounds, (np.repeat(np.arange(len(first)), np.diff(self.first)), place // per), weights)
         self.known = np.zeros(1 << 20, bool)
         self.known[self.vocabulary >> np.uint64(44)] = True
-        self.runs = [tuple(map(_runs, _halves(t or ""))) for t in items.column("text").to_pylist()]
+        self.halves = [tuple(map(_words_of, _halves(t or ""))) for t in items.column("text").to_pylist()]
+        self.runs = [tuple(map(_runs, halves)) for halves in self.halves]
 
     @classmethod
     def from_state(cls, state: dict) -> Index:
@@ -181,7 +184,12 @@ class Index:
             own = words[lo : min(lo + 2 * self.stride, int(bounds[text + 1]))]
             for item, score in hits:
                 shares = [float(np.isin(wanted, scan.run_hashes(own, size)).mean()) if len(wanted) else 1.0 for wanted, size in self.runs[item]]
-                if min(shares) >= overlap:
+                found = min(shares) >= overlap
+                if not found:  # the item may go on a little after the passage, if words were put in
+                    aligned = _aligned(self.halves[item], words[lo : min(lo + 3 * self.stride, int(bounds[text + 1]))], overlap)
+                    found = aligned is not None
+                    shares = [max(x, y) for x, y in zip(shares, aligned)] if found else shares
+                if found:
                     out.append((text, item, score, *shares, lo - int(bounds[text])))
         return out
 
@@ -196,13 +204,50 @@ def _halves(text: str) -> tuple[str, str]:
     return head, tail
 
 
-def _runs(text: str) -> tuple[np.ndarray, int]:
+def _words_of(text: str) -> np.ndarray:
+    return next(iter(_words(pa.array([text]))))[2]
+
+
+def _runs(words: np.ndarray) -> tuple[np.ndarray, int]:
     """The distinct word runs of a question or answer, and how many words each has."""
-    words = next(iter(_words(pa.array([text]))))[2]
     size = min(RUN, len(words))
     return (np.unique(scan.run_hashes(words, size)), size) if size else (words, RUN)
 
 
+def _edits(half: np.ndarray, own: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """For each end in own, the fewest replaced, missing and added words between half and what ends there.
+
+    start has the cost of beginning after each number of words of own.
+    """
+    place = np.arange(len(own) + 1)
+    row = start
+    for word in half:
+        row = np.append(row[0] + 1, np.minimum(row[:-1] + (own != word), row[1:] + 1))
+        row = np.minimum.accumulate(row - place) + place
+    return row
+
+
+def _aligned(halves: tuple[np.ndarray, np.ndarray], own: np.ndarray, overlap: float) -> list[float] | None:
+    """The shares of question and answer left after the edits that make them stand close together in own, or None.
+
+    A half of several words may have one edit, longer ones as many as leave `overlap` of their words.
+    """
+    allowed = [0 if len(h) < 2 else max(1, int((1 - overlap) * len(h) + 1e-9)) for h in halves]
+    if any(int((~np.isin(h, own)).sum()) > most for h, most in zip(halves, allowed)):
+        return None
+    for first, second in ((0, 1), (1, 0)):
+        edits = _edits(halves[first], own, np.zeros(len(own) + 1, np.int64))
+        ends = np.cumsum(np.append(np.zeros(NEAR + 1, np.int64), edits <= allowed[first]))
+        start = np.where(ends[NEAR + 1 :] > ends[: -NEAR - 1], 0, 1 << 30)
+        more = _edits(halves[second], own, start)
+        if more.min() <= allowed[second]:
+            shares = [1.0, 1.0]
+            for half, x in ((first, edits), (second, more)):
+                shares[half] = 1 - int(x.min()) / max(1, len(halves[half]))
+            return shares
+    return None
+
+
 def _indexes(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[Index, bool]]:
     """Indexes of all items, each of a bounded size, and whether more than one is needed."""
     spark = items.sparkSession
@@ -238,8 +283,9 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     A text is cut into blocks of as many words as the longest item; each two neighbouring blocks are a passage. Items
     with a score of at least `threshold` are retrieved, whatever their number, and reported if the passage holds at
-    least `overlap` of the distinct five-word runs of both question and answer. Of several passages with one item the
-    one with the highest score is reported, then the first.
+    least `overlap` of the distinct five-word runs of both question and answer, or both in order and close together with
+    edits of less than the rest of their words; one edit never voids a half of two or more words. The overlaps are the
+    larger of both shares. Of several passages with one item the one with the highest score is reported, then the first.
 
     * Null, empty or word-free texts and items match nothing; an item with fewer than five words is one run.
     * Repeated documents are reported each; repeated items (same id and text) once; items sharing an id separately.

@@ -69,3 +69,20 @@ def test_empty_tables(spark, docs):
     assert contamination(docs([(1, "a b c d e f")]), none).count() == 0
     assert contamination(docs([]), some).count() == 0
     assert decontaminated(docs([(1, "a b c d e f")]), none).count() == 1
+
+
+def test_one_edited_word_hides_no_item(spark, docs):
+    """Each word of each item replaced, left out or doubled with another; halves have 2 to 16 words."""
+    rng = random.Random(11)
+    items = [(k, f"{sentence(rng, 2 + k)}?\n{sentence(rng, 16 - k)}", 0) for k in range(15)]
+    rows = []
+    for k, text, _ in items:
+        for at in range(18):
+            for edit in (["new"], [], [text.replace("?\n", " ").split()[at], "new"]):
+                parts = text.replace("?\n", " ").split()
+                parts[at : at + 1] = edit
+                rows.append((1000 * k + len(rows), f"{sentence(rng, 50)} {' '.join(parts)} {sentence(rng, 50)}"))
+    lone = [(50_000 + k, sentence(rng, 50) + " " + text.split("?\n")[k < 8] + " " + sentence(rng, 50)) for k, text, _ in items]
+    got = {(r.doc_id, r.item_id) for r in contamination(docs(rows + lone), spark.createDataFrame(items, ITEMS)).collect()}
+    assert got == {(name, (i // 54)) for i, (name, _) in enumerate(rows)}
+    assert {r.doc_id for r in decontaminated(docs(rows + lone), spark.createDataFrame(items, ITEMS)).collect()} == {name for name, _ in lone}
