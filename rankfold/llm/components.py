@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop, fewer, kept
+from .shared import drop, kept
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,15 +17,14 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b")
     first = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b"))
-    roots = kept(fewer(first.select("node", F.least("node", "b").alias("root"))), "roots")
+    roots = kept(first.select("node", F.least("node", "b").alias("root")), "roots")
     while True:
-        heard = fewer(both.join(roots, both.b == roots.node)).select(F.col("a").alias("node"), "root", F.lit(False).alias("own"))
+        heard = both.join(roots, both.b == roots.node).select(F.col("a").alias("node"), "root", F.lit(False).alias("own"))
         near = heard.unionByName(roots.withColumn("own", F.lit(True))).groupBy("node")
         near = near.agg(F.min("root").alias("near"), F.max(F.when(F.col("own"), F.col("root"))).alias("before"))
-        near = fewer(near)
         jump = roots.select(F.col("node").alias("near"), F.col("root").alias("far"))
         after = near.join(jump, "near").select("node", F.col("far").alias("root"), (F.col("far") != F.col("before")).alias("moved"))
-        after = kept(fewer(after), "roots")
+        after = kept(after, "roots")
         drop(roots)
         moved = after.where("moved").limit(1).count()
         path, roots = after.kept_path, after.drop("moved")

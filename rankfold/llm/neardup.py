@@ -7,7 +7,11 @@ likely similarity near the threshold (joint likelihood of the registers) and is
 A bucket first pairs its members with one leader; a text is compared with the leader it shares most bands with, then
 with its other leaders as far as they are still in other components. In buckets that even then hold several components,
 all members outside the main one are compared with the whole bucket, block by block: every pair of texts that agree in
-a band ends up in one component or has been tested. Pairs inside a component are never formed.
+a band ends up in one component or has been tested. These pairs never become rows: members that have a likely partner get
+their full sets, a job confirms its pairs itself, leaves out those that it has joined already, and returns the edges of a
+spanning forest. So rows grow with members and blocks.
+
+A text is named by the smallest id of its documents and then its set, so the smallest name of a component holds its smallest id.
 """
 
 from __future__ import annotations
@@ -19,13 +23,13 @@ from pyspark.sql import functions as F
 
 from . import scan, setsketch
 from .components import components
-from .shared import fewer, kept
+from .shared import drop, kept
 
 REGISTERS, BAND = 288, 6
-#: Estimates may fall short of the true similarity by this much (five standard deviations at 0.8).
-SLACK = 0.12
-#: Members of a bucket that are compared with as many others at once. A block is a unit of work, not a bound.
-BLOCK = 256
+#: Estimates may fall short of the true similarity by this much (five and a half standard deviations at 0.8).
+SLACK = 0.13
+#: Members of a bucket, and elements of their sets, that are compared with as many others at once. Units of work, not bounds.
+BLOCK, BLOCK_ELEMENTS = 256, 1 << 19
 
 
 def _sets_of(column: pa.Array, shingle: int):
@@ -98,22 +102,43 @@ def _with_sets(shingle: int):
     return run
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sets, as sorted arrays, reach the similarity."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)) or not len(x):
+        return False
+    both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _sets(column: pa.Array) -> list[np.ndarray]:
+    raw, offsets = scan.text_bytes(column)
+    return np.split(raw.view(np.uint64), offsets[1:-1] // 8)
+
+
 def _confirmed(percent: int):
     def run(batches):
         for batch in batches:
-            (left, lo), (right, ro) = (scan.text_bytes(batch.column(c)) for c in ("ea", "eb"))
-            left, right, lo, ro = left.view(np.uint64), right.view(np.uint64), lo // 8, ro // 8
-            keep = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                x, y = left[lo[i] : lo[i + 1]], right[ro[i] : ro[i + 1]]
-                at = np.searchsorted(x, y)
-                both = int((x[np.minimum(at, len(x) - 1)] == y).sum()) if len(x) else 0
-                keep[i] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            keep = [_linked(x, y, percent) for x, y in zip(*(_sets(batch.column(c)) for c in ("ea", "eb")))] if batch.num_rows else []
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
+_LOWEST = -(1 << 63)
+
+
+def _name(first: str, key: str):
+    """A binary name of a set that orders by the smallest id of its documents, null last, and then by the set."""
+    number = F.lpad(F.hex(F.coalesce(F.col(first), F.lit(0)).bitwiseXOR(F.lit(_LOWEST))), 16, "0")
+    return F.concat(F.when(F.col(first).isNull(), F.unhex(F.lit("01"))).otherwise(F.unhex(F.lit("00"))), F.unhex(number), F.col(key))
+
+
+def _first_of(name):
+    """The smallest id in a name."""
+    number = F.conv(F.hex(F.substring(name, 2, 8)), 16, -10).cast("bigint").bitwiseXOR(F.lit(_LOWEST))
+    return F.when(F.substring(name, 1, 1) == F.unhex(F.lit("00")), number)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """[id_col, n_shingles, component_id, kept], one row per row of docs.
 
@@ -131,36 +156,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     source = docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].alias("text"))
     rows = kept(source.mapInArrow(_sketched(shingle), "id bigint, n bigint, key binary, registers binary"), "sketches")
-    texts = rows.where("n > 0").groupBy("key").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.first("registers").alias("registers"))
-    texts = kept(texts, "sets")
+    texts = rows.where("n > 0").groupBy(F.col("key").alias("set")).agg(F.min("id").alias("first"), F.max("n").alias("n"), F.first("registers").alias("registers"))
+    texts = kept(texts.select("set", "first", _name("first", "set").alias("key"), "n", "registers"), "sets")
     bands = texts.select("key", F.col("n").cast("int").alias("n"), "registers").mapInArrow(_banded, "bucket bigint, key binary, n int")
     sizes = bands.groupBy("bucket").agg(F.count("*").alias("members"), F.min(F.struct("key", "n")).alias("leader")).where("members > 1")
     members = kept(bands.join(sizes, "bucket").select("bucket", "key", "n", "members", F.col("leader.key").alias("leader"), F.col("leader.n").alias("leader_n")), "buckets")
 
     firsts = texts.join(members.select("key").distinct(), "key", "left_semi").select(F.col("first").alias("id")).distinct()
     wanted = source.join(firsts, source.id.eqNullSafe(firsts.id), "left_semi")
-    elements = wanted.select("text").mapInArrow(_with_sets(shingle), "key binary, elements binary")
-    elements = kept(elements.groupBy("key").agg(F.first("elements").alias("elements")), "elements")
+    elements = wanted.select("text").mapInArrow(_with_sets(shingle), "set binary, elements binary")
+    elements = elements.groupBy("set").agg(F.first("elements").alias("elements")).join(texts.select("set", "key"), "set")
+    elements = kept(elements.select("key", "elements"), "elements")
 
     fits = f"100 * least(n, leader_n) >= {percent} * greatest(n, leader_n)"
     stars = members.where("key <> leader").where(fits).groupBy(F.col("leader").alias("a"), F.col("key").alias("b")).agg(F.count("*").alias("bands"))
-    stars = kept(fewer(stars), "stars")
+    stars = kept(stars, "stars")
     best = stars.groupBy("b").agg(F.min(F.struct((-F.col("bands")).alias("bands"), "a")).alias("x")).select("x.a", "b")
-    links = _links(best, texts, elements, percent)
-    roots = components(links)
+    found = [_links(best, texts, elements, percent)]
+    roots = components(found[0])
     rest = _across(stars.join(best, ["a", "b"], "left_anti").select("a", "b"), roots)
-    found = _links(rest, texts, elements, percent)
-    if found.limit(1).count():
-        links = links.unionByName(found)
-        roots = components(links)
-    rest = _remaining(members, roots, texts, percent).join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    found = _in_full(rest, elements, percent)
-    if found.limit(1).count():
-        roots = components(links.unionByName(found))
-    classes = texts.select("key", "first").join(roots.select(F.col("node").alias("key"), "root"), "key", "left")
-    classes = classes.withColumn("root", F.coalesce("root", "key"))
-    smallest = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = classes.join(smallest, "root").select("key", "component_id")
+    found.append(_links(rest, texts, elements, percent))
+    if not found[-1].isEmpty():
+        roots = components(found[0].unionByName(found[1]))
+    opened = kept(_opened(members, roots), "open")
+    active = opened.join(texts.select("key", "registers"), "key").repartition("job").sortWithinPartitions("job").mapInArrow(_active(percent), _JOB)
+    active = kept(active, "active")
+    jobs = active.join(elements, "key").repartition("job").sortWithinPartitions("job")
+    found.append(kept(jobs.mapInArrow(_forest(percent), "a binary, b binary"), "links"))
+    if not found[-1].isEmpty():
+        roots = components(found[0].unionByName(found[1]).unionByName(found[2]))
+    for table in (members, elements, stars, opened, active, *found):
+        drop(table)
+    name = F.coalesce("root", "key")
+    classes = texts.select("set", "key").join(roots.select(F.col("node").alias("key"), "root"), "key", "left")
+    classes = classes.select(F.col("set").alias("key"), _first_of(name).alias("component_id"))
     out = rows.select("id", "n", "key").join(classes, "key", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(
@@ -183,60 +212,57 @@ def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFr
 def _links(pairs: DataFrame, texts: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
     """The pairs that are likely by their registers and linked by their full sets."""
     side = lambda c: texts.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("registers").alias(f"r{c}"))
-    near = fewer(fewer(pairs.join(side("b"), "b")).join(side("a"), "a")).where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    near = pairs.join(side("b"), "b").join(side("a"), "a").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     return _in_full(near.mapInArrow(_likely(percent / 100 - SLACK), "a binary, b binary"), elements, percent)
 
 
 def _in_full(near: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
     """The pairs that are linked by their full sets."""
     full = lambda c: elements.select(F.col("key").alias(c), F.col("elements").alias(f"e{c}"))
-    found = fewer(fewer(near.join(full("b"), "b")).join(full("a"), "a")).mapInArrow(_confirmed(percent), "a binary, b binary")
-    return kept(fewer(found), "links")
+    return kept(near.join(full("b"), "b").join(full("a"), "a").mapInArrow(_confirmed(percent), "a binary, b binary"), "links")
 
 
 def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs [a, b] whose texts are still in different components."""
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
-    rooted = fewer(fewer(pairs.join(of("b"), "b", "left")).join(of("a"), "a", "left"))
+    rooted = pairs.join(of("b"), "b", "left").join(of("a"), "a", "left")
     return rooted.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
-def _compared(percent: int):
-    """Likely pairs of texts in different components, from rows sorted by job; side 0 meets side 1, side 2 meets itself."""
-
-    def pairs(rows: pa.Table):
-        raw = scan.text_bytes(rows.column("registers").combine_chunks())[0]
-        registers = raw.view(np.uint16).reshape(-1, REGISTERS)
-        key, root = (scan.text_bytes(rows.column(c).combine_chunks())[0].view(">u8").astype(np.uint64).reshape(-1, 2) for c in ("key", "root"))
-        job, side, n, bucket = (rows.column(c).to_numpy() for c in ("job", "side", "n", "bucket"))
-        bands = np.concatenate([setsketch.band_hashes(registers[lo : lo + 4096], BAND) for lo in range(0, len(job), 4096)])
-        band = (bands.view(np.int64) == bucket[:, None]).argmax(axis=1)
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        lo, hi = (np.searchsorted(job[right], job[left], x) for x in ("left", "right"))
-        found = [np.empty((0, 2), np.int64)]
-        start, ends = 0, np.cumsum(hi - lo)
-        while start < len(left):
-            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + (1 << 18), "right")))
-            count = hi[start:stop] - lo[start:stop]
-            x = np.repeat(left[start:stop], count)
-            y = right[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - lo[start:stop], count)]
-            small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
-            keep = (root[x] != root[y]).any(axis=1) & (100 * small.astype(np.int64) >= percent * large.astype(np.int64)) & ((side[x] != 2) | (x < y))
-            x, y = x[keep], y[keep]
-            for at in range(0, len(x), 8192):
-                i, j = x[at : at + 8192], y[at : at + 8192]
-                same = (registers[i] == registers[j])[:, : REGISTERS // BAND * BAND].reshape(len(i), -1, BAND).all(axis=2)
-                first = same.any(axis=1) & (same.argmax(axis=1) == band[i])  # a pair counts in the first band that it shares
-                i, j = i[first], j[first]
-                if len(i):
-                    likely = setsketch.joint_similarity(registers[i], registers[j], n[i].astype(float), n[j].astype(float)) >= percent / 100 - SLACK
-                    found.append(np.stack((i[likely], j[likely]), axis=1))
-            start = stop
-        i, j = np.concatenate(found).T
-        swap = (key[i, 0] > key[j, 0]) | ((key[i, 0] == key[j, 0]) & (key[i, 1] > key[j, 1]))
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        names = rows.column("key").combine_chunks()
-        return pa.RecordBatch.from_arrays([names.take(pa.array(i)), names.take(pa.array(j))], ["a", "b"])
+_JOB = "job bigint, side int, bucket bigint, key binary, root binary, n int, registers binary"
+
+
+def _likely_pairs(rows: pa.Table, percent: int):
+    """Numbers of likely pairs in different components, from rows sorted by job; side 0 meets side 1, side 2 meets itself."""
+    registers = scan.text_bytes(rows.column("registers").combine_chunks())[0].view(np.uint16).reshape(-1, REGISTERS)
+    root = rows.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
+    job, side, n, bucket = (rows.column(c).to_numpy() for c in ("job", "side", "n", "bucket"))
+    bands = np.concatenate([setsketch.band_hashes(registers[lo : lo + 4096], BAND) for lo in range(0, len(job), 4096)])
+    band = (bands.view(np.int64) == bucket[:, None]).argmax(axis=1)
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    lo, hi = (np.searchsorted(job[right], job[left], x) for x in ("left", "right"))
+    start, ends = 0, np.cumsum(hi - lo)
+    while start < len(left):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + (1 << 18), "right")))
+        count = hi[start:stop] - lo[start:stop]
+        x = np.repeat(left[start:stop], count)
+        y = right[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - lo[start:stop], count)]
+        small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+        keep = (root[x] != root[y]) & (100 * small.astype(np.int64) >= percent * large.astype(np.int64)) & ((side[x] != 2) | (x < y))
+        x, y = x[keep], y[keep]
+        for at in range(0, len(x), 8192):
+            i, j = x[at : at + 8192], y[at : at + 8192]
+            same = (registers[i] == registers[j])[:, : REGISTERS // BAND * BAND].reshape(len(i), -1, BAND).all(axis=2)
+            first = same.any(axis=1) & (same.argmax(axis=1) == band[i])  # a pair counts in the first band that it shares
+            i, j = i[first], j[first]
+            if len(i):
+                likely = setsketch.joint_similarity(registers[i], registers[j], n[i].astype(float), n[j].astype(float)) >= percent / 100 - SLACK
+                yield i[likely], j[likely]
+        start = stop
+
+
+def _by_job(work):
+    """work(rows of whole jobs) over batches sorted by job."""
 
     def run(batches):
         held = []
@@ -246,31 +272,72 @@ def _compared(percent: int):
             job = batch.column("job").to_numpy()
             whole = int(np.searchsorted(job, job[-1]))  # the last job may go on in the next batch
             if held and held[-1].column("job")[-1].as_py() != job[0]:
-                yield pairs(pa.Table.from_batches(held))
+                yield from work(pa.Table.from_batches(held))
                 held = []
             if whole:
-                yield pairs(pa.Table.from_batches([*held, batch.slice(0, whole)]))
+                yield from work(pa.Table.from_batches([*held, batch.slice(0, whole)]))
                 held = []
             held.append(batch.slice(whole))
         if held:
-            yield pairs(pa.Table.from_batches(held))
+            yield from work(pa.Table.from_batches(held))
 
     return run
 
 
-def _remaining(members: DataFrame, roots: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """All likely pairs [a, b] of texts that share a bucket and are in different components.
+def _active(percent: int):
+    """The rows that have a likely partner in their job."""
+
+    def work(rows: pa.Table):
+        seen = np.zeros(rows.num_rows, bool)
+        for i, j in _likely_pairs(rows, percent):
+            seen[i] = seen[j] = True
+        yield from rows.select([c.split()[0] for c in _JOB.split(", ")]).filter(pa.array(seen)).to_batches()
+
+    return _by_job(work)
+
+
+def _forest(percent: int):
+    """Linked pairs [a, b] that join all components that the likely pairs of each job can join."""
+
+    def work(rows: pa.Table):
+        sets = _sets(rows.column("elements").combine_chunks())
+        names = rows.column("key").combine_chunks()
+        at = rows.column("root").combine_chunks().dictionary_encode().indices.to_numpy().tolist()
+        parent = list(range(max(at) + 1))
+
+        def find(k):
+            while parent[k] != k:
+                parent[k] = k = parent[parent[k]]
+            return k
+
+        edges = []
+        for left, right in _likely_pairs(rows, percent):
+            for i, j in zip(left.tolist(), right.tolist()):
+                x, y = find(at[i]), find(at[j])
+                if x != y and _linked(sets[i], sets[j], percent):
+                    parent[x] = y
+                    edges.append((i, j))
+        i, j = np.array(edges, np.int64).reshape(-1, 2).T
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(i)), names.take(pa.array(j))], ["a", "b"])
+
+    return _by_job(work)
+
+
+def _opened(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """[job, side, bucket, key, root, n]: the work left in buckets that hold several components.
 
     The members outside the largest component of a bucket meet each other and all the rest, in jobs of two blocks.
-    Only pairs whose set sizes allow the similarity count.
     """
     root = roots.select(F.col("node").alias("key"), "root")
     rooted = members.where("members > 2").select("bucket", "key", "n").join(root, "key", "left")
-    rooted = fewer(rooted.withColumn("root", F.coalesce("root", "key")))
-    held = rooted.groupBy("bucket", "root").agg(F.count("*").alias("held"))
-    sizes = held.groupBy("bucket").agg(F.max(F.struct("held", "root")).alias("main"), F.sum("held").alias("members"), F.count("*").alias("roots"))
-    blocks = lambda n: F.ceil(n / BLOCK)
-    sizes = sizes.where("roots > 1").select("bucket", F.col("main.root").alias("main"), blocks(F.col("members") - F.col("main.held")).alias("strays"), blocks(F.col("main.held")).alias("others"))
+    rooted = rooted.withColumn("root", F.coalesce("root", "key"))
+    held = rooted.groupBy("bucket", "root").agg(F.count("*").alias("held"), F.sum("n").alias("elements"))
+    sizes = held.groupBy("bucket").agg(
+        F.max(F.struct("held", "root", "elements")).alias("main"), F.sum("held").alias("members"), F.sum("elements").alias("elements"), F.count("*").alias("roots")
+    )
+    blocks = lambda n, elements: F.ceil(F.greatest(n / BLOCK, elements / BLOCK_ELEMENTS))
+    strays = blocks(F.col("members") - F.col("main.held"), F.col("elements") - F.col("main.elements"))
+    sizes = sizes.where("roots > 1").select("bucket", F.col("main.root").alias("main"), strays.alias("strays"), blocks(F.col("main.held"), F.col("main.elements")).alias("others"))
     open_ = rooted.join(sizes, "bucket").withColumn("stray", F.col("root") != F.col("main"))
     block = F.pmod(F.xxhash64("key"), F.when(F.col("stray"), F.col("strays")).otherwise(F.col("others")))
     last = F.when(F.col("stray"), F.col("strays") + F.col("others")).otherwise(F.col("strays")) - 1
@@ -278,7 +345,4 @@ def _remaining(members: DataFrame, roots: DataFrame, texts: DataFrame, percent:
     own = F.when(F.col("stray"), F.col("block")).otherwise(F.col("block") + F.col("strays"))
     side = F.when(F.col("with") == own, 2).when(own < F.col("with"), 0).otherwise(1)
     job = F.xxhash64("bucket", F.least(own, "with"), F.greatest(own, "with"))
-    met = kept(fewer(met.select(job.alias("job"), side.cast("int").alias("side"), "bucket", "key", "root", "n")), "open")
-    met = met.join(texts.select("key", "registers"), "key").select("job", "side", "bucket", "key", "root", "n", "registers")
-    found = met.repartition("job").sortWithinPartitions("job").mapInArrow(_compared(percent), "a binary, b binary")
-    return kept(fewer(found), "pairs").distinct()
+    return met.select(job.alias("job"), side.cast("int").alias("side"), "bucket", "key", "root", "n")

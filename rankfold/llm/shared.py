@@ -32,11 +32,6 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
-def fewer(df: DataFrame) -> DataFrame:
-    """df in at most four partitions per core, for steps whose rows are short: their tasks cost more than their data."""
-    return df.coalesce(4 * max(2, df.sparkSession.sparkContext.defaultParallelism))
-
-
 def drop(table: DataFrame) -> None:
     """Delete a table made by kept() that no later step reads."""
     spark = table.sparkSession
