@@ -15,21 +15,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .shared import kept
+
 #: Candidates and queries that meet in one group.
 BLOCK_ROWS, QUERY_ROWS = 8192, 1024
 #: Share of the lists that is read between two looks at the bounds.
 STEP = 1 / 16
 
 
-def read_lists(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(places, scores) of the k best vectors for each query, by score and then by id; own[i] is the id to leave out."""
+def read_lists(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, rows: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, scores) of the k best vectors for each query, by score and then by id; own[i] is the row (or id) to leave out."""
+    rows = ids if rows is None else rows
     n, dims = vectors.shape
     order = np.argsort(vectors, axis=0, kind="stable").T  # one ascending list per dimension
     values = np.take_along_axis(vectors.T, order, axis=1)
     step = max(64, int(n * STEP))
     best = []
     for query, mine in zip(queries, own):
-        others = ids != mine
+        others = rows != mine
         up = query >= 0
         weights = query[:, None]
         ends = np.stack((values[:, 0] * query, values[:, -1] * query)) if n else np.zeros((2, dims), np.int64)
@@ -69,14 +72,16 @@ def _searched(k: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         is_query = table.column("is_query").to_numpy()
-        ids = table.column("id").to_numpy()
+        ids, rows = table.column("id").to_numpy(), table.column("row").to_numpy()
         flat = table.column("v").combine_chunks()
         matrix = flat.flatten().to_numpy().reshape(table.num_rows, -1) if table.num_rows else np.zeros((0, 0), np.int64)
-        found = read_lists(matrix[is_query], matrix[~is_query], ids[~is_query], ids[is_query], k) if is_query.any() and not is_query.all() else []
-        mine, others = ids[is_query], ids[~is_query]
+        some = is_query.any() and not is_query.all()
+        found = read_lists(matrix[is_query], matrix[~is_query], ids[~is_query], rows[is_query], k, rows[~is_query]) if some else []
+        others, each = ids[~is_query], [len(p) for p, _ in found]
         return pa.table(
             {
-                "query_id": pa.array(np.repeat(mine[: len(found)], [len(p) for p, _ in found]), pa.int64()),
+                "query_id": pa.array(np.repeat(ids[is_query][: len(found)], each), pa.int64()),
+                "row": pa.array(np.repeat(rows[is_query][: len(found)], each), pa.int64()),
                 "vec_id": pa.array(np.concatenate([others[p] for p, _ in found]) if found else [], pa.int64()),
                 "score": pa.array(np.concatenate([s for _, s in found]) if found else [], pa.int64()),
             }
@@ -89,11 +94,12 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024,
     """[query_id, rank, vec_id, score]: for each row whose id is divisible by `every`, the k rows with the largest scores.
 
     A component x counts as floor(scale * x); the score is the integer inner product. Ties go to the smaller id; a query
-    has fewer than k rows only if there are fewer candidates. Rows with the query's id are no candidates for it.
+    has fewer than k rows only if there are fewer candidates. The query's own row is no candidate for it.
 
     * Rows with a null id, a null vector, or a null or non-finite component take no part; nor do empty vectors.
     * Vectors of different lengths are never compared.
-    * Of repeated rows (same id and vector) one takes part; rows sharing an id with other vectors are candidates each.
+    * Repeated rows, and rows sharing an id, are rows of their own: each is a candidate and, if its id says so, a query.
+      So each of several queries with one id has k rows of its own.
     * An empty table, or one without queries, gives an empty table. Other columns are ignored.
 
     The stated queries meet all rows in blocks of at most about QUERY_ROWS x BLOCK_ROWS rows.
@@ -101,15 +107,16 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024,
     v = F.transform(vectors[vector_col], lambda x: F.floor(x.cast("double") * scale).cast("bigint"))
     bad = F.exists(vectors[vector_col], lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
     rows = vectors.where(vectors[id_col].isNotNull() & vectors[vector_col].isNotNull() & ~F.coalesce(bad, F.lit(True)))
-    rows = rows.select(rows[id_col].cast("bigint").alias("id"), v.alias("v")).where(F.size("v") > 0).distinct()
+    rows = rows.select(rows[id_col].cast("bigint").alias("id"), v.alias("v")).where(F.size("v") > 0)
+    rows = kept(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")  # written once, so the numbers stay
     n, asked = rows.agg(F.count("*"), F.count_if(F.col("id") % every == 0)).first()
     blocks, batches = max(1, -(-n // BLOCK_ROWS)), max(1, -(-asked // QUERY_ROWS))
-    deal = lambda into: F.pmod(F.xxhash64("id", "v"), F.lit(into)).cast("int")
+    deal = lambda into: F.pmod(F.xxhash64("id", "row"), F.lit(into)).cast("int")
     everywhere = lambda into: F.explode(F.sequence(F.lit(0), F.lit(into - 1)))
-    candidates = rows.select("id", "v", F.lit(False).alias("is_query"), deal(blocks).alias("block"), everywhere(batches).alias("batch"))
+    candidates = rows.select("id", "row", "v", F.lit(False).alias("is_query"), deal(blocks).alias("block"), everywhere(batches).alias("batch"))
     queries = rows.where(F.col("id") % every == 0)
-    queries = queries.select("id", "v", F.lit(True).alias("is_query"), everywhere(blocks).alias("block"), deal(batches).alias("batch"))
+    queries = queries.select("id", "row", "v", F.lit(True).alias("is_query"), everywhere(blocks).alias("block"), deal(batches).alias("batch"))
     met = candidates.unionByName(queries).withColumn("dims", F.size("v"))
-    found = met.groupBy("block", "batch", "dims").applyInArrow(_searched(k), "query_id bigint, vec_id bigint, score bigint")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = met.groupBy("block", "batch", "dims").applyInArrow(_searched(k), "query_id bigint, row bigint, vec_id bigint, score bigint")
+    rank = F.row_number().over(W.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

@@ -11,7 +11,7 @@ from . import scan
 
 SLOTS = 1 << 16
 SIZES = (3, 4, 5)
-#: Most labelled urls that a model is fitted on; larger tables are sampled by a hash of the url.
+#: Most distinct labelled urls that a model is fitted on, half of them of each verdict; larger tables are sampled by hash.
 TRAINING_ROWS = 20_000
 
 
@@ -59,12 +59,14 @@ def _grams(hosts: pa.Array, paths: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def fit(labelled: DataFrame, rows: int = TRAINING_ROWS, rounds: int = 30, rate: float = 0.5, decay: float = 1e-5) -> np.ndarray:
     """Weights of a logistic regression on labelled[host, path, verdict]: SLOTS of them and a bias.
 
-    Fitted with AdaGrad on the driver, on at most about `rows` urls chosen by hash. Rows with a null verdict are left out.
-    Without rows, or with one verdict only, the weights are 0 and the bias gives that verdict.
+    Fitted with AdaGrad on the driver, on distinct urls, each weighted by how often it is labelled so: of each verdict the
+    rows / 2 with the smallest hashes, so neither repeated urls nor a rare verdict change what is seen. Rows with a null verdict
+    are left out. Without rows, or with one verdict only, the weights are 0 and the bias gives that verdict.
     """
-    labelled = labelled.where("verdict is not null").select("host", "path", "verdict")
-    every = max(1, -(-labelled.count() // rows))
-    table = labelled.where(F.pmod(F.xxhash64("host", "path"), F.lit(every)) == 0).orderBy("host", "path", "verdict").toArrow().combine_chunks()
+    urls = labelled.where("verdict is not null").groupBy("verdict", "host", "path").agg(F.count("*").alias("times"))
+    urls = urls.withColumn("place", F.xxhash64("host", "path"))
+    chosen = [urls.where(F.col("verdict") == v).orderBy("place", "host", "path").limit(rows // 2) for v in ("allow", "block")]
+    table = chosen[0].unionByName(chosen[1]).orderBy("place", "host", "path", "verdict").toArrow().combine_chunks()
     weights = np.zeros(SLOTS + 1)
     if not table.num_rows:
         return weights
@@ -72,6 +74,9 @@ def fit(labelled: DataFrame, rows: int = TRAINING_ROWS, rounds: int = 30, rate:
     if y.min() == y.max():
         weights[-1] = 8.0 if y[0] else -8.0
         return weights
+    # a url counts with the square root of its labels, so that a hot one does not drown the rest
+    times = np.sqrt(table.column("times").to_numpy().astype(float))
+    times /= times.mean()
     row, slot = _grams(table.column("host").combine_chunks(), table.column("path").combine_chunks())
     scale = 1 / np.sqrt(np.maximum(np.bincount(row, minlength=len(y)), 1))
     batches = np.array_split(np.random.default_rng(0).permutation(len(y)), max(1, len(y) // 256))
@@ -83,6 +88,7 @@ def fit(labelled: DataFrame, rows: int = TRAINING_ROWS, rounds: int = 30, rate:
             whose = np.repeat(np.arange(len(batch)), starts[batch + 1] - starts[batch])
             z = np.bincount(whose, weights[slot[at]], minlength=len(batch)) * scale[batch] + weights[-1]
             error = 1 / (1 + np.exp(-z)) - y[batch]
+            error *= times[batch]
             gradient = np.bincount(slot[at], (error * scale[batch])[whose], minlength=SLOTS + 1) / len(batch)
             gradient[-1] = error.mean()
             gradient += decay * weights

@@ -115,3 +115,15 @@ def test_model_learns_from_the_table(spark):
     rows = [(k, f"http://{name(k % 2)}/{'pills' if k % 2 else 'news'}/{k}", None) for k in range(100)]
     got = {r.page_id: r.verdict for r in judged(pages(spark, rows), [], labelled).collect()}
     assert sum(got[k] == ("block" if k % 2 else "allow") for k in range(100)) >= 95
+
+
+@pytest.mark.parametrize("times", [(60000, 60000), (60000, 1), (1, 60000)])
+def test_url_model_with_hot_urls(spark, times):
+    """Repeated urls neither crowd out the others nor leave the model without rows."""
+    rows = [(k, "http://good.org/news", None) for k in range(times[0])] + [(k, "http://bad.com/de/x", None) for k in range(times[1])]
+    rows += [(-1, "http://good.org/novel", None), (-2, "http://sub.bad.com/de/y", None), (-3, "ftp://other.net/news", None), (-4, None, None)]
+    labelled = [("good.org", "/news", "allow")] * times[0] + [("bad.com", "/de/x", "block")] * times[1] + [("x.org", "/", None)]
+    frame = spark.createDataFrame(labelled, "host string, path string, verdict string").repartition(8)
+    out = {r.page_id: r for r in judged(pages(spark, rows[-4:]), [], frame).collect()}
+    assert (out[-1].verdict, out[-2].verdict) == ("allow", "block")
+    assert out[-3].block_probability < 0.5

@@ -15,11 +15,10 @@ def frame(spark, rows):
 
 def brute(rows, every, k):
     good = [(i, tuple(math.floor(1024 * float(np.float32(x))) for x in v)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
-    good = sorted(set(good))
     out = []
-    for i, q in good:
+    for n, (i, q) in enumerate(good):
         if i % every == 0:
-            scores = [(-sum(a * b for a, b in zip(q, c)), j) for j, c in good if j != i and len(c) == len(q)]
+            scores = [(-sum(a * b for a, b in zip(q, c)), j) for m, (j, c) in enumerate(good) if m != n and len(c) == len(q)]
             out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(sorted(scores)[:k])]
     return sorted(out)
 
@@ -30,6 +29,7 @@ def corpus(seed=0, n=700, dims=6):
     rows += [(1000 + k, rows[50][1]) for k in range(150)]  # ties
     rows += [(2000, None), (2001, []), (2010, [None] * dims), (2020, [float("nan")] * dims), (2030, [float("inf")] + [0.0] * (dims - 1)), (None, [1.0] * dims)]
     rows += [(2040, [1.0, 2.0]), (2041, [3.0, -1.0]), (2050, [0.0] * dims), (7, rows[7][1])]
+    rows += [(60, rows[60][1]), (60, rows[61][1]), (3000, rows[40][1]), (3000, rows[40][1]), (3000, rows[40][1])]  # repeated queries
     return rows
 
 
