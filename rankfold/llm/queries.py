@@ -107,7 +107,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the 400-byte strings that stand anywhere else too."""
-    return suffixes.repeated_strings(documents(spark, sf_dir), length=400)
+    return suffixes.repeated_strings(documents(spark, sf_dir), length=400, with_text=True)
 
 
 @_query

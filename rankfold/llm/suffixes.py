@@ -28,6 +28,8 @@ from .shared import drop, kept
 #: Most distinct stretches of one suffix that one task takes together, about 600 bytes each.
 TOGETHER = 20_000
 
+#: A longer text is indexed in parts of so many starts, each with what follows to complete the last string.
+PART = 1 << 27
 _POSITION = np.uint64((1 << 28) - 1)
 
 
@@ -43,7 +45,22 @@ def _window_minima(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def _stretches(buf: np.ndarray, offsets: np.ndarray, length: int, head: int):
-    """(text, start in the text, number of strings, suffix key, stretch key) of each indexed suffix."""
+    """(text, start in the text, number of strings, suffix key, stretch key) of each indexed suffix.
+
+    A string picks the same suffix wherever it stands, so parts of a long text pick what the whole would. A stretch that is
+    cut between parts is another stretch of its suffix, and stretches of one suffix are compared string by string.
+    """
+    if len(offsets) > 2 or len(buf) < PART + length:
+        return _stretches_of(buf, offsets, length, head)
+    parts = []
+    for lo in range(0, len(buf) - length + 1, PART):
+        part = buf[lo : lo + PART + length - 1]
+        owner, start, *rest = _stretches_of(part, np.array([0, len(part)]), length, head)
+        parts.append((owner, start + lo, *rest))
+    return tuple(np.concatenate(column) for column in zip(*parts))
+
+
+def _stretches_of(buf: np.ndarray, offsets: np.ndarray, length: int, head: int):
     none = np.empty(0, np.int64)
     if len(buf) < length:
         return none, none, none, none, none
@@ -223,18 +240,23 @@ def index_levels(suffixes: DataFrame, batches: int) -> list[DataFrame]:
     return [levels[rank] for rank in sorted(levels, reverse=True)]
 
 
-def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, batches: int = 2) -> DataFrame:
-    """[id_col, n_bytes, n_removed, n_spans, kept_sha256], one row per row of docs.
+def repeated_strings(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, batches: int = 2, with_text: bool = False
+) -> DataFrame:
+    """[id_col, n_bytes, n_removed, n_spans, kept_sha256], one row per row of docs; with_text adds kept_text.
 
     A byte of a text (as UTF-8) is removed if it is covered by a string of `length` bytes that also starts anywhere
     else, in the same or another row; overlaps count, and strings are judged on the input. n_spans counts maximal
-    removed runs.
+    removed runs. kept_text is what remains, without bytes of characters that were cut in two; kept_sha256 counts those.
 
-    * A null text is empty. Texts shorter than `length` lose nothing.
+    * A null text is empty. A very long text is handled whole, in one task, with about 60 bytes of arrays per byte. Texts shorter than `length` lose nothing.
     * Every row is a text of its own: repeated rows of at least `length` bytes lose everything.
     * Null or repeated ids are passed through. An empty table gives an empty table. Other columns are ignored.
     """
-    rows, changes = _changes(_named(docs, id_col, text_col), length, batches, with_text=False)
+    source = _named(docs, id_col, text_col)
+    rows, changes = _changes(source, length, batches, with_text)
+    if with_text:
+        rows = source.withColumn("sha", F.sha2("text", 256))
     out = rows.join(changes, ["name", "n"], "left")
     return out.select(
         F.col("id").alias(id_col),
@@ -242,6 +264,7 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"),
         F.coalesce("n_spans", F.lit(0)).cast("bigint").alias("n_spans"),
         F.coalesce("new_sha", "sha").alias("kept_sha256"),
+        *([F.coalesce("rest", "text").alias("kept_text")] if with_text else []),
     )
 
 

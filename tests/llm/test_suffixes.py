@@ -2,8 +2,10 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
+from rankfold.llm import suffixes
 from rankfold.llm.suffixes import repeated_strings, without_repeats
 
 
@@ -51,3 +53,37 @@ def test_texts_are_cut(docs):
 def test_empty_table(docs):
     assert repeated_strings(docs([]), length=40).count() == 0
     assert without_repeats(docs([]), length=40).count() == 0
+
+
+def test_long_texts_in_parts_and_hot_suffixes(docs, monkeypatch):
+    """Texts beyond a part, and suffixes with more stretches than are compared together; the executor's limits are lowered too."""
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage = text(120)
+    monkeypatch.setattr(suffixes, "TOGETHER", 3)
+    rows = [(k, f"{text(30)}{passage[k : k + 60 + k]}{text(30)}") for k in range(40)]
+    assert sorted((tuple(r) for r in repeated_strings(docs(rows), length=50).collect()), key=str) == brute(rows, 50)
+
+    monkeypatch.setattr(suffixes, "PART", 100)
+    long = (text(333) + passage + text(777) + passage).encode()
+    buf, offsets = np.frombuffer(long, np.uint8), np.array([0, len(long)])
+    owner, start, count, key, stretch = suffixes._stretches(buf, offsets, 50, 12)
+    where = Counter()
+    for lo, n, k in zip(start.tolist(), count.tolist(), key.tolist()):
+        for p in range(lo, lo + n):
+            where[p] = k
+    assert sorted(where) == list(range(len(long) - 49))
+    a, b = long.index(passage.encode()), long.rindex(passage.encode())
+    assert all(where[a + p] == where[b + p] for p in range(71))
+
+
+def test_remaining_text(docs):
+    rows = corpus(3, 30)
+    out = repeated_strings(docs(rows), length=30, with_text=True)
+    assert out.columns[-1] == "kept_text"
+    plain = {(r.doc_id, r.kept_sha256) for r in repeated_strings(docs(rows), length=30).collect()}
+    for r in out.collect():
+        assert (r.doc_id, r.kept_sha256) in plain
+        if r.n_removed == 0:
+            assert hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256
+        assert len(r.kept_text.encode()) <= r.n_bytes - r.n_removed
