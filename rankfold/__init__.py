@@ -10,15 +10,17 @@ from .plans import (
     PpcaResult,
     kth_singular_value,
     ppca,
+    project,
     randomized_pca,
     relative_error,
+    relative_reconstruction_error,
     residual_spectral_norm,
 )
 from .vectors import VectorMatrix, vector_rows
 
 __all__ = [
-    "Matrix", "PcaResult", "PpcaResult", "VectorMatrix", "kth_singular_value", "ppca", "randomized_pca",
-    "relative_error", "residual_spectral_norm", "vector_rows",
+    "Matrix", "PcaResult", "PpcaResult", "VectorMatrix", "kth_singular_value", "ppca", "project", "randomized_pca",
+    "relative_error", "relative_reconstruction_error", "residual_spectral_norm", "vector_rows",
 ]
 
 # Ship the few functions that run in Python workers by value: executors need no installed package.

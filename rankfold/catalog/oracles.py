@@ -178,6 +178,28 @@ def _pairs(width: int, form: str, digits: int | None = None) -> str:
     return " UNION ALL ".join(rows)
 
 
+def unit(*keys: str) -> str:
+    """The hash of keys as a number in (0, 1)."""
+    text = " || '/' || ".join(f"CAST({k} AS VARCHAR)" for k in keys)
+    return f"((CAST(CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0)"
+
+
+def normal(key: str, j: int, number: int = 7) -> str:
+    return f"(SQRT(-2.0 * LN({unit(key, j, number, 1)})) * COS(2.0 * PI() * {unit(key, j, number, 2)}))"
+
+
+_UNIFORM = "ROUND(" + unit("i", "{j}", "7", "0") + ", 12) AS w{j}"
+_LARGEST = """t AS (SELECT SUM(err) AS err, SUM(a) AS a FROM e GROUP BY col_id)
+SELECT ROUND(MAX(err), 4) AS err, ROUND(MAX(a), 4) AS norm, ROUND(MAX(err) / MAX(a), 8) AS ratio FROM t"""
+
+
+def _lost() -> str:
+    """The centred matrix less its projection on the unit vector along the first seed column."""
+    return f"""{seed(1, "sd")}, w AS (SELECT col_id, w0 / (SELECT SQRT(SUM(w0 * w0)) FROM sd) AS w0 FROM sd), {centred_sketch(1)},
+  e AS (SELECT w.col_id, ABS(z0 * w0 - COALESCE(value, 0.0) + mu) AS err, ABS(COALESCE(value, 0.0) - mu) AS a
+    FROM z CROSS JOIN w JOIN mu USING (col_id) LEFT JOIN y ON y.row_id = z.row_id AND y.col_id = w.col_id), {_LARGEST}"""
+
+
 def statements() -> dict[str, str]:
     purchases = f"WITH {PURCHASES}"
     out = {
@@ -205,7 +227,30 @@ def statements() -> dict[str, str]:
   {r('SUM(value)', 6, 'total_sketch_sec')}, COUNT(value) AS n_iter FROM events GROUP BY 1, 2""",
         "in_range_entries": """SELECT l_orderkey AS row_id, CAST(l_linenumber AS BIGINT) AS col_id, l_discount AS value
   FROM lineitem WHERE l_linenumber >= 0 AND l_linenumber < 6 AND l_discount <> 0""",
-        "sampled_rows": f"{purchases} SELECT * FROM y WHERE (row_id * 2654435761) % 1000 < 100",
+        "sampled_rows": f"{purchases} SELECT * FROM y WHERE {unit('row_id', '3')} < 0.1",
+        "sampled_rows_modular": f"{purchases} SELECT * FROM y WHERE (row_id * 2654435761) % 1000 < 100",
+        "sampled_rows_exact": f"""{purchases} SELECT y.* FROM y SEMI JOIN (SELECT row_id FROM (SELECT DISTINCT row_id FROM y)
+  ORDER BY {unit('row_id', '3')}, row_id LIMIT 100) s USING (row_id)""",
+        "seed_uniform": f"SELECT i AS col_id, {each(4, _UNIFORM)} FROM (SELECT UNNEST(range(COUNT(*))) AS i FROM part)",
+        "seed_normal": f"SELECT i AS col_id, {', '.join(r(normal('i', j), 9, f'w{j}') for j in range(4))} FROM (SELECT UNNEST(range(COUNT(*))) AS i FROM part)",
+        "sketch_normal": f"""{purchases}, w AS (SELECT col_id, {', '.join(f"{normal('col_id', j)} AS w{j}" for j in range(2))} FROM (SELECT DISTINCT col_id FROM y)),
+  {raw_sketch(2)} SELECT row_id, {rs('z', 2, 6)} FROM z""",
+        "deflated_parts": """WITH w AS (SELECT p_partkey AS col_id, CAST(p_size AS DOUBLE) AS w0, p_retailprice AS w1 FROM part),
+  l AS (SELECT SQRT(SUM((w0 + w1) * (w0 + w1))) AS l FROM w), v AS (SELECT *, (w0 + w1) / l AS v0 FROM w, l),
+  o AS (SELECT SUM(v0 * w0) AS o0, SUM(v0 * w1) AS o1 FROM v)
+  SELECT col_id, ROUND(w0 - v0 * o0, 6) + 0.0 AS w0, ROUND(w1 - v0 * o1, 6) + 0.0 AS w1 FROM v, o""",
+        "matrix_sum": f"""WITH {EMBEDDINGS}, d AS (SELECT MAX(col_id) AS d FROM y)
+  SELECT 0 AS row, CAST(col_id AS INTEGER) AS pos, {r('SUM(value)', 6, 'total')} FROM y GROUP BY col_id
+  UNION ALL SELECT 1, CAST(d - col_id AS INTEGER), {r('SUM(2 * value)', 6, 'total')} FROM y, d GROUP BY d - col_id""",
+        "rdd_vectors": f"WITH {EMBEDDINGS} SELECT DENSE_RANK() OVER (ORDER BY row_id) - 1 AS row_id, col_id, value FROM y WHERE value <> 0",
+        "row_matrix": f"{purchases} SELECT * FROM y",
+        "stored_vectors": f"WITH {EMBEDDINGS} SELECT * FROM y WHERE value <> 0",
+        "sketch_spread": f"{base(EVENTS)}, {seed(3)}, {raw_sketch(3)} SELECT * FROM z",
+        "cross_spread": f"{base()}, {seed(3)}, {raw_sketch(3)}, {cross(3)} SELECT * FROM c",
+        "reconstruction_error_ratio": f"""{_S2}, e AS (SELECT w.col_id, ABS((z0 / 977.0) * (w0 / 13.0) + (z1 / 977.0) * (w1 / 13.0) - COALESCE(value, 0.0) + mu) AS err,
+  ABS(COALESCE(value, 0.0) - mu) AS a FROM z CROSS JOIN w JOIN mu USING (col_id) LEFT JOIN y ON y.row_id = z.row_id AND y.col_id = w.col_id), {_LARGEST}""",
+        "reconstruction_error_entries": f"{base()}, {_lost()}",
+        "reconstruction_error_vectors": f"{base(EMBEDDINGS)}, {_lost()}",
         "centred_entries": f"{base()} SELECT row_id, col_id, {r('value - mu', 6, 'value')} FROM y JOIN mu USING (col_id)",
         "centred_dense": f"{base(EVENTS)}, {_DENSE_EVENTS} SELECT row_id, col_id, {r('value - mu', 6, 'value')} FROM d JOIN mu USING (col_id)",
         "col_means": f"{base()} SELECT col_id, SUM(value) AS total, {r('ANY_VALUE(mu)', 8, 'mu')} FROM y JOIN mu USING (col_id) GROUP BY col_id",
@@ -288,6 +333,9 @@ def statements() -> dict[str, str]:
   SELECT SUM((value - mu) * (value - mu)) + (ANY_VALUE(n_rows) - COUNT(*)) * ANY_VALUE(mu) * ANY_VALUE(mu) AS p
   FROM y JOIN mu USING (col_id), n GROUP BY col_id)"""
     projected = " UNION ALL ".join(f"SELECT row_id, {j} AS comp, z{j} AS score FROM z WHERE z{j} <> 0" for j in range(2))
+    centred = " UNION ALL ".join(f"SELECT row_id, {j} AS comp, {r(f'z{j}', 5, 'score')} FROM z" for j in range(2))
+    out["project_rows"] = out["project_grid"] = f"{_S2} {centred}"
+    out["project_vectors"] = f"{base(EMBEDDINGS)}, {seed(2)}, {centred_sketch(2)} {centred}"
     for name in ("project_validation", "projection_file"):
         out[name] = f"{base()}, {seed(2)}, {raw_sketch(2)} {projected}"
     return out

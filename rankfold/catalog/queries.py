@@ -18,10 +18,10 @@ from ..functions.session import scratch_path
 from ..matrix import Matrix
 from ..operators import aggregates, basis, entries, products
 from ..operators.tsqr import tsqr_table
-from ..plans import kth_singular_value, ppca, randomized_pca, relative_error, residual_spectral_norm
-from ..plans.ppca import column_error_sums, expected_variance_term
+from ..plans import kth_singular_value, ppca, project, randomized_pca, relative_error, relative_reconstruction_error, residual_spectral_norm
+from ..plans.ppca import column_error_sums, expected_variance_term, largest_column_error
 from ..sinks import stats, text
-from ..sources import from_vectors, read_components, read_coo, read_dense, read_matrix
+from ..sources import from_rdd, from_row_matrix, from_vectors, read_components, read_coo, read_dense, read_matrix
 from .fixtures import LINE_COLUMNS, embedding_rows, embedding_vectors, line_columns, purchases, table, user_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -192,9 +192,20 @@ def in_range_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sampled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entries.sample_rows(purchases(spark, sf_dir).entries, 0.1, seed=3)
+
+
+@query
+def sampled_rows_modular(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.sample_rows_modular(purchases(spark, sf_dir).entries, 0.1)
 
 
+@query
+def sampled_rows_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exactly a hundred of the customers, all their entries."""
+    return entries.sample_exact(purchases(spark, sf_dir).entries, 100, seed=3)
+
+
 @query
 def centred_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = stored_purchases(spark, sf_dir)
@@ -338,6 +349,14 @@ def embedding_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.array_sum(rows, "v").select("pos", rounded("total", 6))
 
 
+@query
+def matrix_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sum of one small matrix per embedding: the vector and twice its reverse."""
+    v = F.col("embedding").cast("array<double>")
+    twice = F.transform(F.reverse(v), lambda x: x * 2)
+    return aggregates.array_sum(table(spark, sf_dir, "embeddings").select(F.array(v, twice).alias("m")), "m").select("row", "pos", rounded("total", 6))
+
+
 # Factorisations
 
 
@@ -366,6 +385,17 @@ def deflated_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return basis.deflate(validation(spark, n, 2), names("w", 2), v, ["v0"]).select("col_id", rounded("w0", 6), rounded("w1", 6))
 
 
+@query
+def deflated_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and prices of the parts without their share along the direction of equal prices and sizes."""
+    part = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("col_id"), F.col("p_size").cast("double").alias("w0"), F.col("p_retailprice").alias("w1")
+    )
+    length = part.agg(F.sqrt(F.sum((F.col("w0") + F.col("w1")) * (F.col("w0") + F.col("w1"))))).first()[0]
+    v = part.select("col_id", ((F.col("w0") + F.col("w1")) / F.lit(length)).alias("v0"))
+    return basis.deflate(part, ["w0", "w1"], v, ["v0"]).select("col_id", rounded("w0", 6), rounded("w1", 6))
+
+
 @query
 def orthonormalise_cholesky(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("col_id"), F.col("p_size").cast("double").alias("v0"), F.col("p_retailprice").alias("v1"))
@@ -399,12 +429,22 @@ def seed_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def seed_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seed_table(spark, table(spark, sf_dir, "part").count(), 4, "normal", seed=7)
+    drawn = seed_table(spark, table(spark, sf_dir, "part").count(), 4, "normal", seed=7)
+    return drawn.select("col_id", *[rounded(c, 9) for c in names("w", 4)])
+
+
+@query
+def sketch_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The purchases times drawn normal numbers."""
+    m = stored_purchases(spark, sf_dir)
+    z = products.sketch(m.entries, seed_table(spark, m.n_cols, 2, "normal", seed=7), names("w", 2))
+    return z.select("row_id", *[rounded(c, 6) for c in names("z", 2)])
 
 
 @query
 def seed_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seed_table(spark, table(spark, sf_dir, "part").count(), 4, "uniform", seed=7)
+    drawn = seed_table(spark, table(spark, sf_dir, "part").count(), 4, "uniform", seed=7)
+    return drawn.select("col_id", *[rounded(c, 12) for c in names("w", 4)])
 
 
 # Analyses
@@ -663,3 +703,113 @@ def sketch_rows_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sketch_grid_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same on the grid, which serves operands too large to broadcast."""
     return _placed_sketch(spark, sf_dir, broadcast_bytes=20_000)
+
+
+# Projections, placed; reconstruction errors
+
+
+def _projection(spark: SparkSession, m, **options) -> DataFrame:
+    m = m.measured()
+    c = products.long_components(validation(spark, m.n_cols, 2), names("w", 2))
+    return project(m, c, 2, centred=True, **options).select("row_id", "comp", rounded("score", 5))
+
+
+@query
+def project_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centred scores with broadcast components."""
+    return _projection(spark, purchases(spark, sf_dir).stored())
+
+
+@query
+def project_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with components that count as too large to broadcast."""
+    return _projection(spark, purchases(spark, sf_dir).stored(), broadcast_bytes=10_000)
+
+
+@query
+def project_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _projection(spark, embedding_vectors(spark, sf_dir))
+
+
+@query
+def reconstruction_error_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest column sums of |X*C' - A| and |A| for validation matrices, and their ratio."""
+    m, w, mu, mean = sketched(spark, sf_dir, 2)
+    fitted = w.join(mu, "col_id").selectExpr(
+        "col_id", "mu", "w0 / 977.0D AS w0", "w1 / 977.0D AS w1", "w0 / 13.0D AS v0", "w1 / 13.0D AS v1"
+    )
+    with m.lay_out(4) as layout:
+        found = largest_column_error(layout, fitted, 2, mean / 977.0)
+    return spark.createDataFrame([(found.error, found.norm, found.ratio)], "err double, norm double, ratio double").select(
+        rounded("err", 4), rounded("norm", 4), rounded("ratio", 8)
+    )
+
+
+def _lost(spark: SparkSession, m) -> DataFrame:
+    """Relative error of the projection on one unit direction."""
+    m = m.measured()
+    v = validation(spark, m.n_cols, 1)
+    length = float(v.agg(F.sqrt(F.sum(F.col("w0") * F.col("w0")))).first()[0])
+    c = v.select("col_id", F.lit(0).alias("comp"), (F.col("w0") / F.lit(length)).alias("loading"))
+    found = relative_reconstruction_error(m, c, 1)
+    return spark.createDataFrame([(found.error, found.norm, found.ratio)], "err double, norm double, ratio double").select(
+        rounded("err", 4), rounded("norm", 4), rounded("ratio", 8)
+    )
+
+
+@query
+def reconstruction_error_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lost(spark, purchases(spark, sf_dir).stored())
+
+
+@query
+def reconstruction_error_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lost(spark, embedding_vectors(spark, sf_dir))
+
+
+# More sources
+
+
+@query
+def rdd_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as an RDD of number lists, numbered by place."""
+    vectors = table(spark, sf_dir, "embeddings").orderBy("vec_id").select("embedding").rdd.map(lambda r: list(r[0]))
+    return from_rdd(spark, vectors).entries
+
+
+@query
+def row_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The purchases through an indexed distributed matrix of sparse vectors."""
+    from pyspark.mllib.linalg import SparseVector
+    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
+
+    m = stored_purchases(spark, sf_dir)
+    width = m.n_cols
+    rows = m.entries.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("col_id", "value"))).alias("cells")).rdd
+    indexed = rows.map(lambda r: IndexedRow(r[0], SparseVector(width, [c[0] for c in r[1]], [c[1] for c in r[1]])))
+    return from_row_matrix(IndexedRowMatrix(indexed)).entries
+
+
+@query
+def stored_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row vectors written as a table of (row_id, features) and read back."""
+    path = scratch_path(spark, "vectors")
+    embedding_vectors(spark, sf_dir).rows.write.parquet(path)
+    return read_matrix(spark, path).entries
+
+
+# Products on free tables with hot ids
+
+
+@query
+def sketch_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users by event types: each of the five columns is hot, so all entries are dealt over salts."""
+    m = user_events(spark, sf_dir).measured()
+    return products.sketch(m.entries, validation(spark, m.n_cols, 3), names("w", 3), spread=True)
+
+
+@query
+def cross_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = stored_purchases(spark, sf_dir)
+    z = products.sketch(m.entries, validation(spark, m.n_cols, 3), names("w", 3))
+    return products.cross_product(m.entries, z, names("z", 3), spread=True)

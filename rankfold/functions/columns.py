@@ -7,6 +7,18 @@ time costs more than the query.
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def hashed_unit(*keys: Column | str | int) -> Column:
+    """A number in (0, 1) that depends on the keys only: 52 bits of the MD5 sum of the keys, joined by slashes.
+
+    Other engines compute the same from the same text. A null key is left out of the text.
+    """
+    text = F.concat_ws("/", *[F.lit(k).cast("string") if isinstance(k, int) else F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys])
+    bits = F.conv(F.substring(F.md5(F.encode(text, "UTF-8")), 1, 13), 16, 10).cast("double")
+    return (bits + 0.5) / float(1 << 52)
 
 
 def names(prefix: str, width: int) -> list[str]:

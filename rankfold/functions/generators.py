@@ -8,26 +8,22 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .columns import hashed_unit
+
 # Validation matrix period and offset, and the validation noise variance.
 VALIDATION_PERIOD = 10
 VALIDATION_OFFSET = 1
 VALIDATION_VARIANCE = 0.9644868606768501
 
 
-def _unit(col_id: Column, j: int, seed: int, stream: int) -> Column:
-    """Uniform in (0, 1): the top 53 bits of a 64-bit hash, shifted off zero."""
-    bits = F.shiftrightunsigned(F.xxhash64(col_id, F.lit(j), F.lit(seed), F.lit(stream)), 11)
-    return (bits.cast("double") + 0.5) / float(2**53)
-
-
 def uniform_seed(col_id: Column, j: int, seed: int) -> Column:
-    return _unit(col_id, j, seed, 0)
+    return hashed_unit(col_id, j, seed, 0)
 
 
 def normal_seed(col_id: Column, j: int, seed: int) -> Column:
     """Standard normal by the Box-Muller transform of two hashed uniforms."""
-    radius = F.sqrt(-2.0 * F.log(_unit(col_id, j, seed, 1)))
-    return radius * F.cos(2.0 * math.pi * _unit(col_id, j, seed, 2))
+    radius = F.sqrt(-2.0 * F.log(hashed_unit(col_id, j, seed, 1)))
+    return radius * F.cos(2.0 * math.pi * hashed_unit(col_id, j, seed, 2))
 
 
 def validation_seed(col_id: Column, j: int, seed: int = 0) -> Column:

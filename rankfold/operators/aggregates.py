@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions.columns import names, number, shifted
 
@@ -67,8 +69,40 @@ def vector_sum(table: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def array_sum(table: DataFrame, column: str) -> DataFrame:
-    """``[pos, total]``: element-wise sum of an array column."""
-    return table.select(F.posexplode(column).alias("pos", "v")).groupBy("pos").agg(F.sum("v").alias("total"))
+    """Element-wise sum of an array column: ``[pos, total]``, or ``[row, pos, total]`` of arrays of arrays.
+
+    A task adds its batches up in one array and sends that; no element becomes a row before. Shorter arrays, null ones and
+    null elements count as zeros; a position that no array has is left out.
+    """
+    nested = isinstance(table.schema[column].dataType.elementType, ArrayType)
+
+    def places(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """For each element of a list array, the place in its list; and the elements."""
+        lengths = values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths), values.flatten()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros((1, 0)), np.zeros((1, 0), bool)
+        for batch in batches:
+            place, values = places(batch.column(0))
+            row = np.zeros(len(place), np.int64)
+            if nested:
+                inner, cells = places(values)
+                lengths = values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                row, place, values = np.repeat(place, lengths), inner, cells
+            if not len(place):
+                continue
+            shape = max(len(total), int(row.max()) + 1), max(total.shape[1], int(place.max()) + 1)
+            grow = [(0, s - t) for s, t in zip(shape, total.shape)]
+            total, seen = np.pad(total, grow), np.pad(seen, grow)
+            x = values.cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False)
+            total += np.bincount(row * shape[1] + place, x, minlength=total.size).reshape(shape)
+            seen[row, place] = True
+        row, place = np.nonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(total[seen])], ["row", "pos", "total"])
+
+    parts = table.select(column).mapInArrow(run, "row int, pos int, total double")
+    return parts.groupBy(*(["row"] if nested else []), "pos").agg(F.sum("total").alias("total"))
 
 
 def _batch_products(cols: list[str]):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import hashed_unit
+
 
 def drop_out_of_range(entries: DataFrame, n_cols: int) -> DataFrame:
     """Keep non-zero entries whose column id is below ``n_cols``."""
@@ -38,8 +40,7 @@ def deduplicate(entries: DataFrame, how: str, order: str | None = None) -> DataF
 
 def sample_condition(rate: float, seed: int = 0) -> Column:
     """Keep-condition on ``row_id``: whole rows, repeatable, independent of the partitioning."""
-    unit = F.shiftrightunsigned(F.xxhash64("row_id", F.lit(seed)), 33).cast("double") / float(2**31)
-    return unit < rate
+    return hashed_unit("row_id", seed) < rate
 
 
 def sample_rows(entries: DataFrame, rate: float, seed: int = 0) -> DataFrame:
@@ -47,6 +48,15 @@ def sample_rows(entries: DataFrame, rate: float, seed: int = 0) -> DataFrame:
     return entries if rate >= 1.0 else entries.filter(sample_condition(rate, seed))
 
 
+def sample_exact(entries: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """Keep exactly ``n`` of the stored rows (all, if there are fewer): those with the smallest hashes.
+
+    Spark keeps at most ``n`` ids per task; the ids kept are joined back, broadcast or not as their size tells.
+    """
+    rows = entries.select("row_id").distinct().withColumn("unit", hashed_unit("row_id", seed))
+    return entries.join(rows.orderBy("unit", "row_id").limit(n).select("row_id"), "row_id", "left_semi")
+
+
 def sample_rows_modular(entries: DataFrame, rate: float, multiplier: int = 2654435761, buckets: int = 1000) -> DataFrame:
     """Row sampling by a multiplicative hash of an integer ``row_id``, reproducible in plain SQL."""
     return entries.filter(F.pmod(F.col("row_id") * multiplier, F.lit(buckets)) < int(round(rate * buckets)))

@@ -15,25 +15,67 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import combine, names, number
+from ..functions.session import kept
 from ..matrix import BROADCAST_BYTES, from_blocks, table_bytes, to_blocks
 
 
-def sketch(entries: DataFrame, table: DataFrame, cols: list[str], prefix: str = "z") -> DataFrame:
-    """``[row_id, z0..]`` = Y*W for the stored rows, W being ``cols`` of a ``col_id`` table."""
-    w = to_blocks(table, ["col_id"], cols)
-    blk = ["blk"] if "blk" in w.columns else []
+#: Copies of the dense side for hot ids, and the share of all entries from which on an id is hot: at most 1 / share are.
+SALTS, HOT_SHARE = 32, 1 / 256
+
+
+def hot_ids(entries: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
+    """``[key]``: the ids that hold more than ``share`` of the entries, fewer than 1 / share of them.
+
+    Counted exactly; counts are combined in each task, so a hot id sends one row per task.
+    """
+    counts = kept(entries.groupBy(key).agg(F.count("*").alias("n")), "counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.filter(F.col("n") > share * total).select(key)
+
+
+def spread_join(entries: DataFrame, table: DataFrame, key: str, salts: int = SALTS, share: float = HOT_SHARE) -> DataFrame:
+    """entries joined with a table that is unique in ``key``, no task getting all entries of a hot id.
+
+    Entries of a hot id are dealt over ``salts`` partitions by the other id, and only the table's rows of hot ids are
+    copied for them, fewer than salts / share rows. Needs no adaptive skew handling.
+    """
+    hot = hot_ids(entries, key, share).withColumn("hot", F.lit(True))
+    other = "row_id" if key == "col_id" else "col_id"
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64(other), F.lit(salts))).otherwise(0).cast("int")
+    left = entries.join(F.broadcast(hot), key, "left").withColumn("salt", salt).drop("hot")
+    last = F.when(F.col("hot"), salts - 1).otherwise(0)
+    right = table.join(F.broadcast(hot), key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), last))).drop("hot")
+    return left.join(right, [key, "salt"]).drop("salt")
+
+
+def _sums(entries: DataFrame, dense: DataFrame, cols: list[str], prefix: str, on: str, by: str, spread: bool) -> DataFrame:
+    w = to_blocks(dense, [on], cols)
     x = [c for c in w.columns if c.startswith("x")]
-    sums = entries.join(w, "col_id").groupBy("row_id", *blk).agg(*[F.expr(f"sum(value * {c}) AS {c}") for c in x])
-    return from_blocks(sums, "row_id", len(cols), prefix)
+    if "blk" in w.columns:
+        # One row per id, so that hot ids are copied once; the blocks are taken apart after the join.
+        w = w.groupBy(on).agg(F.collect_list(F.struct("blk", *x)).alias("blocks")) if spread else w
+    joined = spread_join(entries, w, on) if spread else entries.join(w, on)
+    if "blocks" in joined.columns:
+        joined = joined.select("row_id", "col_id", "value", F.inline("blocks"))
+    blk = ["blk"] if "blk" in joined.columns else []
+    sums = joined.groupBy(by, *blk).agg(*[F.expr(f"sum(value * {c}) AS {c}") for c in x])
+    return from_blocks(sums, by, len(cols), prefix)
+
+
+def sketch(entries: DataFrame, table: DataFrame, cols: list[str], prefix: str = "z", spread: bool = False) -> DataFrame:
+    """``[row_id, z0..]`` = Y*W for the stored rows, W being ``cols`` of a ``col_id`` table.
+
+    ``spread`` splits hot columns over tasks, see :func:`spread_join`; sums per row are combined in each task anyway.
+    """
+    return _sums(entries, table, cols, prefix, "col_id", "row_id", spread)
 
 
-def cross_product(entries: DataFrame, sketch: DataFrame, cols: list[str], prefix: str = "c") -> DataFrame:
-    """``[col_id, c0..]`` = Y'*Z, Z being ``cols`` of a ``row_id`` table."""
-    z = to_blocks(sketch, ["row_id"], cols)
-    blk = ["blk"] if "blk" in z.columns else []
-    x = [c for c in z.columns if c.startswith("x")]
-    sums = entries.join(z, "row_id").groupBy("col_id", *blk).agg(*[F.expr(f"sum(value * {c}) AS {c}") for c in x])
-    return from_blocks(sums, "col_id", len(cols), prefix)
+sketch_sums = sketch
+
+
+def cross_product(entries: DataFrame, sketch: DataFrame, cols: list[str], prefix: str = "c", spread: bool = False) -> DataFrame:
+    """``[col_id, c0..]`` = Y'*Z, Z being ``cols`` of a ``row_id`` table; ``spread`` splits hot rows over tasks."""
+    return _sums(entries, sketch, cols, prefix, "row_id", "col_id", spread)
 
 
 def mean_image(means: DataFrame, table: DataFrame, cols: list[str], prefix: str = "m") -> DataFrame:
@@ -82,7 +124,11 @@ def project(entries: DataFrame, components: DataFrame, k: int, centre: np.ndarra
     ``components`` is the long table ``[col_id, comp, loading]``.
     """
     scores = sketch(entries, wide_components(components, k), names("v", k), "p")
-    shift = centre if centre is not None else np.zeros(k)
+    return score_cells(scores, k, centre if centre is not None else np.zeros(k))
+
+
+def score_cells(scores: DataFrame, k: int, shift: np.ndarray) -> DataFrame:
+    """``[row_id, comp, score]`` of the wide table ``[row_id, p0..]`` less a shift per component, without zeros."""
     cells = ", ".join(f"struct({j} AS comp, p{j} - {number(shift[j])} AS score)" for j in range(k))
     return scores.selectExpr("row_id", f"inline(array({cells}))").filter("score <> 0")
 

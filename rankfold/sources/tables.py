@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from pyspark import RDD
+from pyspark.ml.linalg import Vector, VectorUDT
+from pyspark.ml.linalg import Vectors as MLVectors
+from pyspark.mllib.linalg.distributed import IndexedRowMatrix, RowMatrix
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from ..matrix import Matrix
 from ..operators.entries import deduplicate
@@ -36,6 +40,38 @@ def from_vectors(df: DataFrame, row: str, vector: str, *, n_rows: int | None = N
     return Matrix(entries.filter("value <> 0"), n_rows, n_cols)
 
 
+def _ml_vector(v) -> Vector:
+    """The vector type of DataFrames; sparse vectors stay sparse."""
+    if isinstance(v, Vector):
+        return v
+    return v.asML() if hasattr(v, "asML") else MLVectors.dense(v)
+
+
+def from_rdd(spark: SparkSession, rows: RDD, *, n_rows: int | None = None, n_cols: int | None = None) -> Matrix:
+    """An RDD of vectors: of pyspark.ml, of pyspark.mllib, or sequences of numbers.
+
+    Row ids are the places in the RDD, so they are stable as long as the RDD's partitions are; numbering takes one job
+    that counts all but the last partition. Vectors are handed over one by one: that is what an RDD costs.
+    """
+    schema = StructType([StructField("row_id", LongType(), False), StructField("features", VectorUDT(), True)])
+    numbered = rows.zipWithIndex().map(lambda pair: (pair[1], None if pair[0] is None else _ml_vector(pair[0])))
+    return from_vectors(spark.createDataFrame(numbered, schema), "row_id", "features", n_rows=n_rows, n_cols=n_cols)
+
+
+def from_row_matrix(matrix: RowMatrix | IndexedRowMatrix, *, n_rows: int | None = None, n_cols: int | None = None) -> Matrix:
+    """A distributed matrix of pyspark.mllib. A RowMatrix is numbered by place, an IndexedRowMatrix keeps its indices.
+
+    Rows of an IndexedRowMatrix with one index add up.
+    """
+    spark = SparkSession.active()
+    if isinstance(matrix, RowMatrix):
+        return from_rdd(spark, matrix.rows, n_rows=n_rows, n_cols=n_cols)
+    schema = StructType([StructField("row_id", LongType(), False), StructField("features", VectorUDT(), True)])
+    rows = spark.createDataFrame(matrix.rows.map(lambda r: (r.index, _ml_vector(r.vector))), schema)
+    entries = from_vectors(rows, "row_id", "features").entries
+    return Matrix(deduplicate(entries, "sum"), n_rows, n_cols)
+
+
 def from_columns(df: DataFrame, row: str, columns: list[str], *, n_rows: int | None = None) -> Matrix:
     """Table columns as matrix columns 0, 1, ... ; zeros are left out."""
     cells = F.array(*[F.col(c).cast("double") for c in columns])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.session import kept
 from ..matrix import Matrix
 from ..operators.entries import cap_columns, deduplicate, shift_columns
 
@@ -50,12 +51,16 @@ def read_coo(
     return Matrix(matrix.clean(), n_rows, n_cols)
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+#: Most file splits whose first numbers are sent to every task, some 100 bytes each.
+BROADCAST_SPLITS = 400_000
+
+
+def numbered_lines(spark: SparkSession, path: str, broadcast_splits: int = BROADCAST_SPLITS) -> DataFrame:
     """``[line_no, value]``: non-blank trimmed lines, numbered from 0 over all files in name order.
 
-    Lines are counted per file split; the running total over splits gives each split its first
-    number, so no task sees more lines than its own. The running total itself handles one short row
-    per split, as the scan's own planning does.
+    A first pass counts the lines of each file split. The running total over the splits, one short row each as in the
+    scan's own planning, is kept and broadcast, and lines are numbered where they are read: no text is exchanged. Beyond
+    ``broadcast_splits`` splits the totals are joined instead.
     """
     lines = (
         spark.read.text(path)
@@ -65,8 +70,10 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     )
     splits = lines.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
     before = Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    return lines.join(splits, ["file", "start"]).select((F.col("offset") + F.col("seq") - F.col("first")).alias("line_no"), "value")
+    splits = kept(splits.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"), "splits")
+    few = splits.limit(broadcast_splits + 1).count() <= broadcast_splits
+    joined = lines.join(F.broadcast(splits) if few else splits.hint("merge"), ["file", "start"])
+    return joined.select((F.col("offset") + F.col("seq") - F.col("first")).alias("line_no"), "value")
 
 
 def _numbers(text: Column, pattern: str) -> Column:
