@@ -128,9 +128,12 @@ _LOWEST = -(1 << 63)
 
 
 def _name(first: str, key: str):
-    """A binary name of a set that orders by the smallest id of its documents, null last, and then by the set."""
+    """A binary name of a set that orders by the smallest id of its documents, null last, and then by half of its key.
+
+    Sets of one id are told apart by 64 bits; those of different ids always differ. 17 bytes, as names go through all bands.
+    """
     number = F.lpad(F.hex(F.coalesce(F.col(first), F.lit(0)).bitwiseXOR(F.lit(_LOWEST))), 16, "0")
-    return F.concat(F.when(F.col(first).isNull(), F.unhex(F.lit("01"))).otherwise(F.unhex(F.lit("00"))), F.unhex(number), F.col(key))
+    return F.concat(F.when(F.col(first).isNull(), F.unhex(F.lit("01"))).otherwise(F.unhex(F.lit("00"))), F.unhex(number), F.substring(key, 1, 8))
 
 
 def _first_of(name):
@@ -179,13 +182,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not found[-1].isEmpty():
         roots = components(found[0].unionByName(found[1]))
     opened = kept(_opened(members, roots), "open")
+    drop(members)
+    drop(stars)
     active = opened.join(texts.select("key", "registers"), "key").repartition("job").sortWithinPartitions("job").mapInArrow(_active(percent), _JOB)
     active = kept(active, "active")
     jobs = active.join(elements, "key").repartition("job").sortWithinPartitions("job")
     found.append(kept(jobs.mapInArrow(_forest(percent), "a binary, b binary"), "links"))
     if not found[-1].isEmpty():
         roots = components(found[0].unionByName(found[1]).unionByName(found[2]))
-    for table in (members, elements, stars, opened, active, *found):
+    for table in (elements, opened, active, *found):
         drop(table)
     name = F.coalesce("root", "key")
     classes = texts.select("set", "key").join(roots.select(F.col("node").alias("key"), "root"), "key", "left")
