@@ -9,7 +9,7 @@ from rankfold.llm import decontaminate, mixing, neardup, quality, suffixes
 from rankfold.llm.queries import MIX_WEIGHTS
 from rankfold.llm.shared import documents, kept
 
-#: Passages of more than fifty words are longer than this.
+#: Most passages of more than fifty words are longer than this; those of very short words are not, and stay.
 REPEATED_BYTES = 250
 
 
