@@ -9,8 +9,8 @@ from rankfold.llm import decontaminate, mixing, neardup, quality, suffixes
 from rankfold.llm.queries import MIX_WEIGHTS
 from rankfold.llm.shared import documents, kept
 
-#: Most passages of more than fifty words are longer than this; those of very short words are not, and stay.
-REPEATED_BYTES = 250
+#: Passages of more than fifty words that repeat anywhere are cut, however short the words.
+REPEATED_WORDS = 51
 
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +24,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: long strings that repeat anywhere are cut out of the texts."""
-    return suffixes.without_repeats(docs, length=REPEATED_BYTES)
+    """Operator 10: passages of more than fifty words that repeat anywhere are cut out of the texts."""
+    return suffixes.without_repeats(docs, length=REPEATED_WORDS, unit="word")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

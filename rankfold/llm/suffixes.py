@@ -11,6 +11,8 @@ so every entry is rewritten at most log2(batches) times. A last merge scan over
 occur more than once. Where a whole stretch repeats, all its strings do. Else the distinct stretches of a suffix are
 brought together and their strings compared through fingerprints of all `length` bytes; suffixes with more than
 TOGETHER distinct stretches are not gathered, their strings are grouped by fingerprint instead.
+
+The same works on texts as sequences of words, each a 64-bit hash, with lengths counted in words.
 """
 
 from __future__ import annotations
@@ -33,6 +35,21 @@ PART = 1 << 27
 _POSITION = np.uint64((1 << 28) - 1)
 
 
+def _units(buf: np.ndarray, offsets: np.ndarray, unit: str) -> tuple[np.ndarray, np.ndarray]:
+    """What strings consist of, and each text's range of it: the bytes, or a hash of each word."""
+    if unit == "byte":
+        return buf, offsets
+    starts, ends, bounds = scan.word_spans(buf, offsets)
+    return scan.word_hashes(buf, starts, ends), bounds
+
+
+def _borders(raw: bytes, unit: str):
+    """The bytes at which the units of one text start, and those before which they end."""
+    if unit == "byte":
+        return range(len(raw)), range(1, len(raw) + 1)
+    return scan.word_spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[:2]
+
+
 def _window_minima(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each run of `width` values, from minima before and after block borders."""
     n = len(values) - width + 1
@@ -79,17 +96,18 @@ def _stretches_of(buf: np.ndarray, offsets: np.ndarray, length: int, head: int):
     first = np.flatnonzero(np.concatenate(([True], (suffix[1:] != suffix[:-1]) | (owner[1:] != owner[:-1]))))
     last = np.concatenate((first[1:], [len(start)])) - 1
     lo, hi, at = start[first], start[last], suffix[first]
-    two = (buf[at].astype(np.uint64) << np.uint64(56)) | (buf[at + 1].astype(np.uint64) << np.uint64(48))
+    low = [buf[at + k].astype(np.uint64) & np.uint64(255) for k in (0, 1)]
+    two = (low[0] << np.uint64(56)) | (low[1] << np.uint64(48))
     key = two | (order[at] >> np.uint64(16))
     stretch = scan.mix(scan.span_hashes(prefix, lo, hi + length) + (at - lo).astype(np.uint64))
     return owner[first], lo - offsets[owner[first]], hi - lo + 1, key.view(np.int64), stretch.view(np.int64)
 
 
-def _indexed(length: int, head: int):
+def _indexed(length: int, head: int, unit: str):
     def run(batches):
         for batch in batches:
             for lo, hi, buf, offsets in scan.pieces(batch.column("text")):
-                owner, start, count, key, stretch = _stretches(buf, offsets, length, head)
+                owner, start, count, key, stretch = _stretches(*_units(buf, offsets, unit), length, head)
                 at = pa.array(owner + lo)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key), pa.array(stretch), batch.column("name").take(at), batch.column("n").take(at), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))],
@@ -99,20 +117,21 @@ def _indexed(length: int, head: int):
     return run
 
 
-def _stretch_texts(length: int):
+def _stretch_texts(length: int, unit: str):
     """The bytes of each asked stretch."""
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 raw, asked = batch.column("text")[i].as_py().encode(), batch.column("asked")[i].as_py()
+                begin, end = _borders(raw, unit)
                 for lo in range(0, len(asked), 2000):
                     part = asked[lo : lo + 2000]
                     whose = pa.array(np.full(len(part), i))
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([x["key"] for x in part], pa.int64()),
-                            pa.array([raw[x["start"] : x["start"] + x["strings"] - 1 + length] for x in part], pa.binary()),
+                            pa.array([raw[begin[x["start"]] : end[x["start"] + x["strings"] + length - 2]] for x in part], pa.binary()),
                             pa.array([min(x["times"], 2) for x in part], pa.int32()),
                             batch.column("name").take(whose),
                             batch.column("n").take(whose),
@@ -124,9 +143,9 @@ def _stretch_texts(length: int):
     return run
 
 
-def _strings(table: pa.Table | pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _strings(table: pa.Table | pa.RecordBatch, length: int, unit: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, place in the row, fingerprint) of every string of some stretches."""
-    buf, offsets = scan.text_bytes(table.column("bytes"))
+    buf, offsets = _units(*scan.text_bytes(table.column("bytes")), unit)
     count = np.diff(offsets) - length + 1
     row = np.repeat(np.arange(len(count)), count)
     place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
@@ -134,11 +153,11 @@ def _strings(table: pa.Table | pa.RecordBatch, length: int) -> tuple[np.ndarray,
     return row, place, scan.span_hashes(scan.prefix_hashes(buf), starts, starts + length)
 
 
-def _compared(length: int):
+def _compared(length: int, unit: str):
     """Runs of repeated strings of stretches that come sorted by suffix, all of one suffix in one task."""
 
     def repeats(table: pa.Table) -> pa.RecordBatch:
-        row, place, prints = _strings(table, length)
+        row, place, prints = _strings(table, length, unit)
         times = table.column("times").to_numpy()[row]
         order = np.argsort(prints)
         begin = np.flatnonzero(np.append(True, prints[order][1:] != prints[order][:-1])) if len(order) else order
@@ -173,14 +192,14 @@ def _compared(length: int):
     return run
 
 
-def _fingerprints(length: int):
+def _fingerprints(length: int, unit: str):
     """One row per string of the stretches."""
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                row, place, prints = _strings(part, length)
+                row, place, prints = _strings(part, length, unit)
                 at = pa.array(row)
                 start = part.column("start").to_numpy()[row] + place
                 yield pa.RecordBatch.from_arrays(
@@ -191,13 +210,14 @@ def _fingerprints(length: int):
     return run
 
 
-def _cut(length: int, with_text: bool):
+def _cut(length: int, with_text: bool, unit: str):
     def run(batches):
         for batch in batches:
             out = []
             for i in range(batch.num_rows):
                 raw = batch.column("text")[i].as_py().encode()
-                spans = sorted((x["start"], x["start"] + x["strings"] - 1 + length) for x in batch.column("spans")[i].as_py())
+                begin, stop = _borders(raw, unit)
+                spans = sorted((int(begin[x["start"]]), int(stop[x["start"] + x["strings"] + length - 2])) for x in batch.column("spans")[i].as_py())
                 pieces, removed, runs, end = [], 0, 0, 0
                 for lo, hi in spans:
                     if runs == 0 or lo > end:
@@ -254,7 +274,7 @@ def repeated_strings(
     * Null or repeated ids are passed through. An empty table gives an empty table. Other columns are ignored.
     """
     source = _named(docs, id_col, text_col)
-    rows, changes = _changes(source, length, batches, with_text)
+    rows, changes = _changes(source, length, batches, with_text, "byte")
     if with_text:
         rows = source.withColumn("sha", F.sha2("text", 256))
     out = rows.join(changes, ["name", "n"], "left")
@@ -268,12 +288,16 @@ def repeated_strings(
     )
 
 
-def without_repeats(docs: DataFrame, length: int = 400, batches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(
+    docs: DataFrame, length: int = 400, batches: int = 2, id_col: str = "doc_id", text_col: str = "text", unit: str = "byte"
+) -> DataFrame:
     """docs with all columns, each text cut as by repeated_strings(); bytes of characters that were cut in two go too.
 
+    With unit "word", strings are runs of `length` words, equal whatever white space separates them; a run is cut from
+    its first word to its last. A text of at least `length` words that occurs in several rows becomes empty.
     Rows whose text keeps its bytes are unchanged, null texts included; n_chars, if there is such a column, is counted anew.
     """
-    _, changes = _changes(_named(docs, id_col, text_col), length, batches, with_text=True)
+    _, changes = _changes(_named(docs, id_col, text_col), length, batches, True, unit)
     text = F.coalesce(docs[text_col], F.lit(""))
     on = (F.xxhash64(text) == changes["name"]) & (F.octet_length(text).cast("bigint") == changes["n"])
     new_text = F.coalesce(changes["rest"], docs[text_col])
@@ -290,12 +314,13 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].alias("id"), text.alias("text"), F.xxhash64(text).alias("name"), F.octet_length(text).cast("bigint").alias("n"))
 
 
-def _changes(source: DataFrame, length: int, batches: int, with_text: bool) -> tuple[DataFrame, DataFrame]:
+def _changes(source: DataFrame, length: int, batches: int, with_text: bool, unit: str) -> tuple[DataFrame, DataFrame]:
     """All rows [id, name, n, sha], and [name, n, n_removed, n_spans, new_sha, rest] of the texts that lose bytes."""
     head = max(2, length // 4)
-    rows = kept(source.select("id", "name", "n", F.sha2("text", 256).alias("sha")), "texts")
+    units = F.col("n") if unit == "byte" else F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
+    rows = kept(source.select("id", "name", "n", F.sha2("text", 256).alias("sha"), units.alias("units")), "texts")
     indexed = source.where(F.col("n") >= length).select("text", "name", "n")
-    suffixes = kept(indexed.mapInArrow(_indexed(length, head), "key bigint, stretch bigint, name bigint, n bigint, start int, strings int"), "suffixes")
+    suffixes = kept(indexed.mapInArrow(_indexed(length, head, unit), "key bigint, stretch bigint, name bigint, n bigint, start int, strings int"), "suffixes")
 
     levels = index_levels(suffixes, batches)
     whole = levels[0] if len(levels) == 1 else _merged(levels)
@@ -306,11 +331,11 @@ def _changes(source: DataFrame, length: int, batches: int, with_text: bool) -> t
         drop(level)
     drop(suffixes)
 
-    texts = rows.groupBy("name", "n").agg(F.count("*").alias("copies"), F.min("id").alias("id"))
+    texts = rows.groupBy("name", "n").agg(F.count("*").alias("copies"), F.min("id").alias("id"), F.min("units").alias("units"))
     one = F.struct("name", "n", "start", "strings", F.least("times", F.lit(2)).cast("int").alias("times"), (F.col("stretches") > TOGETHER).alias("many"))
     asked = found.where("compare").groupBy("key", "stretch").agg(F.min(one).alias("p")).select("key", "p.*")
     asked = asked.groupBy("name", "n").agg(F.collect_list(F.struct("key", "start", "strings", "times", "many")).alias("asked"))
-    need = found.where("repeats or compare").select("name", "n").distinct().join(texts, ["name", "n"])
+    need = found.where("repeats or compare").select("name", "n").distinct().join(texts.drop("units"), ["name", "n"])
     need = need.join(asked, ["name", "n"], "left").where("copies = 1 or asked is not null")
     need = need.select(F.col("id").alias("first"), F.col("name").alias("need_name"), F.col("n").alias("need_n"), "copies", "asked")
     same = source.id.eqNullSafe(need["first"]) & (source.name == need.need_name) & (source.n == need.need_n)
@@ -319,12 +344,12 @@ def _changes(source: DataFrame, length: int, batches: int, with_text: bool) -> t
     kind = "key bigint, bytes binary, times int, name bigint, n bigint, start int"
     few, many = F.expr("filter(asked, x -> NOT x.many)"), F.expr("filter(asked, x -> x.many)")
     asking = wanted.where("asked is not null").select("text", "name", "n", few.alias("asked"), many.alias("many"))
-    together = asking.where("size(asked) > 0").drop("many").mapInArrow(_stretch_texts(length), kind)
+    together = asking.where("size(asked) > 0").drop("many").mapInArrow(_stretch_texts(length, unit), kind)
     together = together.repartition("key").sortWithinPartitions("key")
-    singles = together.mapInArrow(_compared(length), "name bigint, n bigint, start int, strings int")
+    singles = together.mapInArrow(_compared(length, unit), "name bigint, n bigint, start int, strings int")
     hot = asking.where("size(many) > 0").select("text", "name", "n", F.col("many").alias("asked"))
     if hot.limit(1).count():
-        prints = hot.mapInArrow(_stretch_texts(length), kind).mapInArrow(_fingerprints(length), "print bigint, times int, name bigint, n bigint, start int")
+        prints = hot.mapInArrow(_stretch_texts(length, unit), kind).mapInArrow(_fingerprints(length, unit), "print bigint, times int, name bigint, n bigint, start int")
         prints = kept(prints, "prints")
         again = prints.groupBy("print").agg(F.sum("times").alias("total")).where("total > 1").select("print")
         more = prints.where("times = 1").join(again, "print").select("name", "n", "start", F.lit(1).alias("strings"))
@@ -332,8 +357,8 @@ def _changes(source: DataFrame, length: int, batches: int, with_text: bool) -> t
     spans = found.where("repeats").select("name", "n", "start", "strings").unionByName(singles)
     spans = spans.groupBy("name", "n").agg(F.collect_list(F.struct("start", "strings")).alias("spans"))
     cut = wanted.where("copies = 1").join(spans, ["name", "n"]).select("text", "name", "n", "spans")
-    cut = cut.mapInArrow(_cut(length, with_text), "name bigint, n bigint, n_removed bigint, n_spans bigint, sha string, rest string")
+    cut = cut.mapInArrow(_cut(length, with_text, unit), "name bigint, n bigint, n_removed bigint, n_spans bigint, sha string, rest string")
 
-    gone = texts.where(F.col("copies") > 1).where(F.col("n") >= length)
+    gone = texts.where(F.col("copies") > 1).where(F.col("units") >= length)
     gone = gone.select("name", "n", F.col("n").alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"), F.sha2(F.lit(""), 256).alias("sha"), F.lit("").alias("rest"))
     return rows, cut.unionByName(gone).withColumnRenamed("sha", "new_sha")

@@ -85,3 +85,14 @@ def test_clashing_columns(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, odd, sf_dir)
         assert set(odd.columns) <= set(out.columns) and out.count() > 0
+
+
+def test_repeated_passages_of_short_words(spark, docs):
+    """51 words of one letter go, 50 longer ones stay."""
+    rng = random.Random(5)
+    fresh = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n))
+    short, long = " ".join(rng.choice("abcdefghij") for _ in range(51)), fresh(50)
+    ends = [(fresh(20), fresh(20)) for _ in range(6)]
+    rows = [(k, f"{a}\n{short if k < 3 else long} {b}") for k, (a, b) in enumerate(ends)]
+    out = {r.doc_id: r.text for r in corpus_pipeline.cut_repeats(spark, docs(rows), "").collect()}
+    assert out == {k: f"{a}\n {b}" if k < 3 else rows[k][1] for k, (a, b) in enumerate(ends)}

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -87,3 +88,35 @@ def test_remaining_text(docs):
         if r.n_removed == 0:
             assert hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256
         assert len(r.kept_text.encode()) <= r.n_bytes - r.n_removed
+
+
+def brute_words(rows, length):
+    parts = [[m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")] for _, t in rows]
+    runs = [[tuple((t or "")[a:b] for a, b in spans[p : p + length]) for p in range(len(spans) - length + 1)] for (_, t), spans in zip(rows, parts)]
+    count = Counter(run for all_runs in runs for run in all_runs)
+    texts = Counter(t for _, t in rows)
+    out = []
+    for (name, text), spans, own in zip(rows, parts, runs):
+        gone = bytearray(len(text or ""))
+        for p, run in enumerate(own):
+            if count[run] > 1:
+                lo, hi = spans[p][0], spans[p + length - 1][1]
+                gone[lo:hi] = b"\1" * (hi - lo)
+        rest = "".join(c for c, g in zip(text or "", gone) if not g)
+        out.append((name, None if text is None else "" if own and texts[text] > 1 else rest))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("length, batches", [(6, 1), (17, 3), (51, 2)])
+def test_words_equal_brute_force(docs, length, batches):
+    """Runs of words, most of them of one letter, with other white space in each place."""
+    rng = random.Random(length)
+    gap = lambda: rng.choice([" ", "  ", "\n", "\t "])
+    text = lambda words: "".join(w + gap() for w in words)
+    fresh = lambda n: [rng.choice("abcdefghié") + rng.choice(["", "", "x"]) for _ in range(n)]
+    passages = [fresh(n) for n in (length - 1, length, length + 1, 3 * length)]
+    rows = [(k, text(fresh(rng.randint(0, length)) + rng.choice(passages) + fresh(rng.randint(0, 9)) + rng.choice([*passages, []]))) for k in range(50)]
+    rows += [(100 + k, rows[k][1]) for k in range(4)] + [(200, "ab " * (3 * length)), (201, None), (None, ""), (202, " \n"), (203, text(passages[3]) * 2)]
+    rows += [(204, "a" * 500), (205, "a" * 500)]
+    out = without_repeats(docs(rows), length=length, batches=batches, unit="word")
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == brute_words(rows, length)
