@@ -70,6 +70,42 @@ def test_digest(docs):
         assert 0 <= r.score <= 1 and (r.score > 0) == bool(brute_labels(text))
 
 
+def written(pattern, rng):
+    """A text that a parsed expression matches."""
+    out = ""
+    for kind, value in pattern:
+        kind = str(kind)
+        if kind == "LITERAL":
+            out += chr(value)
+        elif kind == "BRANCH":
+            out += written(rng.choice(value[1]), rng)
+        elif kind == "SUBPATTERN":
+            out += written(value[3], rng)
+        elif kind.endswith("REPEAT"):
+            out += "".join(written(value[2], rng) for _ in range(rng.randint(value[0], min(value[1], value[0] + 2))))
+        elif kind == "IN":
+            first = value[0]
+            out += "7" if str(first[1]) == "CATEGORY_DIGIT" else chr(first[1] if str(first[0]) == "LITERAL" else first[1][0])
+        elif kind == "NOT_LITERAL":
+            out += "x"
+        else:
+            raise ValueError(kind)
+    return out
+
+
+def test_no_keyword_hides_a_match(docs):
+    """Texts made from every rule: the prefilters let all matches through."""
+    rng = random.Random(1)
+    rows = []
+    for label, strength, expression, _ in rules():
+        for _ in range(2):
+            text = written(re._parser.parse(expression), rng)
+            assert re.fullmatch(expression, text), (label, text)
+            rows.append((len(rows), f"foo {text} bar"))
+    got = {r.doc_id: sorted(tuple(d) for d in r.detections) for r in scanned(docs(rows)).collect()}
+    assert all(got[i] == sorted(brute_labels(t)) and got[i] for i, t in rows)
+
+
 def test_empty_table_and_rule_count(docs):
     assert digest(scanned(docs([]))).count() == 0
     assert len(rules()) > 200 and all(" " in e or e.isalnum() for _, _, e, _ in rules() if e == e.strip())
