@@ -27,7 +27,8 @@ def source_targets(sources: DataFrame, weights: list[float], share: float, ceili
 
     Sources in code-point order, null last, take the weights in turn and share `share` of all sizes in proportion. A target
     stops at `ceiling` times its source's size and the excess goes to the others by weight, again until none is above:
-    with the sources sorted by ceiling per weight, the first ones are full and the rest lie on one level.
+    with the sources sorted by ceiling per weight, the first ones are full and the rest lie on one level. One task sorts the
+    sources, at about 100 bytes each: that suits some million sources, not one per document.
     """
     order = W.orderBy("no_source", F.encode("source", "UTF-8"))
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
@@ -67,21 +68,23 @@ def mixture(
     * A null text has size 0; null is a source of its own, the last one. Sources of size 0 have target 0 and no copies.
     * Repeated rows are documents of their own: each is taken as often as its place in the order says.
     * Null ids take part like others. Reruns agree, whatever the partitioning. An empty table gives an empty table.
+    * A very long text is one document: it is counted where it is read and only carried on if `keep` names it.
     * Only the columns named in `keep` are carried along; others are ignored, whatever their names.
 
-    No group is gathered: places are numbered within chunks of a source (a size band and a hash prefix) and the chunks are
-    added up per source.
+    No group is gathered: places are numbered within chunks of a source (a size band and a prefix of a hash of id and text, so
+    that rows which share an id, or have none, are spread) and the chunks are added up per source. Only rows equal in both
+    share a chunk whatever their number.
     """
     size = word_count(docs[text_col])
     source = docs[source_col]
     rows = docs.select(
         docs[id_col].alias("id"),
+        F.xxhash64(docs[id_col], docs[text_col], F.lit(seed)).alias("draw"),
         source.isNull().alias("no_source"),
         F.coalesce(source, F.lit("")).alias("source"),
         size.alias("size"),
         *[docs[c].alias(f"keep_{c}") for c in keep],
     )
-    rows = rows.withColumn("draw", F.xxhash64("id", F.lit(seed)))
     bits = max(1, (-(-docs.count() // CHUNK_ROWS)).bit_length())
     band = F.floor(F.log2(F.col("size") + 1.0) * 8).cast("int")
     rows = rows.withColumn("band", band).withColumn("prefix", F.shiftrightunsigned("draw", 64 - bits))
