@@ -67,6 +67,12 @@ class Index:
         self.first = np.append(first, len(terms))
         self.items, self.weights = place, weights
         self.largest = np.maximum.reduceat(weights, first) if len(first) else weights
+        # the largest weight of each block of a list, and each list's first block
+        counts = np.diff(self.first)
+        blocks = -(-counts // BLOCK)
+        self.first_block = np.append(0, np.cumsum(blocks))
+        nth = np.arange(self.first_block[-1]) - np.repeat(self.first_block[:-1], blocks)
+        self.block_largest = np.maximum.reduceat(weights, np.repeat(first, blocks) + nth * BLOCK) if len(first) else weights
         per = -(-max(1, len(self.rows)) // RANGES)
         self.bounds = np.zeros((len(self.vocabulary), RANGES), np.float32)
         np.maximum.at(self.bounds, (np.repeat(np.arange(len(first)), np.diff(self.first)), place // per), weights)
@@ -129,10 +135,9 @@ class Index:
                 lo, hi = int(self.first[x[2]]), int(self.first[x[2] + 1])
                 at = x[1] + int(np.searchsorted(self.items[x[1] : hi], item))
                 if at < hi:
-                    block = lo + (at - lo) // BLOCK * BLOCK
-                    stop = min(block + BLOCK, hi)
-                    bound += float(self.weights[block:stop].max())
-                    beyond = min(beyond, int(self.items[stop - 1]) + 1)
+                    block = (at - lo) // BLOCK
+                    bound += float(self.block_largest[int(self.first_block[x[2]]) + block])
+                    beyond = min(beyond, int(self.items[min(lo + (block + 1) * BLOCK, hi) - 1]) + 1)
             if bound < threshold:
                 for x in lists[: pivot + 1]:
                     seek(x, max(beyond, item + 1))
