@@ -2,13 +2,14 @@
 
 A string of `length` bytes is represented by one suffix: among the starts of its `head`-byte substrings the one with
 the smallest hash. Neighbouring strings mostly share it, so a text of n bytes has about 2n / (length - head) indexed
-suffixes, and equal strings pick equal suffixes. An index entry is a suffix (its first two bytes, then a fingerprint of
-its first `head` bytes: the sort key), the fingerprint of the stretch of text covered by all strings it represents,
-and how often that pair occurs.
-
-Texts come in batches. Each batch becomes a sorted level; two levels of the same rank merge into one of the next rank,
-so every entry is rewritten at most log2(batches) times. A last merge scan over the remaining levels finds suffixes that
-occur more than once. Where a whole stretch repeats, all its strings do. Else the distinct stretches of a suffix are
+suffixes, and equal strings pick equal suffixes. An index entry is a suffix (its first `head` bytes, the sort key, and a
+hash of them), the fingerprint of the stretch of text covered by all strings it represents, and how often that pair
+occurs.
+
+Texts come in batches (SuffixLevels). Each batch becomes a suffix array in byte order; two levels of the same rank merge
+into one of the next rank, so every entry is rewritten at most log2(batches) times. A new batch is merge-scanned against
+the levels that it does not merge with, and a merged level is scanned for itself: both give the suffixes that the batch
+makes repeated. Where a whole stretch repeats, all its strings do. Else the distinct stretches of a suffix are
 brought together and their strings compared through fingerprints of all `length` bytes; suffixes with more than
 TOGETHER distinct stretches are not gathered, their strings are grouped by fingerprint instead.
 
@@ -18,6 +19,7 @@ The same works on texts as sequences of words, each a 64-bit hash, with lengths
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,12 @@ from .shared import drop, kept
 #: Most distinct stretches of one suffix that one task takes together, about 600 bytes each.
 TOGETHER = 20_000
 
+#: Text bytes per batch; there are two batches at least.
+BATCH_BYTES = 1 << 40
+
+#: Index entries per Arrow batch.
+ENTRIES = 100_000
+
 #: A longer text is indexed in parts of so many starts, each with what follows to complete the last string.
 PART = 1 << 27
 _POSITION = np.uint64((1 << 28) - 1)
@@ -62,7 +70,7 @@ def _window_minima(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def _stretches(buf: np.ndarray, offsets: np.ndarray, length: int, head: int):
-    """(text, start in the text, number of strings, suffix key, stretch key) of each indexed suffix.
+    """(text, start in the text, number of strings, suffix key, stretch key, first units of the suffix) of each indexed suffix.
 
     A string picks the same suffix wherever it stands, so parts of a long text pick what the whole would. A stretch that is
     cut between parts is another stretch of its suffix, and stretches of one suffix are compared string by string.
@@ -79,8 +87,9 @@ def _stretches(buf: np.ndarray, offsets: np.ndarray, length: int, head: int):
 
 def _stretches_of(buf: np.ndarray, offsets: np.ndarray, length: int, head: int):
     none = np.empty(0, np.int64)
+    nothing = (none, none, none, none, none, np.empty((0, head * buf.itemsize), np.uint8))
     if len(buf) < length:
-        return none, none, none, none, none
+        return nothing
     prefix = scan.prefix_hashes(buf)
     place = np.arange(len(buf) - head + 1)
     order = scan.span_hashes(prefix, place, place + head)
@@ -92,7 +101,7 @@ def _stretches_of(buf: np.ndarray, offsets: np.ndarray, length: int, head: int):
     start = np.arange(len(owner)) - np.repeat(np.cumsum(starts_of) - starts_of, starts_of) + offsets[owner]
     suffix = chosen[start]
     if not len(start):
-        return none, none, none, none, none
+        return nothing
     first = np.flatnonzero(np.concatenate(([True], (suffix[1:] != suffix[:-1]) | (owner[1:] != owner[:-1]))))
     last = np.concatenate((first[1:], [len(start)])) - 1
     lo, hi, at = start[first], start[last], suffix[first]
@@ -100,19 +109,24 @@ def _stretches_of(buf: np.ndarray, offsets: np.ndarray, length: int, head: int):
     two = (low[0] << np.uint64(56)) | (low[1] << np.uint64(48))
     key = two | (order[at] >> np.uint64(16))
     stretch = scan.mix(scan.span_hashes(prefix, lo, hi + length) + (at - lo).astype(np.uint64))
-    return owner[first], lo - offsets[owner[first]], hi - lo + 1, key.view(np.int64), stretch.view(np.int64)
+    units = np.lib.stride_tricks.sliding_window_view(buf, head)[at]
+    heads = np.ascontiguousarray(units, buf.dtype.newbyteorder(">")).view(np.uint8)
+    return owner[first], lo - offsets[owner[first]], hi - lo + 1, key.view(np.int64), stretch.view(np.int64), heads
 
 
 def _indexed(length: int, head: int, unit: str):
     def run(batches):
         for batch in batches:
             for lo, hi, buf, offsets in scan.pieces(batch.column("text")):
-                owner, start, count, key, stretch = _stretches(*_units(buf, offsets, unit), length, head)
-                at = pa.array(owner + lo)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(stretch), batch.column("name").take(at), batch.column("n").take(at), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))],
-                    ["key", "stretch", "name", "n", "start", "strings"],
-                )
+                found = _stretches(*_units(buf, offsets, unit), length, head)
+                for first in range(0, len(found[0]), ENTRIES):
+                    owner, start, count, key, stretch, heads = (column[first : first + ENTRIES] for column in found)
+                    at = pa.array(owner + lo)
+                    heads = scan.binary_rows(heads.ravel(), np.arange(len(heads) + 1) * heads.shape[1])
+                    yield pa.RecordBatch.from_arrays(
+                        [heads, pa.array(key), pa.array(stretch), batch.column("name").take(at), batch.column("n").take(at), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))],
+                        ["head", "key", "stretch", "name", "n", "start", "strings"],
+                    )
 
     return run
 
@@ -238,36 +252,67 @@ def _cut(length: int, with_text: bool, unit: str):
 
 
 def _merged(levels: list[DataFrame]) -> DataFrame:
-    """One sorted level from several."""
-    union = levels[0].select("key", "stretch", "times")
-    for level in levels[1:]:
-        union = union.unionByName(level.select("key", "stretch", "times"))
-    return union.groupBy("key", "stretch").agg(F.sum("times").alias("times")).sortWithinPartitions("key", "stretch")
-
-
-def index_levels(suffixes: DataFrame, batches: int) -> list[DataFrame]:
-    """The levels [key, stretch, times] after adding all batches (by text name), largest first."""
-    levels: dict[int, DataFrame] = {}
-    for number in range(batches):
-        batch = suffixes.where(F.pmod("name", F.lit(batches)) == number).select("key", "stretch", F.lit(1).cast("bigint").alias("times"))
-        carry, rank = kept(_merged([batch]), "level"), 0
-        while rank in levels:
-            older = levels.pop(rank)
-            newer, carry, rank = carry, kept(_merged([older, carry]), "level"), rank + 1
-            drop(older)
-            drop(newer)
-        levels[rank] = carry
-    return [levels[rank] for rank in sorted(levels, reverse=True)]
+    """One suffix array [head, key, stretch, times] from several, in byte order within hash partitions."""
+    union = reduce(DataFrame.unionByName, [level.select("head", "key", "stretch", "times") for level in levels])
+    return union.groupBy("head", "key", "stretch").agg(F.sum("times").alias("times")).sortWithinPartitions("head", "stretch")
+
+
+def _repeated(level: DataFrame) -> DataFrame:
+    """[key] of the suffixes that occur more than once in one level."""
+    return level.groupBy("key").agg(F.sum("times").alias("total")).where("total > 1").select("key")
+
+
+class SuffixLevels:
+    """A logarithmic family of sparse suffix arrays, kept in the shared folder.
+
+    After n batches of like size there are at most log2(n) + 1 levels. Empty batches are levels like others.
+    """
+
+    def __init__(self) -> None:
+        self.levels: dict[int, DataFrame] = {}
+
+    def add(self, batch: DataFrame) -> DataFrame:
+        """Adds suffixes [head, key, stretch, times]; returns [key] of (at least) those that the batch makes repeated.
+
+        These are the suffixes of the batch that stand in it more than once or in any level, and those of levels that
+        merged with it.
+        """
+        fresh = carry = kept(_merged([batch]), "level")
+        rank = 0
+        while rank in self.levels:
+            merged = kept(_merged([self.levels[rank], carry]), "level")
+            drop(self.levels.pop(rank))
+            if carry is not fresh:
+                drop(carry)
+            carry, rank = merged, rank + 1
+        found = [_repeated(carry), *(fresh.join(level, "head", "left_semi").select("key") for level in self.levels.values())]
+        matches = kept(reduce(DataFrame.unionByName, found).distinct(), "matches")
+        if carry is not fresh:
+            drop(fresh)
+        self.levels[rank] = carry
+        return matches
+
+    def stretches(self, keys: DataFrame) -> DataFrame:
+        """[key, stretch, times] over all levels, of the given suffixes."""
+        union = reduce(DataFrame.unionByName, [level.select("key", "stretch", "times") for level in self.levels.values()])
+        return union.join(keys, "key", "left_semi").groupBy("key", "stretch").agg(F.sum("times").alias("times"))
+
+    def release(self) -> None:
+        """Deletes the levels."""
+        for level in self.levels.values():
+            drop(level)
+        self.levels = {}
 
 
 def repeated_strings(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, batches: int = 2, with_text: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, batches: int | None = None, with_text: bool = False
 ) -> DataFrame:
     """[id_col, n_bytes, n_removed, n_spans, kept_sha256], one row per row of docs; with_text adds kept_text.
 
     A byte of a text (as UTF-8) is removed if it is covered by a string of `length` bytes that also starts anywhere
     else, in the same or another row; overlaps count, and strings are judged on the input. n_spans counts maximal
     removed runs. kept_text is what remains, without bytes of characters that were cut in two; kept_sha256 counts those.
+    The rows are dealt into `batches` by their texts; without a number, one for each BATCH_BYTES of text, two at least.
 
     * A null text is empty. A very long text is handled whole, in one task, with about 60 bytes of arrays per byte. Texts shorter than `length` lose nothing.
     * Every row is a text of its own: repeated rows of at least `length` bytes lose everything.
@@ -289,7 +334,7 @@ def repeated_strings(
 
 
 def without_repeats(
-    docs: DataFrame, length: int = 400, batches: int = 2, id_col: str = "doc_id", text_col: str = "text", unit: str = "byte"
+    docs: DataFrame, length: int = 400, batches: int | None = None, id_col: str = "doc_id", text_col: str = "text", unit: str = "byte"
 ) -> DataFrame:
     """docs with all columns, each text cut as by repeated_strings(); bytes of characters that were cut in two go too.
 
@@ -314,21 +359,27 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].alias("id"), text.alias("text"), F.xxhash64(text).alias("name"), F.octet_length(text).cast("bigint").alias("n"))
 
 
-def _changes(source: DataFrame, length: int, batches: int, with_text: bool, unit: str) -> tuple[DataFrame, DataFrame]:
+def _changes(source: DataFrame, length: int, batches: int | None, with_text: bool, unit: str) -> tuple[DataFrame, DataFrame]:
     """All rows [id, name, n, sha], and [name, n, n_removed, n_spans, new_sha, rest] of the texts that lose bytes."""
     head = max(2, length // 4)
     units = F.col("n") if unit == "byte" else F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
     rows = kept(source.select("id", "name", "n", F.sha2("text", 256).alias("sha"), units.alias("units")), "texts")
     indexed = source.where(F.col("n") >= length).select("text", "name", "n")
-    suffixes = kept(indexed.mapInArrow(_indexed(length, head, unit), "key bigint, stretch bigint, name bigint, n bigint, start int, strings int"), "suffixes")
-
-    levels = index_levels(suffixes, batches)
-    whole = levels[0] if len(levels) == 1 else _merged(levels)
-    groups = whole.groupBy("key").agg(F.sum("times").alias("total"), F.count("*").alias("stretches"), F.min("times").alias("least")).where("total > 1")
-    hits = whole.join(groups, "key").select("key", "stretch", "times", (F.col("times") > 1).alias("repeats"), ((F.col("stretches") > 1) & (F.col("least") == 1)).alias("compare"), "stretches")
+    suffixes = kept(indexed.mapInArrow(_indexed(length, head, unit), "head binary, key bigint, stretch bigint, name bigint, n bigint, start int, strings int"), "suffixes")
+
+    if batches is None:
+        batches = max(2, -(-(rows.agg(F.sum("n")).first()[0] or 0) // BATCH_BYTES))
+    index = SuffixLevels()
+    dealt = suffixes.select("head", "key", "stretch", F.lit(1).cast("bigint").alias("times"), F.pmod("name", F.lit(batches)).alias("batch"))
+    matches = [index.add(dealt.where(F.col("batch") == number)) for number in range(batches)]
+    again = kept(index.stretches(reduce(DataFrame.unionByName, matches).distinct()), "again")
+    for table in matches:
+        drop(table)
+    index.release()
+    groups = again.groupBy("key").agg(F.count("*").alias("stretches"), F.min("times").alias("least"))
+    hits = again.join(groups, "key").select("key", "stretch", "times", (F.col("times") > 1).alias("repeats"), ((F.col("stretches") > 1) & (F.col("least") == 1)).alias("compare"), "stretches")
     found = kept(suffixes.join(hits, ["key", "stretch"]).select("key", "stretch", "name", "n", "start", "strings", "times", "stretches", "repeats", "compare"), "hits")
-    for level in levels:
-        drop(level)
+    drop(again)
     drop(suffixes)
 
     texts = rows.groupBy("name", "n").agg(F.count("*").alias("copies"), F.min("id").alias("id"), F.min("units").alias("units"))

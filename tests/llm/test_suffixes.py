@@ -35,7 +35,7 @@ def corpus(seed, length):
     return rows
 
 
-@pytest.mark.parametrize("length, batches", [(20, 1), (40, 2), (40, 5), (61, 4)])
+@pytest.mark.parametrize("length, batches", [(20, 1), (40, None), (40, 5), (61, 3)])
 def test_equals_brute_force(docs, length, batches):
     rows = corpus(length, length)
     out = repeated_strings(docs(rows), length=length, batches=batches)
@@ -68,7 +68,8 @@ def test_long_texts_in_parts_and_hot_suffixes(docs, monkeypatch):
     monkeypatch.setattr(suffixes, "PART", 100)
     long = (text(333) + passage + text(777) + passage).encode()
     buf, offsets = np.frombuffer(long, np.uint8), np.array([0, len(long)])
-    owner, start, count, key, stretch = suffixes._stretches(buf, offsets, 50, 12)
+    owner, start, count, key, stretch, heads = suffixes._stretches(buf, offsets, 50, 12)
+    assert all(long.find(h.tobytes()) >= 0 for h in heads)
     where = Counter()
     for lo, n, k in zip(start.tolist(), count.tolist(), key.tolist()):
         for p in range(lo, lo + n):
@@ -78,6 +79,30 @@ def test_long_texts_in_parts_and_hot_suffixes(docs, monkeypatch):
     assert all(where[a + p] == where[b + p] for p in range(71))
 
 
+def test_levels(spark):
+    """Batches of suffixes: levels of like rank merge, and every suffix is reported by the batch that repeats it."""
+    rng = random.Random(5)
+    index, seen, ranks = suffixes.SuffixLevels(), Counter(), []
+    for number in range(7):
+        batch = [(rng.randint(0, 60), rng.randint(0, 2)) for _ in range(12)] if number != 4 else []
+        rows = [(bytes([k, 255 - k]), k, stretch, 1) for k, stretch in batch]
+        matches = {r.key for r in index.add(spark.createDataFrame(rows, "head binary, key bigint, stretch bigint, times bigint")).collect()}
+        seen.update(batch)
+        total = Counter()
+        for (k, _), times in seen.items():
+            total[k] += times
+        assert {k for k, _ in batch if total[k] > 1} <= matches <= {k for k in total if total[k] > 1}
+        ranks.append(sorted(index.levels))
+    assert ranks == [[0], [1], [0, 1], [2], [0, 2], [1, 2], [0, 1, 2]]
+    wanted = spark.createDataFrame([(k,) for k in range(0, 60, 2)], "key bigint")
+    assert {tuple(r) for r in index.stretches(wanted).collect()} == {(k, s, n) for (k, s), n in seen.items() if k % 2 == 0 and k < 60}
+    for level in index.levels.values():
+        for part in level.rdd.glom().collect():
+            assert [r.head for r in part] == sorted(r.head for r in part)
+    index.release()
+    assert not index.levels
+
+
 def test_remaining_text(docs):
     rows = corpus(3, 30)
     out = repeated_strings(docs(rows), length=30, with_text=True)
@@ -107,7 +132,7 @@ def brute_words(rows, length):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("length, batches", [(6, 1), (17, 3), (51, 2)])
+@pytest.mark.parametrize("length, batches", [(6, 1), (17, 3), (51, None)])
 def test_words_equal_brute_force(docs, length, batches):
     """Runs of words, most of them of one letter, with other white space in each place."""
     rng = random.Random(length)
