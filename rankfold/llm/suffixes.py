@@ -13,7 +13,8 @@ makes repeated. Where a whole stretch repeats, all its strings do. Else the dist
 brought together and their strings compared through fingerprints of all `length` bytes; suffixes with more than
 TOGETHER distinct stretches are not gathered, their strings are grouped by fingerprint instead.
 
-The same works on texts as sequences of words, each a 64-bit hash, with lengths counted in words.
+The same works on texts as sequences of words, each a 64-bit hash, with lengths counted in words. Its arrays are ordered
+by the upper halves of the hashes of the first words.
 """
 
 from __future__ import annotations
@@ -87,7 +88,8 @@ def _stretches(buf: np.ndarray, offsets: np.ndarray, length: int, head: int):
 
 def _stretches_of(buf: np.ndarray, offsets: np.ndarray, length: int, head: int):
     none = np.empty(0, np.int64)
-    nothing = (none, none, none, none, none, np.empty((0, head * buf.itemsize), np.uint8))
+    symbol = np.dtype(np.uint8) if buf.dtype == np.uint8 else np.dtype(">u4")  # a byte, or half of a word's hash
+    nothing = (none, none, none, none, none, np.empty((0, head * symbol.itemsize), np.uint8))
     if len(buf) < length:
         return nothing
     prefix = scan.prefix_hashes(buf)
@@ -110,7 +112,7 @@ def _stretches_of(buf: np.ndarray, offsets: np.ndarray, length: int, head: int):
     key = two | (order[at] >> np.uint64(16))
     stretch = scan.mix(scan.span_hashes(prefix, lo, hi + length) + (at - lo).astype(np.uint64))
     units = np.lib.stride_tricks.sliding_window_view(buf, head)[at]
-    heads = np.ascontiguousarray(units, buf.dtype.newbyteorder(">")).view(np.uint8)
+    heads = np.ascontiguousarray(units if symbol == np.uint8 else units >> np.uint64(32), symbol).view(np.uint8)
     return owner[first], lo - offsets[owner[first]], hi - lo + 1, key.view(np.int64), stretch.view(np.int64), heads
 
 
