@@ -107,6 +107,35 @@ s AS (SELECT SQRT((a + d) / 2 + SQRT(((a - d) / 2) * ((a - d) / 2) + b * b)) AS
   SQRT((a + d) / 2 - SQRT(((a - d) / 2) * ((a - d) / 2) + b * b)) AS s1 FROM h)"""
 
 
+def eigenvalues(width: int, source: str, sweeps: int = 5) -> str:
+    """``eig[e]``: eigenvalues of the symmetric matrix in the one row g00, g01.. of ``source``, by cyclic Jacobi rotations."""
+    pairs = [(i, j) for i in range(width) for j in range(i + 1, width)]
+    cell = lambda i, j: f"g{min(i, j)}{max(i, j)}"
+    steps = []
+    for number, (p, q) in enumerate(pairs * sweeps):
+        gap = f"(g{q}{q} - g{p}{p}) / (2 * g{p}{q})"
+        tangent = f"CASE WHEN g{p}{q} = 0 THEN 0.0 ELSE (CASE WHEN {gap} < 0 THEN -1 ELSE 1 END) / (ABS({gap}) + SQRT({gap} * {gap} + 1)) END"
+        turned = {cell(p, p): f"g{p}{p} - t * g{p}{q}", cell(q, q): f"g{q}{q} + t * g{p}{q}", cell(p, q): "0.0"}
+        for k in set(range(width)) - {p, q}:
+            turned[cell(k, p)] = f"({cell(k, p)} - t * {cell(k, q)}) / SQRT(t * t + 1)"
+            turned[cell(k, q)] = f"(t * {cell(k, p)} + {cell(k, q)}) / SQRT(t * t + 1)"
+        cells = ", ".join(f"{turned.get(cell(i, j), cell(i, j))} AS {cell(i, j)}" for i in range(width) for j in range(i, width))
+        steps.append(f"t{number} AS MATERIALIZED (SELECT *, {tangent} AS t FROM {source})")
+        steps.append(f"j{number} AS MATERIALIZED (SELECT {cells} FROM t{number})")
+        source = f"j{number}"
+    return ", ".join(steps) + ", eig AS (" + " UNION ALL ".join(f"SELECT g{i}{i} AS e FROM {source}" for i in range(width)) + ")"
+
+
+def line_sigmas() -> str:
+    """``ranked[comp, sigma]``: the singular values of the centred lines."""
+    cells = [(i, j) for i in range(4) for j in range(i, 4)]
+    return f"""{base(LINES)}, cell AS (SELECT r.row_id, mu.col_id, COALESCE(y.value, 0) - mu.mu AS a
+    FROM (SELECT DISTINCT row_id FROM y) r CROSS JOIN mu LEFT JOIN y ON y.row_id = r.row_id AND y.col_id = mu.col_id),
+  wide AS (SELECT row_id, {each(4, "SUM(a) FILTER (col_id = {j}) AS a{j}")} FROM cell GROUP BY row_id),
+  g AS (SELECT {", ".join(f"SUM(a{i} * a{j}) AS g{i}{j}" for i, j in cells)} FROM wide), {eigenvalues(4, "g")},
+  ranked AS (SELECT CAST(ROW_NUMBER() OVER (ORDER BY e DESC) - 1 AS INTEGER) AS comp, SQRT(e) AS sigma FROM eig)"""
+
+
 def base(matrix: str = PURCHASES, rows: str = "COUNT(DISTINCT row_id)") -> str:
     return f"WITH {matrix}, {size(rows)}, {mu()}"
 
@@ -292,6 +321,8 @@ def statements() -> dict[str, str]:
         "sparse_vectors": f"{purchases} SELECT * FROM y",
         "sketch_rows_layout": f"{base()}, {seed(3)}, {raw_sketch(3)} SELECT * FROM z",
         "sketch_grid_layout": f"{base()}, {seed(3)}, {raw_sketch(3)} SELECT * FROM z",
+        "line_spectrum": f"{line_sigmas()} SELECT comp, {r('sigma', 3, 'sigma')} FROM ranked WHERE comp < 3",
+        "kth_sigma_lines_k3": f"{line_sigmas()} SELECT 3 AS k, {r('sigma', 3, 'sigma')} FROM ranked WHERE comp = 2",
         "event_spectrum": f"""{base(EVENTS)}, cell AS (SELECT r.row_id, mu.col_id, COALESCE(y.value, 0) - mu.mu AS a
     FROM (SELECT DISTINCT row_id FROM y) r CROSS JOIN mu LEFT JOIN y ON y.row_id = r.row_id AND y.col_id = mu.col_id),
   g AS (SELECT p.col_id AS i, q.col_id AS j, SUM(p.a * q.a) AS g FROM cell p JOIN cell q USING (row_id) GROUP BY 1, 2)

@@ -626,6 +626,13 @@ def kth_sigma_k3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("k", rounded("sigma", 3))
 
 
+@query
+def kth_sigma_lines_k3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third singular value of a matrix of four columns, whose sketch is exact."""
+    out = kth_singular_value(line_columns(spark, sf_dir), 3, oversample=1, max_iter=5, digits=3, seed=11)
+    return out.select("k", rounded("sigma", 3))
+
+
 @query
 def pca_error_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The next singular value first, then iterations that stop on the error relative to it."""
