@@ -499,7 +499,7 @@ def pca_sigmas_k2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pca_absent_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As many empty rows again as there are stored ones."""
     m = stored_purchases(spark, sf_dir)
-    m = Matrix(m.entries, 2 * m.n_rows, m.n_cols)
+    m = Matrix(m.entries, 2 * m.n_rows, m.n_cols, m.n_entries)
     out = randomized_pca(m, 2, oversample=0, max_iter=2, sigma_digits=None, kind="validation")
     return out.sigmas.select("comp", rounded("sigma", 5))
 

@@ -205,3 +205,31 @@ def test_large_blocks_are_joined_by_sort_merge(spark, coo, small):
         assert any("SortMergeJoin" in line for line in live(plan_of(image)))
         got = dense_of(image, "col_id", names("c", 2), 12)
     np.testing.assert_allclose(got, small[0].T @ (small[0] @ small[1][:, :2]), atol=1e-10)
+
+
+def test_small_limits_do_not_blow_up_the_grid(spark):
+    """Copies of the operands grow like the entries, and the blocks of a grid spread over the partitions."""
+    from rankfold import Matrix
+
+    cells = spark.range(1).selectExpr("id AS row_id", "id AS col_id", "1.0D AS value")
+    for times in (1, 60):
+        n_rows, n_cols, n_entries = 15_000 * times, 20_000 * times, 600_000 * times
+        placed = Matrix(cells, n_rows, n_cols, n_entries).lay_out(2, broadcast_bytes=10_000)
+        assert placed.kind == "grid" and placed.partitions < 1000
+        assert n_rows * placed.col_blocks + n_cols * placed.row_blocks < 1.3 * n_entries
+    wide = Matrix(cells, 5_400_000, 7_200_000, 216_000_000).lay_out(10)
+    blocks = wide.row_blocks * wide.col_blocks
+    assert wide.kind == "grid" and blocks <= 32 and wide._hash_blocks
+
+
+def test_few_blocks_meet_in_one_partition(spark, coo, small):
+    m = coo(small[0])
+    with m.lay_out(2, broadcast_bytes=600) as placed:
+        assert placed.kind == "grid" and placed._first_block >= 0
+        blocks = placed.entries.select("rb", "cb").distinct().count()
+        tasks = placed.entries.selectExpr("spark_partition_id() AS p", "rb", "cb").distinct().groupBy("p").count()
+        assert blocks == placed.row_blocks * placed.col_blocks
+        assert tasks.agg({"count": "max"}).first()[0] <= 2
+        image = placed.normal_image(table_of(spark, small[1][:, :2], "w"), names("w", 2), np.zeros(2))
+        got = dense_of(image, "col_id", names("c", 2), 12)
+    np.testing.assert_allclose(got, small[0].T @ (small[0] @ small[1][:, :2]), atol=1e-10)
