@@ -7,6 +7,7 @@ place between passes.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -165,7 +166,11 @@ def paired_blocks(
     k = len(cols)
     least = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     col_blocks = max(1, -(-table_bytes(n_cols, k) // block_bytes))
-    row_blocks = max(-(-table_bytes(n_rows, k) // block_bytes), -(-least // col_blocks))
+    row_blocks = max(1, -(-table_bytes(n_rows, k) // block_bytes))
+    if row_blocks * col_blocks < least:
+        # Blocks of rows and of columns about equally large: the fewest copies.
+        row_blocks = max(row_blocks, min(least, round(math.sqrt(least * n_rows / max(1, n_cols)))))
+        col_blocks = max(col_blocks, -(-least // row_blocks))
 
     def block(key: str, count: int) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(count)).cast("int")

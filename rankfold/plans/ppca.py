@@ -13,6 +13,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.absolute import absolute_sums
 from ..functions.columns import combine, linear, names, number, triangle
 from ..functions.generators import initial_variance, seed_table
 from ..functions.session import kept
@@ -110,11 +111,16 @@ def ppca(
 
 def _absolute_sums(row_ids: np.ndarray, x: np.ndarray, col_ids: np.ndarray, c: np.ndarray) -> pd.DataFrame:
     """Per column, the sum over rows of |x . c - z|; the last column of ``c`` is z."""
-    total = np.zeros(len(col_ids))
-    step = max(1, 4_000_000 // max(1, len(col_ids)))
-    for lo in range(0, len(x), step):
-        total += np.abs(x[lo : lo + step] @ c[:, :-1].T - c[:, -1]).sum(axis=0)
-    return pd.DataFrame({"col_id": col_ids, "dense": total})
+    return pd.DataFrame({"col_id": col_ids, "dense": absolute_sums(np.column_stack([x, -np.ones(len(x))]), c)})
+
+
+def _dense_sums(x: DataFrame, k: int, table: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
+    """``[col_id, dense]``: per column of ``table[col_id, v0.., z]`` the sum over all rows of X of |x . v - z|."""
+    columns = [*names("v", k), "z"]
+    parts = paired_blocks(
+        x, names("x", k), table, columns, n_rows, n_cols, _absolute_sums, "col_id bigint, dense double", BROADCAST_BYTES
+    )
+    return parts.groupBy("col_id").agg(F.sum("dense").alias("dense"))
 
 
 def column_error_sums(layout: Layout, fitted: DataFrame, k: int, x_mean: np.ndarray, rate: float = 1.0, seed: int = 0) -> DataFrame:
@@ -122,8 +128,8 @@ def column_error_sums(layout: Layout, fitted: DataFrame, k: int, x_mean: np.ndar
 
     ``fitted[col_id, mu, w0.., v0..]`` holds the regression matrix M (w) and the loadings C (v), and
     ``x_mean`` is mu'*M. With d = x.c - z for z = x_mean.c - mu, a cell without entry has the error
-    |d| and a stored cell |d - y|. So the dense sums of |d| are matrix products of blocks, and the
-    stored cells are a correction joined in: the dense matrix is never built.
+    |d| and a stored cell |d - y|. So the dense sums of |d| are sums over pairs of blocks, most of whose cells
+    have one sign (:func:`absolute_sums`), and the stored cells are a correction joined in: the dense matrix is never built.
     """
     where = sample_condition(rate, seed) if rate < 1.0 else None
     w, v = names("w", k), names("v", k)
@@ -134,9 +140,7 @@ def column_error_sums(layout: Layout, fitted: DataFrame, k: int, x_mean: np.ndar
         # Rows without entries are alike; a sample holds their share.
         absent = (layout.n_rows - present) * min(rate, 1.0)
         c = fitted.selectExpr("col_id", "mu", *v, f"{linear(v, x_mean)} - mu AS z")
-        dense = paired_blocks(
-            x, names("x", k), c, [*v, "z"], layout.n_rows, layout.n_cols, _absolute_sums, "col_id bigint, dense double"
-        ).groupBy("col_id").agg(F.sum("dense").alias("dense"))
+        dense = _dense_sums(x, k, c, layout.n_rows, layout.n_cols)
         stored = layout.entries if where is None else layout.entries.filter(where)
         cells = layout.join_columns(layout.join_rows(stored, x, k), c, k + 2)
         d = F.expr(" + ".join(f"x{j} * v{j}" for j in range(k)) + " - z")
@@ -161,6 +165,8 @@ def column_error_sums(layout: Layout, fitted: DataFrame, k: int, x_mean: np.ndar
 
 #: Columns whose dense sums are computed together, the product of their number and k + 1 being sent to every task.
 BATCH_COLUMNS = 256
+#: Such batches, before all columns that are left are computed in one job.
+BATCHES = 8
 
 
 @dataclass
@@ -205,7 +211,8 @@ def largest_column_error(
     ``fitted`` and ``x_mean`` are as in :func:`column_error_sums`. With d = x.c - z a column's dense sum of |d| over n rows is
     at most sqrt(n * sum of d^2), and that follows from the k x k Gram matrix of X. Stored cells correct it by a sparse
     join, exactly. So every column has an upper bound at the cost of its entries; columns are then computed in
-    batches by decreasing bound, until no other bound reaches the largest sum found.
+    batches by decreasing bound, until no other bound reaches the largest sum found. Where many bounds are about equal,
+    that takes many columns: those left after BATCHES batches are computed in one job.
     """
     where = sample_condition(rate, seed) if rate < 1.0 else None
     w, v, xs = names("w", k), names("v", k), names("x", k)
@@ -237,7 +244,7 @@ def largest_column_error(
         bounded = kept(bounded.selectExpr("col_id", *v, "z", "known", "norm", f"{bound} AS bound"), "bounds")
         norm = bounded.agg(F.max("norm")).first()[0] or 0.0
         best, computed, left = 0.0, 0, bounded
-        while True:
+        for _ in range(BATCHES):
             top = left.orderBy(F.desc("bound"), "col_id").limit(batch).collect()  # at most `batch` rows of k + 5 numbers
             top = [r for r in top if r["bound"] >= best]
             if not top:
@@ -248,6 +255,11 @@ def largest_column_error(
             last = top[-1]
             after = (F.col("bound") < last["bound"]) | ((F.col("bound") == last["bound"]) & (F.col("col_id") > last["col_id"]))
             left = bounded.filter(after & (F.col("bound") >= best))
+        rest = left.count()
+        if rest:
+            dense = _dense_sums(x, k, left.select("col_id", *v, "z"), layout.n_rows, rest)
+            best = max(best, left.join(dense, "col_id").agg(F.max(F.col("known") + F.col("dense"))).first()[0])
+        return ColumnError(best, norm, computed + rest)
     finally:
         x.unpersist()
 

@@ -1,5 +1,6 @@
 """Plans and algorithms that are there for size: placed projections, hot ids, bounded columns, trees, numbering."""
 
+import importlib
 import math
 import sys
 
@@ -12,13 +13,15 @@ from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix, RowMa
 from pyspark.sql import functions as F
 
 from rankfold import Matrix, project, relative_reconstruction_error, vector_rows
-from rankfold.functions import names
+from rankfold.functions import absolute, names
 from rankfold.operators import aggregates, entries, products
 from rankfold.operators import tsqr
 from rankfold.plans.ppca import column_error_sums, largest_column_error
 from rankfold.sources import from_rdd, from_row_matrix
 from rankfold.sources.text import numbered_lines
 
+ppca_plan = importlib.import_module("rankfold.plans.ppca")
+
 
 def plan(df):
     return df._jdf.queryExecution().toString()
@@ -296,3 +299,39 @@ def test_matrix_queries_stay_without_the_text_operators(monkeypatch, gone):
     matrix = {n for n in whole if not n.startswith("op") and n != "pipeline" or n.startswith("orthonormal")}
     assert matrix <= set(left) and set(sql) <= set(left)
     assert "pipeline" not in left
+
+
+# Absolute sums
+
+
+@pytest.mark.parametrize("n, m, d", [(0, 5, 2), (3, 0, 2), (700, 300, 2), (5000, 900, 3), (5000, 900, 6)])
+def test_absolute_sums(n, m, d, monkeypatch):
+    """Equal to the sums over all pairs, most of which are not multiplied out where the boxes are compact."""
+    rng = np.random.default_rng(n + d)
+    rows, columns = rng.normal(size=(n, d)) * 10.0 ** np.arange(d), rng.normal(size=(m, d)) + 1
+    rows[n // 2 :, 0] = 0.0
+    columns[: m // 4] = columns[:1]
+    columns[m // 2 : m // 2 + 3] = 0.0
+    touched = []
+    direct = absolute._direct
+    monkeypatch.setattr(absolute, "_direct", lambda r, c: touched.append(len(r) * len(c)) or direct(r, c))
+    np.testing.assert_allclose(absolute.absolute_sums(rows, columns), np.abs(rows @ columns.T).sum(axis=0), rtol=1e-11)
+    if d == 3:
+        assert sum(touched) < n * m / 2
+
+
+def test_many_columns_with_about_equal_bounds(spark, coo, monkeypatch):
+    """No pass over the rows for each batch of columns: what a few batches leave is computed in one job."""
+    rng = np.random.default_rng(5)
+    a = np.round(rng.normal(size=(60, 400)), 3)
+    w, v, mu = rng.normal(size=(400, 2)) / 40, rng.normal(size=(400, 2)) * 0 + 3.0, a.sum(axis=0) / 60
+    cells = [(j, float(mu[j]), *map(float, w[j]), *map(float, v[j])) for j in range(400)]
+    fitted = spark.createDataFrame(cells, "col_id bigint, mu double, w0 double, w1 double, v0 double, v1 double")
+    passes = []
+    one = ppca_plan._column_sums_of
+    monkeypatch.setattr(ppca_plan, "_column_sums_of", lambda *args: passes.append(1) or one(*args))
+    with coo(a).lay_out(4) as layout:
+        found = largest_column_error(layout, fitted, 2, mu @ w, batch=2)
+    centred = a - mu
+    assert found.computed > 16 and len(passes) <= ppca_plan.BATCHES
+    assert np.isclose(found.error, np.abs(centred @ w @ v.T - centred).sum(axis=0).max())
