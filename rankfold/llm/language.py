@@ -22,8 +22,6 @@ ORDER = 4
 DISCOUNT = 0.75
 #: Up to so many bytes, the models are sent to the tasks; larger ones are joined.
 MODEL_BYTES = 256 << 20
-#: One training text in CALIBRATION is set aside while the rejection level of its language is found.
-CALIBRATION = 16
 #: Share of a language's texts whose score may fall below the rejection level.
 REJECTED = 0.01
 
@@ -237,8 +235,9 @@ class Arrays:
         known, logs = self.parts.get((kind, order), (np.empty(0, np.int64), None))
         if not len(known):
             return np.full(len(keys), -1), logs
-        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        return np.where(known[at] == keys, at, -1), logs
+        some, back = np.unique(keys, return_inverse=True)  # a run stands in a text many times, and sorted keys are found faster
+        at = np.minimum(np.searchsorted(known, some), len(known) - 1)
+        return np.where(known[at] == some, at, -1)[back], logs
 
     def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Mean log-probability per character of each text in each language; characters scored of each text."""
@@ -333,50 +332,58 @@ def _own_scores(shared):
     return run
 
 
-def _levels(aside: DataFrame, models: Models) -> np.ndarray:
-    """The rejection level of each language from texts [text, lang] that its model has not seen.
-
-    A language without such texts takes the lowest level of the others."""
+def _scored(texts: DataFrame, models: Models) -> DataFrame:
+    """[lang, score]: what texts [text, lang] get from the model of their own language, written down."""
     if (arrays := models.local()) is not None:
-        shared = aside.sparkSession.sparkContext.broadcast(arrays)
-        low = aside.mapInArrow(_own_scores(shared), "lang int, score double")
-    else:
-        named = aside.select("text", "lang", *_name(F.col("text")))
-        means = _joined(named.dropDuplicates(["name", "n"]).select("text", "name", "n"), models)
-        low = named.join(means, ["name", "n", "lang"]).select("lang", F.col("mean").alias("score"))
-    found = dict(low.groupBy("lang").agg(F.percentile_approx("score", REJECTED)).collect())
-    if arrays is not None:
+        shared = texts.sparkSession.sparkContext.broadcast(arrays)
+        scores = kept(texts.mapInArrow(_own_scores(shared), "lang int, score double"), "scores")
         shared.unpersist()
+        return scores
+    named = texts.select("text", "lang", *_name(F.col("text")))
+    means = _joined(named.dropDuplicates(["name", "n"]).select("text", "name", "n"), models)
+    return kept(named.join(means, ["name", "n", "lang"]).select("lang", F.col("mean").alias("score")), "scores")
+
+
+def _levels(scores: DataFrame, count: int) -> np.ndarray:
+    """The rejection level of each language from the scores of texts that the scoring model has not seen.
+
+    A language without scores takes the lowest level of the others."""
+    found = dict(scores.groupBy("lang").agg(F.percentile_approx("score", REJECTED)).collect())
     lowest = min(found.values(), default=-np.inf)
-    return np.array([found.get(k, lowest) for k in range(len(models.langs))])
+    return np.array([found.get(k, lowest) for k in range(count)])
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", calibration_rows: int = 20_000) -> Models:
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Models:
     """Models of every non-null language of docs, from the counts of all their texts.
 
-    One text in CALIBRATION (by hash; fewer if that is more than `calibration_rows`) is set aside first: models of the other
-    texts score it, and a quantile of these scores is the rejection level of its language. Then its counts are added. The
-    driver holds the names of the languages, and the finished models if they are not larger than MODEL_BYTES.
+    For the rejection levels the texts are halved by hash, so copies stay together, and the models of each half score all
+    texts of the other: a quantile of all scores of a language is its level. A language that has texts in one half only
+    has no such scores. The driver holds the names of the languages, and the finished models if they are not larger than
+    MODEL_BYTES.
     """
     source = docs.select(docs[text_col].alias("text"), docs[lang_col].alias("lang")).where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in source.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    langs = sorted(sizes)
-    every = max(CALIBRATION, -(-sum(sizes.values()) // calibration_rows))
-    aside = F.pmod(F.xxhash64("text"), F.lit(every)) == 0
+    half = F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")
+    found = [(r["lang"], r["half"]) for r in source.select("lang", half.alias("half")).distinct().collect()]  # two rows a language
+    langs = sorted({lang for lang, _ in found})
     schema = "lang string, order int, key bigint, history bigint, shorter bigint, n bigint"
-    names = source.sparkSession.createDataFrame(list(enumerate(langs)), "code int, lang string")
+    names = source.sparkSession.createDataFrame([(k, lang, {(lang, 0), (lang, 1)} <= set(found)) for k, lang in enumerate(langs)], "code int, lang string, both boolean")
 
     def counted(texts: DataFrame, name: str) -> DataFrame:
-        found = _added(texts.mapInArrow(_counted, schema)).join(F.broadcast(names), "lang")
-        return kept(found.select(F.col("code").alias("lang"), "order", "key", "history", "shorter", "n"), name)
-
-    most, few = counted(source.where(~aside), "counts"), counted(source.where(aside), "counts-aside")
-    first = Models(most, langs)
-    coded = source.where(aside).join(F.broadcast(names), "lang").select("text", F.col("code").alias("lang"))
-    level = _levels(coded, first) if langs else first.level
-    models = Models(kept(_added(most.unionByName(few)), "counts-all"), langs)
-    models.level = level
-    for table in (most, few, *([first.table] if langs else [])):
+        runs = _added(texts.mapInArrow(_counted, schema)).join(F.broadcast(names), "lang")
+        return kept(runs.select(F.col("code").alias("lang"), "order", "key", "history", "shorter", "n"), name)
+
+    counts = [counted(source.where(half == k), "counts") for k in (0, 1)]
+    scores = []
+    for k in (0, 1) if langs else ():
+        models = Models(counts[k], langs)
+        others = source.where(half != k).join(F.broadcast(names.where("both")), "lang").select("text", F.col("code").alias("lang"))
+        scores.append(_scored(others, models))
+        drop(models.table)
+        del models
+    models = Models(kept(_added(counts[0].unionByName(counts[1])), "counts-all"), langs)
+    if langs:
+        models.level = _levels(scores[0].unionByName(scores[1]), len(langs))
+    for table in (*counts, *scores):
         drop(table)
     return models
 
@@ -386,7 +393,7 @@ def identify(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col:
 
     lang_pred is the language with the smallest cross-entropy per character (ties: the first by name), score its
     posterior under equal priors for a text of up to 50 characters, from 0 to 1. rejected is true if the cross-entropy
-    is worse than that of all but REJECTED of the texts that were set aside for that language.
+    is worse than that of all but REJECTED of the training texts of that language, scored by models that had not seen them.
 
     * A null text, or one without letters, is 'und' with score 0 and is rejected; so is every text if there are no models.
     * A very long text is scored whole in one task, with about 30 bytes of arrays per character and language.

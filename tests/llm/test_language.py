@@ -123,3 +123,22 @@ def test_runs_whose_short_hashes_collide_stay_apart(docs):
     models = train(docs([(k, one * 3, "aa", "s") for k in range(8)] + [(k, other * 3, "bb", "s") for k in range(8)]))
     got = {r.doc_id: r.lang_pred for r in identify(docs([(1, one), (2, other)]), models).collect()}
     assert got == {1: "aa", 2: "bb"}
+
+
+def test_rejection_levels_come_from_all_training_texts(docs, monkeypatch):
+    """Every text of a language with texts in both halves is scored once, by a model that has not seen it."""
+    rows = corpus(size=240) + [(900, "漢字漢字", "dd", "s")]
+    seen = []
+    scored = language._scored
+
+    def noted(texts, models):
+        out = scored(texts, models)
+        seen.append((sorted(r.text for r in texts.collect()), [r.score for r in out.collect()]))
+        return out
+
+    monkeypatch.setattr(language, "_scored", noted)
+    models = train(docs(rows))
+    assert sorted(t for texts, _ in seen for t in texts) == sorted(t for _, t, lang, _ in rows if lang != "dd")
+    assert sum(len(scores) for _, scores in seen) == 240 and not set(seen[0][0]) & set(seen[1][0])
+    assert min(s for _, scores in seen for s in scores) <= models.level.min() and models.langs[3] == "dd"
+    assert models.level[3] == models.level[:3].min()
