@@ -111,7 +111,7 @@ def orthogonal_image(layout: Layout, state: State) -> tuple[Image, np.ndarray]:
     z = layout.sketch(state.table, state.w)
     cols = names("z", state.width)
     centred = z.selectExpr(*shifted(cols, state.mean, "z"))
-    r = tsqr_r(absent_row(centred, cols, state.mean, layout.n_rows - z.count()), cols)
+    r = tsqr_r(absent_row(centred, cols, state.mean, layout.n_rows - layout.present_rows()), cols)
     coef = whitening(r)
     if coef.shape[1] == 0:
         return made, np.zeros((state.width, 0))

@@ -14,6 +14,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from ..matrix import Matrix
 from ..operators.entries import deduplicate
+from ..vectors import column_rows
 
 
 def from_triples(
@@ -73,11 +74,8 @@ def from_row_matrix(matrix: RowMatrix | IndexedRowMatrix, *, n_rows: int | None
 
 
 def from_columns(df: DataFrame, row: str, columns: list[str], *, n_rows: int | None = None) -> Matrix:
-    """Table columns as matrix columns 0, 1, ... ; zeros are left out."""
-    cells = F.array(*[F.col(c).cast("double") for c in columns])
-    entries = df.select(F.col(row).alias("row_id"), F.posexplode(cells).alias("col_id", "value"))
-    entries = entries.select("row_id", F.col("col_id").cast("bigint").alias("col_id"), "value").filter("value <> 0")
-    return Matrix(entries, n_rows, len(columns))
+    """Table columns as matrix columns 0, 1, ... ; zeros are left out. Records with one row id are one row."""
+    return column_rows(df, row, columns, n_rows=n_rows)
 
 
 def read_matrix(spark: SparkSession, path: str, *, n_rows: int | None = None, n_cols: int | None = None, partitions: int | None = None, drop_outside: bool = False) -> Matrix:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from .functions.columns import names
+from .functions.session import kept
 from .matrix import BROADCAST_BYTES, Layout, Matrix, table_bytes
 
 
@@ -59,6 +60,36 @@ def vector_rows(df: DataFrame, row: str, vector: str, *, n_rows: int | None = No
     return VectorMatrix(df.select(F.col(row).alias("row_id"), array.alias("features")), n_rows, n_cols)
 
 
+@dataclass(frozen=True)
+class ColumnMatrix(Matrix):
+    """A few table columns as matrix columns; ``entries`` are the non-zero cells of ``records[row_id, features]``.
+
+    The analyses go over one array per row, not over one entry per cell. Records with one row id add up; a row without
+    a non-zero cell is not stored.
+    """
+
+    records: DataFrame | None = None
+
+    def measured(self) -> VectorMatrix:
+        """The records summed per row id and written once; measuring and all passes scan that table."""
+        cells = ", ".join(f"coalesce(sum(features[{j}]), 0.0D)" for j in range(self.n_cols))
+        stored = self.records.filter("exists(features, x -> x <> 0)")
+        rows = stored.groupBy("row_id").agg(F.expr(f"array({cells})").alias("features"))
+        return VectorMatrix(kept(rows, "rows"), self.n_rows, self.n_cols).measured()
+
+    def stored(self, path: str | None = None) -> Matrix:
+        return Matrix(self.entries, self.n_rows, self.n_cols, self.n_entries, self.drop_outside).stored(path)
+
+    def lay_out(self, width: int, *, broadcast_bytes: int = BROADCAST_BYTES, partitions: int | None = None) -> Layout:
+        return self.measured().lay_out(width, broadcast_bytes=broadcast_bytes, partitions=partitions)
+
+
+def column_rows(df: DataFrame, row: str, columns: list[str], *, n_rows: int | None = None) -> ColumnMatrix:
+    """Table columns as matrix columns 0, 1, ... ; zeros are left out."""
+    records = df.select(F.col(row).alias("row_id"), F.array(*[F.col(c).cast("double") for c in columns]).alias("features"))
+    return ColumnMatrix(_explode(records), n_rows, len(columns), records=records)
+
+
 def _explode(rows: DataFrame) -> DataFrame:
     cells = rows.select("row_id", F.posexplode("features").alias("col_id", "value"))
     cells = cells.select("row_id", F.col("col_id").cast("bigint").alias("col_id"), F.col("value").cast("double").alias("value"))
@@ -146,7 +177,7 @@ class VectorLayout(Layout):
                     names=["col_id", *out],
                 )
 
-        parts = self.rows.mapInArrow(run, ", ".join(["col_id bigint", *[f"{c} double" for c in out]]))
+        parts = self.rows.select("features").mapInArrow(run, ", ".join(["col_id bigint", *[f"{c} double" for c in out]]))
         return parts.groupBy("col_id").agg(*[F.expr(f"sum({c}) AS {c}") for c in out])
 
     def cross(self, z: DataFrame, cols: list[str], prefix: str = "c") -> DataFrame:

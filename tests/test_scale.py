@@ -335,3 +335,28 @@ def test_many_columns_with_about_equal_bounds(spark, coo, monkeypatch):
     centred = a - mu
     assert found.computed > 16 and len(passes) <= ppca_plan.BATCHES
     assert np.isclose(found.error, np.abs(centred @ w @ v.T - centred).sum(axis=0).max())
+
+
+# Columns of tables, and matrices that are joined
+
+
+def test_columns_are_scanned_as_rows(spark):
+    """One array per row instead of four entries; records with one id add up, and rows of zeros are not stored."""
+    from rankfold import randomized_pca
+    from rankfold.sources import from_columns
+
+    rng = np.random.default_rng(8)
+    a = np.round(rng.normal(size=(60, 4)), 3)
+    records = [(f"r{i}", *map(float, a[i])) for i in range(60)] + [("r3", 1.0, None, 0.0, 2.0), ("empty", 0.0, None, 0.0, 0.0)]
+    df = spark.createDataFrame(records, "k string, a double, b double, c double, d double")
+    m = from_columns(df, "k", ["a", "b", "c", "d"])
+    assert m.entries.filter("row_id = 'r3'").count() == 6 and m.stored().entries.count() == m.entries.count()
+    a[3] += [1.0, 0.0, 0.0, 2.0]
+    with m.lay_out(2) as layout:
+        assert (layout.kind, layout.n_rows, layout.n_cols) == ("vectors", 60, 4)
+    sigma = np.linalg.svd(a - a.mean(axis=0), compute_uv=False)
+    assert np.allclose(randomized_pca(m, 3, oversample=1, max_iter=30).sigma, sigma[:3], rtol=1e-6)
+    wider = from_columns(df, "k", ["a", "b", "c", "d"], n_rows=70)
+    centred = np.vstack([a, np.zeros((10, 4))])
+    sigma = np.linalg.svd(centred - centred.mean(axis=0), compute_uv=False)
+    assert np.allclose(randomized_pca(wider, 3, oversample=1, max_iter=30).sigma, sigma[:3], rtol=1e-6)
