@@ -7,6 +7,7 @@ error of summing doubles in another order. The SQL to compare with is in ``oracl
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import names
 from ..functions.generators import seed_table
-from ..functions.session import scratch_path
+from ..functions.session import kept, scratch_path
 from ..matrix import Matrix
 from ..operators import aggregates, basis, entries, products
 from ..operators.tsqr import tsqr_table
@@ -47,6 +48,12 @@ def stored_purchases(spark: SparkSession, sf_dir: str) -> Matrix:
     return purchases(spark, sf_dir).stored().measured()
 
 
+def kept_purchases(spark: SparkSession, sf_dir: str) -> Matrix:
+    """The purchases with every cell, joined and summed once: an analysis reads them to measure and again to place them."""
+    m = purchases(spark, sf_dir)
+    return replace(m, entries=kept(m.entries, "purchases"))
+
+
 def sketched(spark: SparkSession, sf_dir: str, width: int) -> tuple[Matrix, DataFrame, DataFrame, np.ndarray]:
     """Purchases, the validation seed, the column means and the mean image."""
     m = stored_purchases(spark, sf_dir)
@@ -451,7 +458,7 @@ def seed_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _power(spark: SparkSession, sf_dir: str, k: int, steps: int) -> DataFrame:
-    out = kth_singular_value(purchases(spark, sf_dir), k, oversample=0, max_iter=steps, digits=None, kind="validation")
+    out = kth_singular_value(kept_purchases(spark, sf_dir), k, oversample=0, max_iter=steps, digits=None, kind="validation")
     return out.select("k", rounded("sigma", 5), "iterations")
 
 
@@ -485,13 +492,13 @@ def sketch_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def pca_component_k1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = randomized_pca(purchases(spark, sf_dir), 1, oversample=0, max_iter=3, sigma_digits=None, kind="validation")
+    out = randomized_pca(kept_purchases(spark, sf_dir), 1, oversample=0, max_iter=3, sigma_digits=None, kind="validation")
     return out.components.select("col_id", "comp", rounded("loading", 7))
 
 
 @query
 def pca_sigmas_k2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = randomized_pca(purchases(spark, sf_dir), 2, oversample=0, max_iter=4, sigma_digits=None, kind="validation")
+    out = randomized_pca(kept_purchases(spark, sf_dir), 2, oversample=0, max_iter=4, sigma_digits=None, kind="validation")
     return out.sigmas.select("comp", rounded("sigma", 5))
 
 
@@ -577,7 +584,7 @@ def reconstruction_error_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ppca(spark: SparkSession, sf_dir: str):
-    return ppca(purchases(spark, sf_dir), 1, max_iter=2, tol=0.0, kind="validation")
+    return ppca(kept_purchases(spark, sf_dir), 1, max_iter=2, tol=0.0, kind="validation")
 
 
 @query
@@ -603,7 +610,7 @@ def variance_term(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def randomized_pca_k5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = randomized_pca(purchases(spark, sf_dir), 5, oversample=5, max_iter=5, sigma_digits=None, seed=11)
+    out = randomized_pca(kept_purchases(spark, sf_dir), 5, oversample=5, max_iter=5, sigma_digits=None, seed=11)
     return out.components.select("col_id", "comp", rounded("loading", 6))
 
 
@@ -644,7 +651,7 @@ def pca_error_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ppca_k3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = ppca(purchases(spark, sf_dir), 3, max_iter=3, seed=11)
+    out = ppca(kept_purchases(spark, sf_dir), 3, max_iter=3, seed=11)
     return out.components.select("col_id", "comp", rounded("loading", 5))
 
 

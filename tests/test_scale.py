@@ -360,3 +360,19 @@ def test_columns_are_scanned_as_rows(spark):
     centred = np.vstack([a, np.zeros((10, 4))])
     sigma = np.linalg.svd(centred - centred.mean(axis=0), compute_uv=False)
     assert np.allclose(randomized_pca(wider, 3, oversample=1, max_iter=30).sigma, sigma[:3], rtol=1e-6)
+
+
+@pytest.mark.parametrize("name", ["power_3_steps_k1", "pca_component_k1", "ppca_component_k1", "ppca_k3"])
+def test_purchases_are_joined_once(spark, tmp_path, monkeypatch, name):
+    """What measures the purchases and what places them read one table."""
+    from rankfold.catalog import queries
+
+    rng = np.random.default_rng(2)
+    lines = [(i % 12, int(rng.integers(9)), float(rng.integers(1, 9))) for i in range(60)]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(i, i % 7) for i in range(12)], "o_orderkey bigint, o_custkey bigint").write.parquet(str(tmp_path / "orders.parquet"))
+    plans = []
+    measured = Matrix.measured
+    monkeypatch.setattr(Matrix, "measured", lambda m: (plans.append(plan(m.entries)), measured(m))[1])
+    assert queries.REGISTRY[name](spark, str(tmp_path)).count() in (1, 9, 27)
+    assert plans and not any("Join" in p or "Aggregate" in p for p in plans)
