@@ -202,7 +202,7 @@ class Models:
         self.rows = self.table.count()
 
     def bytes(self) -> int:
-        return self.rows * (8 + 4 * len(self.langs))
+        return self.rows * (24 + 4 * len(self.langs))  # a hash, up to four buckets, the logarithms
 
     def local(self) -> Arrays | None:
         """The sorted arrays, or None if they are larger than MODEL_BYTES."""
@@ -227,47 +227,68 @@ class Arrays:
         for k in (0, 1):
             for o in range(1, ORDER + 1 - k):
                 own = np.flatnonzero((kind == k) & (order == o))
-                own = own[np.argsort(key[own])]
-                self.parts[k, o] = key[own], logs[own]
+                if len(own):
+                    own = own[np.argsort(key[own])]
+                    self.parts[k, o] = key[own], *self._bucketed(key[own]), logs[own]
+
+    @staticmethod
+    def _bucketed(known: np.ndarray) -> tuple[int, np.ndarray]:
+        """Hashes fall evenly into two to four buckets each by their upper bits: the shift, and the first place of each bucket."""
+        bits = len(known).bit_length() + 1
+        first = np.zeros(1 << bits, np.int32)
+        first[1:] = np.cumsum(np.bincount((known >> (64 - bits)) + (1 << (bits - 1)), minlength=1 << bits))[:-1]
+        return 64 - bits, np.minimum(first, len(known) - 1)
 
     def _found(self, kind: int, order: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of each key among the sorted hashes, -1 for unknown ones, and the logarithms that belong to the places."""
-        known, logs = self.parts.get((kind, order), (np.empty(0, np.int64), None))
-        if not len(known):
-            return np.full(len(keys), -1), logs
-        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        if (kind, order) not in self.parts:
+            return np.full(len(keys), -1), None
+        known, shift, first, logs = self.parts[kind, order]
+        at = first[(keys >> shift) + len(first) // 2]
+        behind = np.flatnonzero((known[at] < keys) & (at < len(known) - 1))
+        while len(behind):
+            at[behind] += 1
+            behind = behind[(known[at[behind]] < keys[behind]) & (at[behind] < len(known) - 1)]
         return np.where(known[at] == keys, at, -1), logs
 
-    def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Mean log-probability per character of each text in each language; characters scored of each text."""
+    def scores(self, texts: list[str | None], langs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Mean log-probability per character of each text in each language; characters scored of each text.
+
+        With `langs`, one language for each text, only that one is scored."""
         letters, ranges = _letters(texts)
-        n, count = len(letters), self.count
+        sizes = ranges[:, 1] - ranges[:, 0]
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        depth = np.arange(len(letters)) - ranges[owner, 0]
+        n, count, floor = len(letters), self.count, self.floor[None]
+        if langs is not None:
+            count, floor, own = 1, self.floor[:, None], langs[owner]
+
+        def picked(logs: np.ndarray, slots: np.ndarray, places: np.ndarray) -> np.ndarray:
+            return logs[slots] if langs is None else logs[slots, own[places]][:, None]
+
         value = np.empty((n, count), np.float32)
         place, carried = np.arange(n), np.zeros((n, count), np.float32)  # characters without a known run yet, and back-off so far
         for order in range(min(ORDER, n), 0, -1):
-            start = place - (order - 1)
-            fits = start >= 0
-            fits[fits] = _inside(ranges, order, n)[start[fits]]
+            fits = depth[place] >= order - 1
+            inside = place[fits] - (order - 1)
             slot = np.full(len(place), -1)
-            slot[fits], logs = self._found(0, order, _run_keys(letters, order, start[fits]))
+            slot[fits], logs = self._found(0, order, _run_keys(letters, order, inside))
             hit = slot >= 0
             if hit.any():
-                value[place[hit]] = logs[slot[hit]] + carried[hit]
+                value[place[hit]] = picked(logs, slot[hit], place[hit]) + carried[hit]
             rest = ~hit
-            carried = carried[rest]
+            place, carried = place[rest], carried[rest]
             if order > 1:
                 missed = np.flatnonzero(fits[rest])
-                history, weights = self._found(1, order - 1, _run_keys(letters, order - 1, start[rest][missed]))
+                history, weights = self._found(1, order - 1, _run_keys(letters, order - 1, place[missed] - (order - 1)))
                 known = history >= 0
                 if known.any():
-                    carried[missed[known]] += weights[history[known]]
-            place = place[rest]
+                    carried[missed[known]] += picked(weights, history[known], place[missed[known]])
         if len(place):
-            value[place] = self.floor + carried
-        value[ranges[ranges[:, 1] > ranges[:, 0], 0]] = 0.0  # the opening gap is given, not predicted
-        owner = np.repeat(np.arange(len(texts)), ranges[:, 1] - ranges[:, 0])
+            value[place] = (floor if langs is None else floor[own[place]]) + carried
+        value[ranges[sizes > 0, 0]] = 0.0  # the opening gap is given, not predicted
         sums = np.stack([np.bincount(owner, value[:, k], minlength=len(texts)) for k in range(count)], axis=1)
-        chars = np.maximum(ranges[:, 1] - ranges[:, 0] - 1, 0)
+        chars = np.maximum(sizes - 1, 0)
         return sums / np.maximum(chars, 1)[:, None], chars
 
 
@@ -323,10 +344,9 @@ def _own_scores(shared):
         for batch in batches:
             langs = batch.column("lang").to_numpy()
             for lo, hi, texts in _slices(batch.column("text")):
-                mean, chars = shared.value.scores(texts)
+                mean, chars = shared.value.scores(texts, langs[lo:hi])
                 some = np.flatnonzero(chars > 0)
-                own = langs[lo:hi][some]
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(mean[some, own])], ["lang", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(langs[lo:hi][some], pa.int32()), pa.array(mean[some, 0])], ["lang", "score"])
 
     return run
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from rankfold.llm import language
@@ -142,3 +143,28 @@ def test_rejection_levels_come_from_all_training_texts(docs, monkeypatch):
     assert sum(len(scores) for _, scores in seen) == 240 and not set(seen[0][0]) & set(seen[1][0])
     assert min(s for _, scores in seen for s in scores) <= models.level.min() and models.langs[3] == "dd"
     assert models.level[3] == models.level[:3].min()
+
+
+def test_hashes_are_found_by_their_buckets():
+    rng = np.random.default_rng(5)
+    low, high = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+    for known in (rng.integers(low, high, 5000), np.arange(-700, 700) * 3, np.array([high]), np.array([low, -1, 0, high])):
+        known = np.unique(known)
+        table = pa.table({"kind": np.zeros(len(known), np.int32), "order": np.full(len(known), 2, np.int32), "key": known, "logs": [[0.0]] * len(known)})
+        arrays = language.Arrays(table, 1, np.zeros(1))
+        asked = np.concatenate((known, known + (known < high), known - (known > low), [low, high, 0]))
+        place, _ = arrays._found(0, 2, asked)
+        where = {k: i for i, k in enumerate(known.tolist())}
+        assert place.tolist() == [where.get(k, -1) for k in asked.tolist()]
+
+
+def test_own_language_scores_are_those_among_all(docs):
+    rows = [(i, " ".join(w * (1 + i % 3) for w in ("the", "der", "una", "über")[: 1 + i % 4]) + f" word{i}", ("de", "en", "es")[i % 3], "a") for i in range(60)]
+    arrays = language.train(docs(rows)).local()
+    texts = [*(r[1] for r in rows), None, "", "?!", "x", "unseen 日本語 ñandú"]
+    langs = np.arange(len(texts)) % 3
+    every, chars = arrays.scores(texts)
+    own, same = arrays.scores(texts, langs)
+    assert own.shape == (len(texts), 1)
+    assert own[:, 0].tolist() == every[np.arange(len(texts)), langs].tolist()
+    assert same.tolist() == chars.tolist()
