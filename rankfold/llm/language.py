@@ -51,12 +51,10 @@ def _letters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Lower-case letters of all texts, each run of other characters as one 0; and the range of each text.
 
     A text with a letter starts and ends with a 0; one without has an empty range."""
-    parts = [np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
-    sizes = np.array([len(p) + 2 for p in parts])
+    sizes = np.array([len(t or "") + 2 for t in texts], np.int64)
     ends = np.cumsum(sizes)
-    flat = np.zeros(int(ends[-1]) if len(sizes) else 0, np.uint32)
-    for p, end in zip(parts, ends):
-        flat[end - 1 - len(p) : end - 1] = p
+    joined = "\0" + "\0\0".join([t or "" for t in texts]) + "\0"
+    flat = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     flat = _Characters.get()[flat]
     keep = flat > 0
     keep[1:] |= flat[:-1] > 0
@@ -90,7 +88,39 @@ def _inside(ranges: np.ndarray, order: int, n: int) -> np.ndarray:
     return np.cumsum(edge)[: max(0, n - order + 1)] > 0
 
 
-def _slices(column: pa.Array, limit: int = 1 << 20):
+def _numbered(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers from 0 without gaps, equal for equal codes, and one place of each number. Codes are below `size`."""
+    if size > 4 * len(codes) + (1 << 16):
+        _, place, number = np.unique(codes, return_index=True, return_inverse=True)
+        return number, place
+    place = np.full(size, -1, np.int32)
+    place[codes] = np.arange(len(codes), dtype=np.int32)
+    known = np.flatnonzero(place >= 0)
+    number = np.empty(size, np.int64)
+    number[known] = np.arange(len(known))
+    return number[codes], place[known]
+
+
+def _run_numbers(letters: np.ndarray, kinds: np.ndarray | None, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers, as by _numbered(), of the runs of ORDER characters from the given places; with `kinds`, runs differ by the kind of their place.
+
+    A run is numbered by the number of the run without its last character, so that codes stay small and need no hash."""
+    if not len(places):
+        return places, places
+    letter, of_letter = _numbered(letters.astype(np.int64), int(letters.max()) + 1)
+    size, run, found = len(of_letter), letter, len(of_letter)
+    if kinds is not None:
+        run, found = letter + kinds * size, size * (int(kinds.max()) + 1)
+    for k in range(1, ORDER):
+        code, found = run[: len(letters) - k] * size + letter[k:], found * size
+        if k == ORDER - 1:
+            code = code[places]
+        run, place = _numbered(code, found)
+        found = len(place)
+    return run, place
+
+
+def _slices(column: pa.Array, limit: int = 1 << 19):
     """Runs of rows with about `limit` bytes of text."""
     for lo, hi, _, _ in scan.pieces(column, limit):
         yield lo, hi, column.slice(lo, hi - lo).to_pylist()
@@ -102,7 +132,7 @@ def _counted(batches):
     Only the longest runs are counted at all places. A shorter one is the end of a longer one, or starts a text."""
     for batch in batches:
         langs = batch.column("lang").to_pylist()
-        for lo, hi, texts in _slices(batch.column("text")):
+        for lo, hi, texts in _slices(batch.column("text"), 1 << 20):
             letters, ranges = _letters(texts)
             names = sorted(set(langs[lo:hi]))
             code = np.array([names.index(x) for x in langs[lo:hi]])
@@ -110,12 +140,17 @@ def _counted(batches):
             salt = scan.mix(np.arange(1, len(names) + 1, dtype=np.uint64)).view(np.int64)
             places = np.flatnonzero(_inside(ranges, ORDER, len(letters)))
             for order in range(ORDER, 0, -1):
-                if order < ORDER:
+                if order == ORDER:
+                    number, first = _run_numbers(letters, whose, places)
+                    n = np.bincount(number, minlength=len(first))
+                    places = places[first]
+                    keys = _run_keys(letters, order, places)
+                else:
                     begins = ranges[ranges[:, 1] - ranges[:, 0] >= order, 0]
                     places = np.concatenate((places + 1, begins))
-                keys = _run_keys(letters, order, places)
-                _, first, n = np.unique(keys ^ salt[whose[places]], return_index=True, return_counts=True)
-                places, keys = places[first], keys[first]
+                    keys = _run_keys(letters, order, places)
+                    _, first, n = np.unique(keys ^ salt[whose[places]], return_index=True, return_counts=True)
+                    places, keys = places[first], keys[first]
                 if not len(places):
                     continue
                 none = np.zeros(len(places), np.int64)
@@ -254,42 +289,47 @@ class Arrays:
     def scores(self, texts: list[str | None], langs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Mean log-probability per character of each text in each language; characters scored of each text.
 
-        With `langs`, one language for each text, only that one is scored."""
+        With `langs`, one language for each text, only that one is scored. A character's logarithms depend on the run of
+        ORDER characters that it ends, so each distinct run of a slice is looked up once."""
         letters, ranges = _letters(texts)
         sizes = ranges[:, 1] - ranges[:, 0]
         owner = np.repeat(np.arange(len(texts)), sizes)
-        depth = np.arange(len(letters)) - ranges[owner, 0]
-        n, count, floor = len(letters), self.count, self.floor[None]
-        if langs is not None:
-            count, floor, own = 1, self.floor[:, None], langs[owner]
-
-        def picked(logs: np.ndarray, slots: np.ndarray, places: np.ndarray) -> np.ndarray:
-            return logs[slots] if langs is None else logs[slots, own[places]][:, None]
-
-        value = np.empty((n, count), np.float32)
-        place, carried = np.arange(n), np.zeros((n, count), np.float32)  # characters without a known run yet, and back-off so far
-        for order in range(min(ORDER, n), 0, -1):
-            fits = depth[place] >= order - 1
-            inside = place[fits] - (order - 1)
-            slot = np.full(len(place), -1)
-            slot[fits], logs = self._found(0, order, _run_keys(letters, order, inside))
+        depth = np.arange(len(letters)) - np.repeat(ranges[:, 0], sizes)
+        deep, shallow = np.flatnonzero(depth >= ORDER - 1), np.flatnonzero(depth < ORDER - 1)
+        number, first = _run_numbers(letters, None, deep - (ORDER - 1))
+        at = np.concatenate((deep[first], shallow))
+        value = self._values(letters, at, depth[at])
+        value[depth[at] == 0] = 0.0  # the opening gap is given, not predicted
+        which = np.empty(len(letters), np.int64)
+        which[deep], which[shallow] = number, len(first) + np.arange(len(shallow))
+        if langs is None:
+            each = (column[which] for column in value.T.astype(float))
+        else:
+            each = [value.ravel()[which * self.count + np.repeat(langs, sizes)]]
+        sums = np.stack([np.bincount(owner, column, minlength=len(texts)) for column in each], axis=1)
+        chars = np.maximum(sizes - 1, 0)
+        return sums / np.maximum(chars, 1)[:, None], chars
+
+    def _values(self, letters: np.ndarray, at: np.ndarray, depth: np.ndarray) -> np.ndarray:
+        """Logarithms in each language of the characters at some places of given depths in their texts."""
+        value = np.empty((len(at), self.count), np.float32)
+        rest, carried = np.arange(len(at)), np.zeros((len(at), self.count), np.float32)  # characters without a known run yet, and back-off so far
+        for order in range(ORDER, 0, -1):
+            fits = depth[rest] >= order - 1
+            slot = np.full(len(rest), -1)
+            slot[fits], logs = self._found(0, order, _run_keys(letters, order, at[rest[fits]] - (order - 1)))
             hit = slot >= 0
             if hit.any():
-                value[place[hit]] = picked(logs, slot[hit], place[hit]) + carried[hit]
-            rest = ~hit
-            place, carried = place[rest], carried[rest]
+                value[rest[hit]] = logs[slot[hit]] + carried[hit]
+            fits, rest, carried = fits[~hit], rest[~hit], carried[~hit]
             if order > 1:
-                missed = np.flatnonzero(fits[rest])
-                history, weights = self._found(1, order - 1, _run_keys(letters, order - 1, place[missed] - (order - 1)))
+                missed = np.flatnonzero(fits)
+                history, weights = self._found(1, order - 1, _run_keys(letters, order - 1, at[rest[missed]] - (order - 1)))
                 known = history >= 0
                 if known.any():
-                    carried[missed[known]] += picked(weights, history[known], place[missed[known]])
-        if len(place):
-            value[place] = (floor if langs is None else floor[own[place]]) + carried
-        value[ranges[sizes > 0, 0]] = 0.0  # the opening gap is given, not predicted
-        sums = np.stack([np.bincount(owner, value[:, k], minlength=len(texts)) for k in range(count)], axis=1)
-        chars = np.maximum(sizes - 1, 0)
-        return sums / np.maximum(chars, 1)[:, None], chars
+                    carried[missed[known]] += weights[history[known]]
+        value[rest] = self.floor[None] + carried
+        return value
 
 
 def _chains(batches):
@@ -415,7 +455,7 @@ def identify(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col:
     is worse than that of all but REJECTED of the training texts of that language, scored by models that had not seen them.
 
     * A null text, or one without letters, is 'und' with score 0 and is rejected; so is every text if there are no models.
-    * A very long text is scored whole in one task, with about 30 bytes of arrays per character and language.
+    * A very long text is scored whole in one task, with about 80 bytes of arrays per character.
     * Repeated rows and null or repeated ids are passed through. An empty table gives an empty table.
     """
     source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), *extra)

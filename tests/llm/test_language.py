@@ -168,3 +168,30 @@ def test_own_language_scores_are_those_among_all(docs):
     assert own.shape == (len(texts), 1)
     assert own[:, 0].tolist() == every[np.arange(len(texts)), langs].tolist()
     assert same.tolist() == chars.tolist()
+
+
+def test_distinct_runs_are_looked_up_once(docs, monkeypatch):
+    """A slice that repeats its runs asks the model for no more of them than one that has each once."""
+    arrays = language.train(docs(corpus(size=60))).local()
+    asked, found = [], language.Arrays._found
+    monkeypatch.setattr(language.Arrays, "_found", lambda self, kind, order, keys: asked.append(len(keys)) or found(self, kind, order, keys))
+    once, _ = arrays.scores(["the union"])
+    few = sum(asked)
+    asked.clear()
+    many, chars = arrays.scores(["the union " * 3000])
+    assert chars.tolist() == [30_000] and sum(asked) < 10 * few
+    assert np.allclose(once, many, atol=0.5)
+
+
+def test_run_numbers():
+    """Runs get one number if their characters and kind are equal, by tables of codes or, for large alphabets, sorted."""
+    rng = random.Random(3)
+    for alphabet, n in (("ab", 400), ("abcdefghij", 3000), ([chr(c) for c in range(0x4E00, 0x4E00 + 900)], 4000)):
+        letters = np.array([ord(rng.choice(alphabet)) if rng.random() < 0.9 else 0 for _ in range(n)], np.uint32)
+        kinds = np.sort(np.array([rng.randrange(3) for _ in range(n)]))
+        places = np.array(sorted(rng.sample(range(n - language.ORDER + 1), n // 2)))
+        for kind in (None, kinds):
+            number, first = language._run_numbers(letters, kind, places)
+            runs = [(0 if kind is None else kind[p], *letters[p : p + language.ORDER].tolist()) for p in places.tolist()]
+            assert len(set(runs)) == len(first) == number.max() + 1
+            assert [runs[first[k]] for k in number.tolist()] == runs
