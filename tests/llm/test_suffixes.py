@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rankfold.llm import suffixes
@@ -145,3 +146,29 @@ def test_words_equal_brute_force(docs, length, batches):
     rows += [(204, "a" * 500), (205, "a" * 500)]
     out = without_repeats(docs(rows), length=length, batches=batches, unit="word")
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == brute_words(rows, length)
+
+
+def test_places_of_one_text_are_one_row(docs, monkeypatch):
+    """Texts that repeat a line join the index once for each distinct stretch, not once for each repeat."""
+    rows = [(k, f"x{k} " + "one very common line " * 30 + f"y{k}") for k in range(40)]
+    joined, keep = [], suffixes.kept
+    monkeypatch.setattr(suffixes, "kept", lambda df, name: joined.append((name, keep(df, name))) or joined[-1][1])
+    out = without_repeats(docs(rows), length=8, unit="word")
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == brute_words(rows, 8)
+    assert 0 < [df.count() for name, df in joined if name == "hits"][0] < 12 * len(rows)
+
+
+def test_pairs():
+    rng = np.random.default_rng(2)
+    for n, most in ((1, 1), (500, 3), (500, 40)):
+        owner, key, stretch = np.sort(rng.integers(0, 9, n)), rng.integers(-most, most, n), rng.integers(0, 2, n)
+        order, begins = suffixes._pairs(owner, key, stretch)
+        ends = [*begins[1:].tolist(), n]
+        groups = [order[lo:hi].tolist() for lo, hi in zip(begins.tolist(), ends)]
+        names = [(owner[g[0]], key[g[0]], stretch[g[0]]) for g in groups]
+        assert len(set(names)) == len(names) and all(g == sorted(g) for g in groups)
+        assert all((owner[i], key[i], stretch[i]) == name for name, g in zip(names, groups) for i in g)
+    text = pa.array(["one very common line " * 30])
+    batch = pa.RecordBatch.from_arrays([text, pa.array([1]), pa.array([630])], ["text", "name", "n"])
+    found = pa.Table.from_batches(list(suffixes._indexed(8, 2, "word")([batch])))
+    assert found.num_rows < 12 and len({s for x in found.column("starts").to_pylist() for s in x}) > 20
